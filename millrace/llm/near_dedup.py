@@ -32,6 +32,8 @@ from millrace.llm.shared import attach, discard, settle
 RETAINED = 192
 INDEXED = 12
 BLOCK = 1024
+#: Longer lists are dealt by size class.
+LONG = 48
 SIGMAS = 6
 #: A table of keys is broadcast only up to this many rows (16 bytes each).
 BROADCAST_KEYS = 500_000
@@ -74,40 +76,54 @@ def sketch(batches: Iterator[pa.RecordBatch], k: int) -> Iterator[pa.RecordBatch
 
 
 def candidates(sketches: DataFrame, percent: int) -> DataFrame:
-    """Distinct pairs (a, b) of nodes that the lists and the estimates leave."""
-    postings = sketches.where("n > 0").select(F.explode("low").alias("v"), "node").groupBy("v", "node").agg(F.lit(1).alias("one"))
+    """Distinct pairs (a, b) of nodes that the lists and the estimates leave.
+
+    A long list is dealt by size class: sizes of similar sets differ by less than a class,
+    so group c holds classes c and c + 1 and answers for pairs with a member of class c.
+    """
+    postings = sketches.where("n > 0").select(F.explode("low").alias("v"), "node", "n").groupBy("v", "node").agg(F.min("n").alias("n"))
     shared = postings.groupBy("v").agg(F.count(F.lit(1)).alias("members")).where("members > 1")
     shared = settle(shared, "lists")
     total = sketches.sparkSession.read.schema(shared.schema).parquet(shared.settled_at).agg(F.coalesce(F.sum("members"), F.lit(0))).first()[0]
-    listed = settle(attach(postings.select("v", "node"), F.col("v"), shared.withColumn("weight", F.col("members")), "v", "weight", total, F.col("node"), "inner"), "postings")
+    size_class = F.when(F.col("members") <= LONG, F.lit(0)).otherwise(1 + F.floor(F.log(F.col("n").cast("double")) / F.log(F.lit(100 / percent + 1e-9)))).cast("int")
+    listed = attach(postings, F.col("v"), shared.withColumn("weight", F.col("members")), "v", "weight", total, F.col("node"), "inner")
+    listed = settle(listed.withColumn("c", size_class).select("v", "node", "c"), "postings")
+    groups = listed.select("v", "node", "c", F.explode(F.when(F.col("c") > 0, F.array(F.col("c") - 1, F.col("c"))).otherwise(F.array("c"))).alias("g"))
+    long_groups = groups.where("c > 0").groupBy("v", "g").agg(F.count(F.lit(1)).alias("size")).where(f"size > {BLOCK}")
+    # few: each has more than BLOCK members; the join still doesn't rely on that
+    blocks = F.coalesce(F.ceil(F.col("size") / BLOCK), F.lit(1)).cast("int")
+    sized = groups.join(long_groups, ["v", "g"], "left").withColumn("blocks", blocks).withColumn("own", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
+    # block pair (i, j), i <= j: a member of block m belongs to (0, m) .. (m, m), (m, m + 1) .. (m, blocks - 1)
+    dealt = sized.select("v", "g", "node", "own", (F.col("c") > F.col("g")).alias("upper"), F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
+    dealt = dealt.withColumn("i", F.least("own", "other")).withColumn("j", F.greatest("own", "other")).drop("other")
     needed = listed.select("node").distinct()
     bodies = sketches.where("n > 0").select("node", "n", "sketch").join(needed, "node", "left_semi").dropDuplicates(["node"])
-    blocks = F.ceil(F.col("members") / BLOCK).cast("int")
-    own = F.pmod(F.xxhash64("node"), blocks).cast("int")
-    # block pair (i, j), i <= j: a member of block m belongs to (0, m) .. (m, m), (m, m + 1) .. (m, blocks - 1)
-    dealt = listed.select("v", "node", own.alias("own"), F.explode(F.sequence(F.lit(0), blocks - 1)).alias("other")).select("v", "node", "own", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"))
-    full = dealt.join(bodies, "node").repartition("v", "i", "j").sortWithinPartitions("v", "i", "j", "node")
-    pairs = full.select("v", "i", "j", "own", "node", "n", "sketch").mapInArrow(lambda batches: in_lists(batches, percent / 100), "a string, b string")
+    full = dealt.join(bodies, "node").repartition("v", "g", "i", "j").sortWithinPartitions("v", "g", "i", "j", "node")
+    pairs = full.select("v", "g", "i", "j", "own", "upper", "node", "n", "sketch").mapInArrow(lambda batches: in_lists(batches, percent / 100), "a string, b string")
     return pairs.distinct()
 
 
+GROUP = ("v", "g", "i", "j")
+
+
 def in_lists(batches: Iterator[pa.RecordBatch], least: float) -> Iterator[pa.RecordBatch]:
     """The rows come sorted by list and block pair; a group may go on in the next batch."""
     held: list[pa.RecordBatch] = []
 
     def emit(parts: list[pa.RecordBatch]) -> pa.RecordBatch:
         t = pa.Table.from_batches(parts)
-        v, i, j = (t.column(c).to_numpy() for c in ("v", "i", "j"))
+        keys = [t.column(c).to_numpy() for c in GROUP]
         own, n = t.column("own").to_numpy(), t.column("n").to_numpy()
+        upper = t.column("upper").to_numpy()
         nodes, bodies = t.column("node").to_pylist(), t.column("sketch").to_pylist()
-        cut = np.flatnonzero((v[1:] != v[:-1]) | (i[1:] != i[:-1]) | (j[1:] != j[:-1])) + 1
+        cut = np.flatnonzero(np.any([k[1:] != k[:-1] for k in keys], axis=0)) + 1
         left, right = [], []
-        for lo, hi in zip([0, *cut], [*cut, len(v)]):
+        for lo, hi in zip([0, *cut], [*cut, len(n)]):
             if hi - lo < 2:
                 continue
-            head = np.uint32(np.uint64(v[lo].astype(np.uint64)) >> np.uint64(32))
-            own_v = (v[lo], head)
-            for x, y in in_group(own_v, i[lo] == j[lo], own[lo:hi], n[lo:hi], [np.frombuffer(b, np.uint32) for b in bodies[lo:hi]], least):
+            head = np.uint32(int(keys[0][lo]) % (1 << 64) >> 32)
+            whole = keys[2][lo] == keys[3][lo]
+            for x, y in in_group(head, whole, own[lo:hi], upper[lo:hi], n[lo:hi], [np.frombuffer(b, np.uint32) for b in bodies[lo:hi]], least):
                 a, b = nodes[lo + x], nodes[lo + y]
                 left.append(min(a, b))
                 right.append(max(a, b))
@@ -116,13 +132,13 @@ def in_lists(batches: Iterator[pa.RecordBatch], least: float) -> Iterator[pa.Rec
     for batch in batches:
         if not batch.num_rows:
             continue
-        v, i, j = (batch.column(c).to_numpy() for c in ("v", "i", "j"))
-        new = np.flatnonzero((v != v[-1]) | (i != i[-1]) | (j != j[-1]))
+        keys = [batch.column(c).to_numpy() for c in GROUP]
+        new = np.flatnonzero(np.any([k != k[-1] for k in keys], axis=0))
         at = int(new[-1]) + 1 if len(new) else 0
         if at:
             yield emit([*held, batch.slice(0, at)])
             held = [batch.slice(at)]
-        elif held and (held[-1].column("v")[0], held[-1].column("i")[0], held[-1].column("j")[0]) != (batch.column("v")[0], batch.column("i")[0], batch.column("j")[0]):
+        elif held and any(held[-1].column(c)[0] != batch.column(c)[0] for c in GROUP):
             yield emit(held)
             held = [batch]
         else:
@@ -131,55 +147,66 @@ def in_lists(batches: Iterator[pa.RecordBatch], least: float) -> Iterator[pa.Rec
         yield emit(held)
 
 
-def in_group(v: tuple, whole: bool, own: np.ndarray, n: np.ndarray, sets: list[np.ndarray], least: float) -> list[tuple[int, int]]:
+def in_group(head: np.uint32, whole: bool, own: np.ndarray, upper: np.ndarray, n: np.ndarray, sets: list[np.ndarray], least: float) -> list[tuple[int, int]]:
     """Pairs of positions to verify: a spanning forest of sure links, and the open pairs that it doesn't join."""
     g = len(sets)
-    values, code = np.unique(np.concatenate(sets), return_inverse=True)
-    row = np.repeat(np.arange(g), [len(s) for s in sets])
-    count = np.bincount(code, minlength=len(values))
-    often = count[code] > 1
-    code, row = code[often], row[often]
-    used, code = np.unique(code, return_inverse=True)
+    most = SIGMAS * np.sqrt(least * (1 - least) / RETAINED)
+    code = np.concatenate(sets)
+    order = np.argsort(code)
+    ranked = code[order]
+    equal = ranked[1:] == ranked[:-1]
+    often = np.zeros(len(code), bool)
+    often[1:] |= equal
+    often[:-1] |= equal
+    number = np.concatenate(([0], np.cumsum(~equal)))[often]
+    _, number = np.unique(number, return_inverse=True)
+    row = np.repeat(np.arange(g), [len(s) for s in sets])[order[often]]
+    width = int(number.max()) + 1 if len(number) else 0
     common = np.zeros((g, g), np.float32)
-    for lo in range(0, len(used), 2048):
-        part = (code >= lo) & (code < lo + 2048)
-        x = np.zeros((g, min(2048, len(used) - lo)), np.float32)
-        x[row[part], code[part] - lo] = 1
+    for lo in range(0, width, 2048):
+        part = (number >= lo) & (number < lo + 2048)
+        x = np.zeros((g, min(2048, width - lo)), np.float32)
+        x[row[part], number[part] - lo] = 1
         common += x @ x.T
     n = n.astype(np.float64)
-    small, large = np.minimum(n[:, None], n[None, :]), np.maximum(n[:, None], n[None, :])
-    held = np.minimum(small, RETAINED)
-    fair = (small >= least * large - 1e-9) & ~np.eye(g, dtype=bool)
+    # below this no pair is a link, so all further work is on the pairs that are left
+    floor = ((least - most) * np.minimum(least * n, RETAINED)).astype(np.float32)
+    x, y = np.nonzero(np.triu(common >= floor[:, None], 1))
+    fair = ~(upper[x] & upper[y])
     if not whole:
-        fair &= own[:, None] != own[None, :]
+        fair &= own[x] != own[y]
+    small, large = np.minimum(n[x], n[y]), np.maximum(n[x], n[y])
+    fair &= small >= least * large - 1e-9
+    x, y, small, large = x[fair], y[fair], small[fair], large[fair]
+    c = common[x, y].astype(np.float64)
     exact = large <= RETAINED
     # the union's bottom-k sample is drawn without replacement from at most small / least values
-    rest = np.sqrt(np.clip(1 - RETAINED * least / np.maximum(small, 1), 0, 1))
-    band = SIGMAS * np.sqrt(least * (1 - least) / RETAINED) * rest
-    sure = fair & np.where(exact, common >= least * (n[:, None] + n[None, :] - common) - 1e-3, common >= np.minimum(least + band, 1) * RETAINED)
+    band = most * np.sqrt(np.clip(1 - RETAINED * least / np.maximum(small, 1), 0, 1))
+    sure = np.where(exact, c >= least * (n[x] + n[y] - c) - 1e-3, c >= np.minimum(least + band, 1) * RETAINED)
     label, out = np.arange(g), []
-    unseen = np.ones(g, bool)
-    for root in np.argsort(-sure.sum(1), kind="stable"):
-        if not unseen[root]:
-            continue
-        unseen[root] = False
-        queue = [root]
-        while queue:
-            x = queue.pop()
-            near = np.flatnonzero(sure[x] & unseen)
-            unseen[near] = False
-            label[near] = root
-            out += [(int(x), int(y)) for y in near]
-            queue += list(near)
-    open_ = fair & ~exact & (common >= (least - band) * held) & (label[:, None] != label[None, :])
-    for x, y in zip(*np.nonzero(np.triu(open_))):
-        a, b = sets[x], sets[y]
-        both = np.intersect1d(a, b)
-        union = np.union1d(a, b)[:RETAINED]
-        estimate = np.isin(union, both).sum() / max(1, len(union))
+    if sure.any():
+        linked = np.zeros((g, g), bool)
+        linked[x[sure], y[sure]] = linked[y[sure], x[sure]] = True
+        unseen = np.ones(g, bool)
+        for root in np.argsort(-linked.sum(1), kind="stable"):
+            queue = [root] if unseen[root] else []
+            unseen[root] = False
+            while queue:
+                at = queue.pop()
+                near = np.flatnonzero(linked[at] & unseen)
+                unseen[near] = False
+                label[near] = root
+                out += [(int(at), int(z)) for z in near]
+                queue += list(near)
+    left = ~sure & ~exact & (c >= (least - band) * np.minimum(small, RETAINED)) & (label[x] != label[y])
+    for a, b, width in zip(x[left], y[left], band[left]):
+        both = np.intersect1d(sets[a], sets[b], assume_unique=True)
         # of the lists that hold both, the one with the smallest common value passes the pair on
-        if estimate >= least - band[x, y] and len(both) and both[0] == v[1]:
-            out.append((int(x), int(y)))
+        if not len(both) or both[0] != head:
+            continue
+        union = np.union1d(sets[a], sets[b])[:RETAINED]
+        if np.isin(union, both).sum() >= (least - width) * len(union):
+            out.append((int(a), int(b)))
     return out
 
 
