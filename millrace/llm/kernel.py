@@ -7,7 +7,7 @@ task's memory follows one slice and not its partition.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -49,12 +49,42 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> U(31))
 
 
-def spans_hash(data: np.ndarray, start: np.ndarray, end: np.ndarray, table: np.ndarray = BYTE) -> np.ndarray:
-    """A 64-bit hash of each data[start:end], from one pass over data."""
+def hasher(data: np.ndarray, table: np.ndarray = BYTE, step: np.uint64 = STEP, back: np.uint64 = BACK) -> Callable[[np.ndarray, np.ndarray], np.ndarray]:
+    """From one pass over data, a function that gives a 64-bit hash of each data[start:end]."""
     total = np.zeros(len(data) + 1, np.uint64)
-    np.cumsum(table[data] * powers(STEP, len(data)), out=total[1:])
-    h = (total[end] - total[start]) * powers(BACK, len(data) + 1)[start]
-    return mix(h + (end - start).astype(np.uint64) * U(0xD6E8FEB86659FD93))
+    np.cumsum(table[data] * powers(step, len(data)), out=total[1:])
+
+    def spans(start: np.ndarray, end: np.ndarray) -> np.ndarray:
+        h = (total[end] - total[start]) * powers(back, len(data) + 1)[start]
+        return mix(h + (end - start).astype(np.uint64) * U(0xD6E8FEB86659FD93))
+
+    return spans
+
+
+def spans_hash(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """A 64-bit hash of each data[start:end]."""
+    return hasher(data)(start, end)
+
+
+def per_row(flags: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+    """Number of set flags in each row's stretch."""
+    total = np.zeros(len(flags) + 1, np.int64)
+    np.cumsum(flags, out=total[1:])
+    return total[offsets[1:]] - total[offsets[:-1]]
+
+
+def lines(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Starts and ends of the \\n-split lines, and each row's first line; an empty row has one empty line."""
+    breaks = np.flatnonzero(data == 10)
+    n = np.searchsorted(breaks, offsets[1:]) - np.searchsorted(breaks, offsets[:-1]) + 1
+    first = np.concatenate(([0], np.cumsum(n)))
+    start, end = np.zeros(first[-1], np.int64), np.zeros(first[-1], np.int64)
+    is_head, is_tail = np.zeros(first[-1], bool), np.zeros(first[-1], bool)
+    is_head[first[:-1]] = True
+    is_tail[first[1:] - 1] = True
+    start[is_head], start[~is_head] = offsets[:-1], breaks + 1
+    end[is_tail], end[~is_tail] = offsets[1:], breaks
+    return start, end, first
 
 
 def slices(column: pa.Array | pa.ChunkedArray) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
