@@ -2,10 +2,21 @@
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from millrace.llm.mixing import taken
 from millrace.llm.near_dedup import near_duplicates
+from millrace.llm.packing import pack
+from millrace.llm.quality import quality
+from millrace.llm.substring_dedup import substring_dedup
+from millrace.llm.token_count import token_counts
+from millrace.llm.topk import top_k
+from millrace.llm.warc import archive
+
+VOCABULARY = public_tokenizers.path("word_bpe_49k.json")
+CONTEXT = 2048
 
 
 def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -16,8 +27,45 @@ def op1_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(read(spark, sf_dir, "documents"))
 
 
+def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_counts(read(spark, sf_dir, "documents"), VOCABULARY, CONTEXT)
+
+
+def op4_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    records, _, _ = archive(read(spark, sf_dir, "pages"))
+    return records
+
+
+def op5_exact_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return top_k(read(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0, 5)
+
+
+def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality(read(spark, sf_dir, "documents"))
+
+
+def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return taken(read(spark, sf_dir, "documents"))
+
+
+def op9_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pack(read(spark, sf_dir, "documents"), VOCABULARY, CONTEXT)
+
+
+def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = substring_dedup(read(spark, sf_dir, "documents"), 400, keep_first=False, with_text=False)
+    return out.drop("kept")
+
+
 QUERIES = {
     "op1_near_dedup": op1_near_dedup,
+    "op3_token_counts": op3_token_counts,
+    "op4_warc": op4_warc,
+    "op5_exact_topk": op5_exact_topk,
+    "op6_quality_rules": op6_quality_rules,
+    "op8_mixing": op8_mixing,
+    "op9_best_fit_packing": op9_best_fit_packing,
+    "op10_substring_dedup": op10_substring_dedup,
 }
 
 ORACLES: dict[str, str] = {}
