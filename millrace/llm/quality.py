@@ -28,7 +28,7 @@ LEAST_WORDS, REPEATED_PERCENT = 20, 30
 #: Documents that a group needs for fences of its own.
 LEAST_GROUP = 100
 #: A fence lies this many interquartile ranges, and this much absolutely (in thousandths), beyond the quartile.
-REACH, SLACK = 4, {"word_length": 1500, "symbols": 150, "dup_lines": 300, "repeats": 250}
+REACH, SLACK = 4, {"word_length": 1200, "symbols": 150, "dup_lines": 500, "repeats": 300}
 MEASURES = list(SLACK)
 
 
