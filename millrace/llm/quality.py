@@ -19,7 +19,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from millrace.llm import kernel
-from millrace.llm.shared import attach, settle
+from millrace.llm.shared import BROADCAST_ROWS, attach, rows_of, settle
 
 SYMBOLS = np.zeros(256, bool)
 SYMBOLS[list(b"#*$%&|<>")] = True
@@ -108,33 +108,76 @@ def fences(measured: DataFrame, keys: list[str]) -> DataFrame:
     return quartiles.groupBy(*keys).agg(F.max("docs").alias("docs"), F.array_sort(F.collect_list(F.struct("m", low.alias("low"), (F.col("q3") + spread).alias("high")))).alias("fences"))
 
 
-def quality(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", source_col: str = "source", carry: tuple[str, ...] = ()) -> DataFrame:
-    """One row per row of docs: doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, kept.
+FAILED = f"n_words < {LEAST_WORDS} or 100 * n_repeat_words > {REPEATED_PERCENT} * n_words"
+COUNTED = ", ".join(f"{c} long" for c in ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines"))
 
-    base_failed: fewer than 20 words, or more than 30 % of the words in 8-word windows that
-    occur twice or more in the text. kept: not base_failed, and each measure
-    (mean word length, symbols a word, repeated lines, repeated words) within the fences
-    of the document's language and source. Null texts are without words; null languages or
-    sources are groups of their own; ids may be null or repeated; an empty table gives no rows.
-    `carry` names further columns to return.
-    """
-    named = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"), F.col(lang_col).cast("string").alias("lang"), F.col(source_col).cast("string").alias("source"), *[F.col(c) for c in carry])
-    schema = ", ".join([f"{f.name} {f.dataType.simpleString()}" for f in named.schema if f.name != "text"] + [f"{c} long" for c in ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines")])
-    counted = named.mapInArrow(base_counts, schema)
-    failed = (F.col("n_words") < LEAST_WORDS) | (100 * F.col("n_repeat_words") > REPEATED_PERCENT * F.col("n_words"))
-    group = F.to_json(F.array("lang", "source"), {"ignoreNullFields": "false"})
-    counted = settle(counted.withColumn("base_failed", failed).withColumns(measures()).withColumn("grp", group), "measures")
+
+def named(docs: DataFrame, id_col: str, text_col: str, lang_col: str, source_col: str) -> DataFrame:
+    columns = [F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"), F.col(lang_col).cast("string").alias("lang")]
+    rows = docs.select(*columns, F.col(source_col).cast("string").alias("source"))
+    return rows.withColumn("grp", group_of("lang", "source"))
+
+
+def group_of(lang: str, source: str) -> Column:
+    """A text that names the language and source, nulls too."""
+    part = lambda c: F.coalesce(F.concat(F.length(c).cast("string"), F.lit(":"), F.col(c)), F.lit("-"))
+    return F.concat(part(lang), part(source))
+
+
+def measured(docs: DataFrame) -> DataFrame:
+    """doc_id, lang, grp, counts, measures and base_failed of each row, settled."""
+    counted = docs.select("doc_id", "text", "lang", "grp").mapInArrow(base_counts, f"doc_id long, lang string, grp string, {COUNTED}")
+    return settle(counted.withColumn("base_failed", F.expr(FAILED)).withColumns(measures()), "measures")
+
+
+def thresholds(counted: DataFrame) -> DataFrame:
+    """grp, fences, weight (documents) of each group, settled."""
     passing = counted.where(~F.col("base_failed"))
-    own = settle(fences(passing, ["lang", "grp"]), "fences")
     whole = fences(passing, []).select(F.col("fences").alias("whole"))
     # one row for each language at most, and one in all; groups that are large enough keep their own
     by_lang = fences(passing, ["lang"]).select(F.col("lang").alias("l"), F.when(F.col("docs") >= LEAST_GROUP, F.col("fences")).alias("by_lang"))
-    own = own.join(by_lang, F.col("lang").eqNullSafe(F.col("l")), "left").join(F.broadcast(whole), F.lit(True), "left")
-    table = settle(own.select("grp", F.when(F.col("docs") >= LEAST_GROUP, F.col("fences")).otherwise(F.coalesce("by_lang", "whole")).alias("fences"), F.col("docs").alias("weight")), "thresholds")
-    total = counted.count()
-    judged = attach(counted, F.col("grp"), table, "grp", "weight", total, F.struct("doc_id", "n_words", "word_chars"))
+    own = fences(passing, ["lang", "grp"]).join(by_lang, F.col("lang").eqNullSafe(F.col("l")), "left").join(F.broadcast(whole), F.lit(True), "left")
+    return settle(own.select("grp", F.when(F.col("docs") >= LEAST_GROUP, F.col("fences")).otherwise(F.coalesce("by_lang", "whole")).alias("fences"), F.col("docs").alias("weight")), "thresholds")
+
+
+def verdict() -> Column:
+    """Not failed by the base rules, and within the fences in all measures."""
     inside = F.lit(True)
     for i, m in enumerate(MEASURES):
         inside = inside & F.col(m).between(F.col("fences")[i]["low"], F.col("fences")[i]["high"])
-    kept = ~F.col("base_failed") & F.coalesce(inside, F.lit(True))
-    return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", kept.alias("kept"), *carry)
+    return ~F.expr(FAILED) & F.coalesce(inside, F.lit(True))
+
+
+def quality(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", source_col: str = "source") -> DataFrame:
+    """One row per row of docs: doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, kept.
+
+    base_failed: fewer than 20 words, or more than 30 % of the words in 8-word windows that
+    occur twice or more in the text. kept: not base_failed, and each measure
+    (mean word length, symbols a word, repeated lines, repeated words) within the fences
+    of the document's language and source. Null texts are without words; null languages or
+    sources are groups of their own; ids may be null or repeated; other columns are not read; an
+    empty table gives no rows.
+    """
+    counted = measured(named(docs, id_col, text_col, lang_col, source_col))
+    judged = attach(counted, F.col("grp"), thresholds(counted), "grp", "weight", rows_of(counted), F.struct("doc_id", "n_words", "word_chars"))
+    return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", verdict().alias("kept"))
+
+
+def quality_filter(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", source_col: str = "source") -> DataFrame:
+    """The rows of docs that quality() keeps, with the columns of docs.
+
+    Counts are made again beside the texts, which costs less than joining verdicts to them.
+    """
+    counted = measured(named(docs, id_col, text_col, lang_col, source_col))
+    table = thresholds(counted)
+    inner = [f"c{i}" for i in range(len(docs.columns))]
+    rows = docs.toDF(*inner).withColumn("text", F.col(inner[docs.columns.index(text_col)]).cast("string"))
+    lang, source = (inner[docs.columns.index(c)] for c in (lang_col, source_col))
+    rows = rows.withColumns({"lang": F.col(lang).cast("string"), "source": F.col(source).cast("string")}).withColumn("grp", group_of("lang", "source")).drop("lang", "source")
+    kinds = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in rows.schema if f.name != "text")
+    again = rows.mapInArrow(base_counts, f"{kinds}, {COUNTED}").withColumns(measures())
+    if rows_of(table) <= BROADCAST_ROWS // 10:
+        judged = again.join(F.broadcast(table), "grp", "left")
+    else:
+        judged = attach(again, F.col("grp"), table, "grp", "weight", rows_of(counted), F.struct(*inner[:1], "n_words", "word_chars"))
+    return judged.where(verdict()).select(*[F.col(c).alias(name) for c, name in zip(inner, docs.columns)])

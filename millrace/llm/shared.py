@@ -65,3 +65,32 @@ def attach(rows: DataFrame, key: Column, table: DataFrame, table_key: str, weigh
         joined = joined.where(F.col("__hkey").isNotNull() | F.col("__ckey").isNotNull())
     found = F.coalesce("__hvalue", "__cvalue")
     return joined.select(*[F.col(c) for c in rows.columns if c != "__key"], *[found[v].alias(v) for v in values])
+
+
+#: A table of keys is broadcast only up to this many rows.
+BROADCAST_ROWS = 300_000
+
+
+def text_keys(text: str = "text") -> dict[str, Column]:
+    """Two 64-bit hashes of a text, which name it in joins."""
+    return {"t1": F.xxhash64(F.lit(1), text), "t2": F.xxhash64(F.lit(7), F.reverse(text), F.octet_length(text))}
+
+
+def distinct_texts(keyed: DataFrame, texts: DataFrame) -> DataFrame:
+    """t1, t2, text of each different text of keyed; texts has t1, t2, copies. Only texts with copies are shuffled."""
+    multiple = texts.where("copies > 1").select("t1", "t2", F.lit(True).alias("many"))
+    few = multiple.count() <= BROADCAST_ROWS
+    marked = keyed.select("t1", "t2", "text").join(F.broadcast(multiple) if few else multiple, ["t1", "t2"], "left")
+    return marked.where(F.col("many").isNull()).drop("many").unionByName(marked.where("many").drop("many").dropDuplicates(["t1", "t2"]))
+
+
+def join_texts(rows: DataFrame, table: DataFrame, n: int) -> DataFrame:
+    """rows (text, t1, t2) with the columns of table, for those it names; n is the number of its rows."""
+    if n <= BROADCAST_ROWS:
+        rows = rows.join(F.broadcast(table.select("t1", "t2")), ["t1", "t2"], "left_semi")
+    return rows.join(table, ["t1", "t2"])
+
+
+def rows_of(df: DataFrame) -> int:
+    """Number of rows of a settled table."""
+    return df.sparkSession.read.schema(df.schema).parquet(df.settled_at).count()
