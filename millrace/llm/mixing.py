@@ -18,7 +18,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from millrace.llm.shared import settle
+from millrace.llm.shared import BROADCAST_ROWS, rows_of, settle
 
 MOST_PASSES = 3
 WEIGHTS = 3
@@ -143,6 +143,8 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
     sizes = settle(rows.select(F.col("__skey").alias("skey"), F.col(source_col).cast("string").alias("source"), F.col("__size").alias("size"), F.col("__h").alias("h")), "sizes")
     blocks, n = plan(sizes, seed)
     renamed = blocks.toDF(*[f"__b_{c}" for c in blocks.columns])
+    # a row for each block, so about a thousandth of the documents
+    renamed = F.broadcast(renamed) if rows_of(blocks) <= BROADCAST_ROWS else renamed
     joined = rows.withColumn("__block", block_of(F.col("__h"), n)).join(renamed, (F.col("__skey") == F.col("__b_skey")) & (F.col("__block") == F.col("__b_block")))
     in_last = F.col("__b_cut").isNull() | (F.col("__h") < F.col("__b_cut")) | ((F.col("__h") == F.col("__b_cut")) & (2 * F.col("__b_cut_words") >= F.col("__size")))
     drawn = F.filter("__b_draws", lambda d: (d["pass"] < F.col("__b_passes")) | in_last)

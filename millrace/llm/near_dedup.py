@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from millrace.llm import kernel
-from millrace.llm.shared import attach, discard, settle
+from millrace.llm.shared import BROADCAST_ROWS, attach, discard, rows_of, settle, text_keys
 
 RETAINED = 192
 INDEXED = 12
@@ -35,8 +35,6 @@ BLOCK = 1024
 #: Longer lists are dealt by size class.
 LONG = 48
 SIGMAS = 6
-#: A table of keys is broadcast only up to this many rows (16 bytes each).
-BROADCAST_KEYS = 500_000
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = 75, k: int = 5) -> DataFrame:
@@ -49,16 +47,41 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     null come last: a component has a null id only if all its ids are null.
     Columns besides id and text are not read. An empty table gives an empty result.
     """
+    return grouped(docs, id_col, text_col, percent, k).select("doc_id", "n_shingles", "component_id", "kept")
+
+
+def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = 75, k: int = 5) -> DataFrame:
+    """docs without near duplicates: of each component the row with the smallest id stays (then by text hash, nulls last).
+
+    Rows without words stay. Of repeated rows (same id and text) one stays. Columns are those of docs.
+    """
+    found = grouped(docs, id_col, text_col, percent, k).where("n_shingles > 0")
+    place = F.struct(F.col("doc_id").isNull().alias("late"), "doc_id", "t1", "t2")
+    found = settle(found.select("component", "doc_id", "t1", "t2"), "found")
+    first = found.groupBy("component").agg(F.min(place).alias("p")).select(F.col("p.doc_id").alias("id"), F.col("p.t1").alias("f1"), F.col("p.t2").alias("f2"))
+    alike = found.groupBy("doc_id", "t1", "t2").agg(F.count(F.lit(1)).alias("rows"))
+    same = F.col("doc_id").eqNullSafe(F.col("id")) & (F.col("t1") == F.col("f1")) & (F.col("t2") == F.col("f2"))
+    judged = settle(alike.join(first, same, "left").where("f1 is null or rows > 1").select("doc_id", "t1", "t2", F.col("f1").isNull().alias("goes")).toDF("__id", "__t1", "__t2", "__goes"), "judged")
+    named = docs.withColumns(dict(zip(("__k1", "__k2"), text_key(text_col))))
+    match = F.col(id_col).cast("long").eqNullSafe(F.col("__id")) & (F.col("__k1") == F.col("__t1")) & (F.col("__k2") == F.col("__t2"))
+    marked = named.join(F.broadcast(judged) if rows_of(judged) <= BROADCAST_ROWS else judged, match, "left")
+    once = marked.where(F.col("__goes").isNull()).select(*docs.columns)
+    repeated = marked.where(~F.col("__goes")).dropDuplicates(["__id", "__t1", "__t2"]).select(*docs.columns)
+    return once.unionByName(repeated) if judged.where("not __goes").limit(1).count() else once
+
+
+def grouped(docs: DataFrame, id_col: str, text_col: str, percent: int, k: int) -> DataFrame:
+    """near_duplicates with the text's hashes t1 and t2, and the component's name."""
     source = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    keyed = source.select("doc_id", "text", *text_key())
+    keyed = source.withColumns(text_keys())
     sketches = settle(keyed.mapInArrow(lambda batches: sketch(batches, k), "doc_id long, t1 long, t2 long, n long, node string, low array<long>, sketch binary"), "sketches")
     edges = settle(verified(candidates(sketches, percent), sketches, keyed, percent, k), "edges")
     return components(sketches, edges)
 
 
-def text_key() -> list:
+def text_key(text: str = "text") -> list:
     """Two 64-bit hashes of the text, which name it in joins."""
-    return [F.xxhash64("text").alias("t1"), F.xxhash64(F.lit(7), F.reverse("text"), F.length("text")).alias("t2")]
+    return list(text_keys(text).values())
 
 
 def sketch(batches: Iterator[pa.RecordBatch], k: int) -> Iterator[pa.RecordBatch]:
@@ -216,8 +239,7 @@ def verified(pairs: DataFrame, sketches: DataFrame, keyed: DataFrame, percent: i
     nodes = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()
     names = sketches.where("n > 0").groupBy("node").agg(F.min(F.struct("t1", "t2")).alias("t")).join(nodes, "node", "left_semi").select("node", "t.t1", "t.t2")
     names = settle(names, "names")
-    asked = names.sparkSession.read.parquet(names.settled_at).count()
-    wanted = F.broadcast(names) if asked <= BROADCAST_KEYS else names
+    wanted = F.broadcast(names) if rows_of(names) <= BROADCAST_ROWS else names
     texts = settle(keyed.select("t1", "t2", "text").join(wanted, ["t1", "t2"]).dropDuplicates(["node"]).select("node", "text"), "texts")
     one = pairs.join(texts.select(F.col("node").alias("a"), F.col("text").alias("text_a")), "a")
     two = one.join(texts.select(F.col("node").alias("b"), F.col("text").alias("text_b")), "b")
@@ -256,7 +278,7 @@ def components(sketches: DataFrame, edges: DataFrame) -> DataFrame:
         state.settled_at = jumped.settled_at
         if not changed:
             break
-    found = settle(smallest.join(state, "node", "left").select("node", F.when(F.col("label").isNotNull(), F.col("label.id")).otherwise(F.col("id")).alias("component_id"), "weight"), "components")
-    out = attach(sketches.select("doc_id", F.col("n").alias("n_shingles"), "node", "t1"), F.col("node"), found, "node", "weight", total, F.struct("doc_id", "t1"))
+    found = settle(smallest.join(state, "node", "left").select("node", F.when(F.col("label").isNotNull(), F.col("label.id")).otherwise(F.col("id")).alias("component_id"), F.coalesce("label.node", "node").alias("component"), "weight"), "components")
+    out = attach(sketches.select("doc_id", F.col("n").alias("n_shingles"), "node", "t1", "t2"), F.col("node"), found, "node", "weight", total, F.struct("doc_id", "t1"))
     own = F.when(F.col("n_shingles") == 0, F.col("doc_id")).otherwise(F.col("component_id"))
-    return out.select("doc_id", "n_shingles", own.alias("component_id"), F.col("doc_id").eqNullSafe(own).alias("kept"))
+    return out.select("doc_id", "n_shingles", own.alias("component_id"), F.col("doc_id").eqNullSafe(own).alias("kept"), "component", "t1", "t2")

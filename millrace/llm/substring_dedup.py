@@ -29,13 +29,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from millrace.llm import kernel
-from millrace.llm.shared import attach, settle
+from millrace.llm.shared import BROADCAST_ROWS, attach, distinct_texts, join_texts, rows_of, settle, text_keys
 
 GRAM, STEP = 50, 32
 #: Bits of a position in a segment; longer texts are read as segments that overlap.
 BITS = 23
-#: Rows up to which a table of keys is broadcast.
-BROADCAST_ROWS = 300_000
 U = np.uint64
 
 
@@ -177,29 +175,22 @@ def repeated_spans(docs: DataFrame, texts: DataFrame, length: int, keep_first: b
 
     docs has text, t1, t2; texts has t1, t2, copies, first_id. Copies of whole texts are left to the caller.
     """
-    spark = docs.sparkSession
-    multiple = texts.where("copies > 1").select("t1", "t2", F.lit(True).alias("many"))
-    few = multiple.count() <= BROADCAST_ROWS
-    marked = docs.where(F.octet_length("text") >= length).join(F.broadcast(multiple) if few else multiple, ["t1", "t2"], "left")
-    single = marked.where(F.col("many").isNull()).select("t1", "t2", "text").unionByName(marked.where("many").select("t1", "t2", "text").dropDuplicates(["t1", "t2"]))
+    single = distinct_texts(docs.where(F.octet_length("text") >= length), texts)
     place = F.struct(F.col("first_id").isNull(), "first_id", "t1", "t2", "place")
 
     runs = settle(single.mapInArrow(lambda b: anchors(b, length), "g long, t1 long, t2 long, p long, i0 long, i1 long"), "anchors")
-    total = runs.count()
+    total = rows_of(runs)
     often = settle(runs.groupBy("g").agg(F.count(F.lit(1)).alias("weight")).where("weight > 1").withColumn("again", F.lit(True)), "often")
     picked = attach(runs, F.col("g"), often, "g", "weight", total, F.struct("t1", "t2", "p"), "inner")
     picked = settle(picked.groupBy("t1", "t2").agg(F.collect_list(F.struct("p", "i0", "i1")).alias("runs")).join(texts.select("t1", "t2", "first_id"), ["t1", "t2"]), "picked")
-    asked = spark.read.schema(picked.schema).parquet(picked.settled_at).count()
-    keys = picked.select("t1", "t2")
-    wanted = single.join(F.broadcast(keys), ["t1", "t2"], "left_semi") if asked <= BROADCAST_ROWS else single
-    parts = settle(wanted.join(picked, ["t1", "t2"]).select("t1", "t2", "first_id", "text", "runs").mapInArrow(lambda b: ranges(b, length), RANGES), "ranges")
+    parts = settle(join_texts(single, picked, rows_of(picked)).select("t1", "t2", "first_id", "text", "runs").mapInArrow(lambda b: ranges(b, length), RANGES), "ranges")
 
     def classes(rows: DataFrame, key: str, name: str) -> DataFrame:
         return settle(rows.where(F.col(key).isNotNull()).groupBy(key).agg(F.count(F.lit(1)).alias("weight"), F.min(place).alias("earliest")).where("weight > 1").withColumn("again", F.lit(True)), name)
 
     goes = F.coalesce(F.col("again") & (~F.col("earliest").eqNullSafe(place) if keep_first else F.lit(True)), F.lit(False))
     leads = F.coalesce(F.col("earliest").eqNullSafe(place), F.lit(True))
-    total = parts.count()
+    total = rows_of(parts)
     named = F.coalesce(F.col("full"), F.xxhash64("t1", "t2", "place", "lo"))  # a range that has no full string has a key of its own
     seen = attach(parts, named, classes(parts, "full", "full"), "full", "weight", total, F.struct("t1", "t2", "place"))
     seen = settle(seen.select("t1", "t2", "first_id", "place", "core", "lo", "hi", F.when(F.col("again").isNull() | F.col("earliest").eqNullSafe(place), F.col("left")).alias("left"), "right", goes.alias("goes"), F.when(F.col("again").isNull(), F.lit(True)).otherwise(leads).alias("leads")), "seen")
@@ -208,7 +199,7 @@ def repeated_spans(docs: DataFrame, texts: DataFrame, length: int, keep_first: b
     cores = settle(open_.groupBy("core").agg(F.count(F.lit(1)).alias("weight")).where("weight > 1").withColumn("again", F.lit(True)), "cores")
     closer = attach(open_, F.col("core"), cores, "core", "weight", total, F.struct("t1", "t2", "place"), "inner")
     each = settle(closer.select("t1", "t2", "first_id", "place", "core", "lo", "hi", "left", "right").mapInArrow(windows, "w long, t1 long, t2 long, first_id long, place long"), "windows")
-    found = attach(each, F.col("w"), classes(each, "w", "alike"), "w", "weight", each.count(), F.struct("t1", "t2", "place"), "inner")
+    found = attach(each, F.col("w"), classes(each, "w", "alike"), "w", "weight", rows_of(each), F.struct("t1", "t2", "place"), "inner")
     single_windows = found.where(goes).select("t1", "t2", F.col("place").alias("start"), (F.col("place") + length).alias("end"))
     return settled.unionByName(single_windows).groupBy("t1", "t2").agg(F.collect_set(F.struct("start", "end")).alias("spans"))
 
@@ -253,7 +244,7 @@ def substring_dedup(docs: DataFrame, length: int = 400, keep_first: bool = True,
     bytes of a character that is cut in two, kept_sha256 does not.
     """
     named = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    keyed = named.withColumns({"t1": F.xxhash64(F.lit(1), "text"), "t2": F.xxhash64(F.lit(7), F.reverse("text"), F.octet_length("text"))})
+    keyed = named.withColumns(text_keys())
     texts = settle(keyed.where(F.octet_length("text") >= length).groupBy("t1", "t2").agg(F.count(F.lit(1)).alias("copies"), F.min("doc_id").alias("first_id")), "texts")
     spans = repeated_spans(keyed.select("text", "t1", "t2"), texts, length, keep_first)
     verdict = settle(texts.join(spans, ["t1", "t2"], "left").where("copies > 1 or spans is not null").select(F.concat_ws(":", "t1", "t2").alias("k"), F.col("copies").alias("weight"), (F.col("copies") > 1).alias("many"), F.col("first_id").alias("first"), "spans"), "verdict")
