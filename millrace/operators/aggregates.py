@@ -21,3 +21,101 @@ def pricing_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lines.groupBy("l_returnflag", "l_linestatus").agg(
         F.count(F.lit(1)).alias("n"), F.sum("l_quantity").alias("sum_qty"), F.sum(revenue).cast("decimal(28,4)").alias("revenue")
     )
+
+
+@register(
+    "agg_basic",
+    "SELECT l_returnflag, count(*) AS n, min(l_quantity) AS least, max(l_quantity) AS most, round(avg(l_quantity), 6) AS mean FROM lineitem GROUP BY l_returnflag HAVING count(*) > 10",
+)
+def agg_basic(spark: SparkSession, sf_dir: str) -> DataFrame:
+    grouped = table(spark, sf_dir, "lineitem").groupBy("l_returnflag")
+    return grouped.agg(F.count(F.lit(1)).alias("n"), F.min("l_quantity").alias("least"), F.max("l_quantity").alias("most"), F.round(F.avg("l_quantity"), 6).alias("mean")).where("n > 10")
+
+
+@register("agg_distinct", "SELECT l_shipmode_flag, count(DISTINCT l_partkey) AS parts, count(DISTINCT l_suppkey) AS suppliers FROM (SELECT l_returnflag AS l_shipmode_flag, l_partkey, l_suppkey FROM lineitem) GROUP BY ALL")
+def agg_distinct(spark: SparkSession, sf_dir: str) -> DataFrame:
+    lines = table(spark, sf_dir, "lineitem").withColumnRenamed("l_returnflag", "l_shipmode_flag")
+    return lines.groupBy("l_shipmode_flag").agg(F.count_distinct("l_partkey").alias("parts"), F.count_distinct("l_suppkey").alias("suppliers"))
+
+
+@register(
+    "agg_filter",
+    "SELECT o_orderpriority, count(*) FILTER (WHERE o_orderstatus = 'F') AS finished, count(*) FILTER (WHERE o_totalprice > 200000) AS large FROM orders GROUP BY o_orderpriority",
+)
+def agg_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "orders").groupBy("o_orderpriority").agg(F.count_if(F.col("o_orderstatus") == "F").alias("finished"), F.count_if(F.col("o_totalprice") > 200000).alias("large"))
+
+
+@register("agg_stats", "SELECT l_returnflag, round(stddev_samp(l_quantity), 6) AS sd, round(var_pop(l_quantity), 6) AS var, round(corr(l_quantity, l_discount), 6) AS r, round(covar_pop(l_quantity, l_tax), 6) AS cov FROM lineitem GROUP BY l_returnflag")
+def agg_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rounded = {"sd": F.stddev_samp("l_quantity"), "var": F.var_pop("l_quantity"), "r": F.corr("l_quantity", "l_discount"), "cov": F.covar_pop("l_quantity", "l_tax")}
+    return table(spark, sf_dir, "lineitem").groupBy("l_returnflag").agg(*[F.round(v, 6).alias(k) for k, v in rounded.items()])
+
+
+@register("agg_percentile", "SELECT c_mktsegment, round(quantile_cont(c_acctbal, 0.25), 6) AS q1, round(median(c_acctbal), 6) AS q2, round(quantile_cont(c_acctbal, 0.9), 6) AS q9 FROM customer GROUP BY c_mktsegment")
+def agg_percentile(spark: SparkSession, sf_dir: str) -> DataFrame:
+    q = lambda p: F.round(F.percentile("c_acctbal", F.lit(p)), 6)
+    return table(spark, sf_dir, "customer").groupBy("c_mktsegment").agg(q(0.25).alias("q1"), F.round(F.median("c_acctbal"), 6).alias("q2"), q(0.9).alias("q9"))
+
+
+@register("agg_argminmax", "SELECT user_id, arg_max(event_type, ts) AS last_type, arg_min(event_type, ts) AS first_type FROM events GROUP BY user_id")
+def agg_argminmax(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "events").groupBy("user_id").agg(F.max_by("event_type", "ts").alias("last_type"), F.min_by("event_type", "ts").alias("first_type"))
+
+
+@register("agg_collect", "SELECT p_brand, string_agg(DISTINCT p_type, ',' ORDER BY p_type) AS types FROM part GROUP BY p_brand")
+def agg_collect(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "part").groupBy("p_brand").agg(F.array_join(F.array_sort(F.collect_set("p_type")), ",").alias("types"))
+
+
+@register("agg_bool_bit", "SELECT o_orderstatus, bool_and(o_totalprice > 0) AS all_paid, bool_or(o_totalprice > 400000) AS any_large, bit_xor(o_custkey) AS keys_xor, bit_or(o_custkey) AS keys_or FROM orders GROUP BY o_orderstatus")
+def agg_bool_bit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    grouped = table(spark, sf_dir, "orders").groupBy("o_orderstatus")
+    return grouped.agg(F.bool_and(F.col("o_totalprice") > 0).alias("all_paid"), F.bool_or(F.col("o_totalprice") > 400000).alias("any_large"), F.bit_xor("o_custkey").alias("keys_xor"), F.bit_or("o_custkey").alias("keys_or"))
+
+
+@register("agg_rollup", "SELECT l_returnflag, l_linestatus, CAST(grouping(l_returnflag) AS INTEGER) AS g, count(*) AS n FROM lineitem GROUP BY ROLLUP (l_returnflag, l_linestatus)")
+def agg_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "lineitem").rollup("l_returnflag", "l_linestatus").agg(F.grouping("l_returnflag").cast("int").alias("g"), F.count(F.lit(1)).alias("n"))
+
+
+@register("agg_cube", "SELECT p_brand, p_type, count(*) AS n, CAST(sum(p_size) AS BIGINT) AS size FROM part GROUP BY CUBE (p_brand, p_type)")
+def agg_cube(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "part").cube("p_brand", "p_type").agg(F.count(F.lit(1)).alias("n"), F.sum("p_size").alias("size"))
+
+
+@register("agg_grouping_sets", "SELECT o_orderstatus, o_orderpriority, count(*) AS n FROM orders GROUP BY GROUPING SETS ((o_orderstatus), (o_orderpriority), ())")
+def agg_grouping_sets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    status, priority = F.col("o_orderstatus"), F.col("o_orderpriority")
+    return table(spark, sf_dir, "orders").groupingSets([(status,), (priority,), ()], status, priority).agg(F.count(F.lit(1)).alias("n"))
+
+
+@register("agg_approx_distinct")
+def agg_approx_distinct(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sketch estimates beside the exact number; sketches have no counterpart in another engine."""
+    sketch = F.hll_sketch_estimate(F.hll_sketch_agg("l_partkey"))
+    return table(spark, sf_dir, "lineitem").groupBy("l_returnflag").agg(F.approx_count_distinct("l_partkey", 0.01).alias("hllpp"), sketch.alias("hll"), F.count_distinct("l_partkey").alias("exact"))
+
+
+@register("agg_approx_quantile")
+def agg_approx_quantile(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Approximate quantiles beside the exact median."""
+    return table(spark, sf_dir, "lineitem").groupBy("l_returnflag").agg(F.percentile_approx("l_extendedprice", 0.5, 1000).alias("approx"), F.median("l_extendedprice").alias("exact"))
+
+
+@register(
+    "market_share",
+    """SELECT n_name, CAST(sum(CAST(l_extendedprice * (1 - l_discount) AS DECIMAL(18, 4))) AS DECIMAL(28, 4)) AS revenue
+       FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN customer ON o_custkey = c_custkey
+       JOIN supplier ON l_suppkey = s_suppkey AND s_nationkey = c_nationkey JOIN nation ON s_nationkey = n_nationkey
+       WHERE o_orderdate >= TIMESTAMP '1996-01-01' AND o_orderdate < TIMESTAMP '1998-01-01' GROUP BY n_name""",
+)
+def market_share(spark: SparkSession, sf_dir: str) -> DataFrame:
+    t = lambda name: table(spark, sf_dir, name)
+    orders = t("orders").where("o_orderdate >= timestamp_ntz'1996-01-01' and o_orderdate < timestamp_ntz'1998-01-01'")
+    lines = t("lineitem").join(orders, F.col("l_orderkey") == F.col("o_orderkey")).join(t("customer"), F.col("o_custkey") == F.col("c_custkey"))
+    local = lines.join(t("supplier"), (F.col("l_suppkey") == F.col("s_suppkey")) & (F.col("s_nationkey") == F.col("c_nationkey")))
+    revenue = (F.col("l_extendedprice") * (1 - F.col("l_discount"))).cast("decimal(18,4)")
+    # aggregated by key before the names are joined
+    by_key = local.groupBy("s_nationkey").agg(F.sum(revenue).alias("r"))
+    return by_key.join(t("nation"), F.col("s_nationkey") == F.col("n_nationkey")).groupBy("n_name").agg(F.sum("r").cast("decimal(28,4)").alias("revenue"))

@@ -2,14 +2,17 @@
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLES: dict = {}
+import importlib
+from collections.abc import Callable
 
+QUERIES: dict[str, Callable] = {}
+ORACLES: dict[str, str] = {}
 
-def register(name: str, sql: str | None = None):
+
+def register(name: str, sql: str | None = None) -> Callable:
     """Add a query function, and the SQL that gives the same rows."""
 
-    def add(f):
+    def add(f: Callable) -> Callable:
         QUERIES[name] = f
         if sql is not None:
             ORACLES[name] = sql
@@ -18,4 +21,7 @@ def register(name: str, sql: str | None = None):
     return add
 
 
-from millrace.operators import aggregates  # noqa: E402, F401
+MODULES = [f"operators.{m}" for m in ("aggregates", "projections", "joins", "windows", "sorting", "sets")]
+MODULES += ["functions.scalars", "functions.udfs", "sources.formats", "streaming.streams"]
+for module in MODULES:
+    importlib.import_module(f"millrace.{module}")
