@@ -33,7 +33,7 @@ from millrace.llm.shared import BROADCAST_ROWS, attach, distinct_texts, join_tex
 
 GRAM, STEP = 50, 32
 #: Bits of a position in a segment; longer texts are read as segments that overlap.
-BITS = 23
+BITS = 21
 U = np.uint64
 
 
