@@ -35,7 +35,7 @@ def powers(base: np.uint64, n: int) -> np.ndarray:
         out[1:] = base
         np.multiply.accumulate(out, out=out)
         if n > 2 * SLICE:
-            return out
+            return out[:n]
         _powers[int(base)] = have = out
     return have[:n]
 

@@ -125,15 +125,8 @@ def without(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in others], pa.array(total, pa.int64()), pa.array(lost, pa.int64()), pa.array(digest, pa.string()), pa.array(kept, pa.string())], [*others, "n_lines", "n_dropped", "kept_sha256", "kept"])
 
 
-def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", least_texts: int = TEXTS, percent: int = CONSTANT_PERCENT, least_tokens: int = TOKENS, carry: tuple[str, ...] = ()) -> DataFrame:
-    """One row per row of docs: doc_id, n_lines, n_dropped, kept_sha256, kept (the text without its dropped lines), and the carried columns.
-
-    A line goes if its template has at least least_tokens tokens, percent of them constant, and
-    recurs in least_texts different texts, except in the text with the smallest id. Copies of a text count once, so
-    that copying a document doesn't make its lines recurring. A text with no dropped
-    line stays as it is; null texts stay null and count one empty line; ids may be null (last) or
-    repeated; rows with equal texts lose the same lines; an empty table gives no rows.
-    """
+def judged(docs: DataFrame, id_col: str, text_col: str, least_texts: int, percent: int, least_tokens: int, carry: list[str]) -> DataFrame:
+    """doc_id, __c_0, __c_1, ... (the carried columns), n_lines, n_dropped, kept_sha256, kept."""
     named = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"), *[F.col(c).alias(f"__c_{i}") for i, c in enumerate(carry)])
     keyed = named.withColumns(text_keys())
     texts = settle(keyed.where("text is not null").groupBy("t1", "t2").agg(F.count(F.lit(1)).alias("copies"), F.min("doc_id").alias("first_id")), "texts")
@@ -141,11 +134,33 @@ def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     gone = settle(gone.join(texts, ["t1", "t2"]).select(F.concat_ws(":", "t1", "t2").alias("k"), "lines", F.col("copies").alias("weight")), "gone")
     key = F.concat_ws(":", "t1", "t2")
     if rows_of(gone) <= BROADCAST_ROWS:
-        judged = keyed.withColumn("k", key).join(F.broadcast(gone.drop("weight")), "k", "left").drop("k")
+        marked = keyed.withColumn("k", key).join(F.broadcast(gone.drop("weight")), "k", "left").drop("k")
     else:
         total = gone.sparkSession.read.schema(gone.schema).parquet(gone.settled_at).agg(F.sum("weight")).first()[0]
-        judged = attach(keyed, key, gone, "k", "weight", total, F.struct("doc_id", "t1"))
-    carried = [f"__c_{i}" for i in range(len(carry))]
-    kinds = "".join(f"{c} {dict(named.dtypes)[c]}, " for c in carried)
-    out = judged.select("doc_id", *carried, "text", "lines").mapInArrow(without, f"doc_id long, {kinds}n_lines long, n_dropped long, kept_sha256 string, kept string")
-    return out.toDF("doc_id", *carry, "n_lines", "n_dropped", "kept_sha256", "kept")
+        marked = attach(keyed, key, gone, "k", "weight", total, F.struct("doc_id", "t1"))
+    kinds = "".join(f"__c_{i} {named.schema[f'__c_{i}'].dataType.simpleString()}, " for i in range(len(carry)))
+    rows = marked.select("doc_id", *[f"__c_{i}" for i in range(len(carry))], "text", "lines")
+    return rows.mapInArrow(without, f"doc_id long, {kinds}n_lines long, n_dropped long, kept_sha256 string, kept string")
+
+
+def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", least_texts: int = TEXTS, percent: int = CONSTANT_PERCENT, least_tokens: int = TOKENS) -> DataFrame:
+    """One row per row of docs: doc_id, n_lines, n_dropped, kept_sha256, kept (the text without its dropped lines).
+
+    A line goes if its template has at least least_tokens tokens, percent of them constant, and
+    recurs in least_texts different texts, except in the text with the smallest id. Copies of a text count once, so
+    that copying a document doesn't make its lines recurring. A text with no dropped
+    line stays as it is; null texts stay null and count one empty line; ids may be null (last) or
+    repeated; rows with equal texts lose the same lines; other columns are not read; an empty table gives no rows.
+    """
+    return judged(docs, id_col, text_col, least_texts, percent, least_tokens, [])
+
+
+def line_filter(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length_col: str | None = None) -> DataFrame:
+    """docs with the lines that line_dedup drops taken from their texts; every row stays, with all its columns.
+
+    length_col, if given, becomes the number of characters of texts that lost lines.
+    """
+    out = judged(docs, id_col, text_col, TEXTS, CONSTANT_PERCENT, TOKENS, docs.columns)
+    shorter = F.length("kept").cast("long")
+    made = {text_col: F.col("kept")} | ({length_col: F.when(F.col("n_dropped") > 0, shorter)} if length_col else {})
+    return out.select(*[F.coalesce(made[c], F.col(f"__c_{i}")).alias(c) if c in made else F.col(f"__c_{i}").alias(c) for i, c in enumerate(docs.columns)])

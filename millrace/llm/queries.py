@@ -6,6 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from millrace.llm import oracles
 from millrace.llm.line_dedup import line_dedup
 from millrace.llm.mixing import taken
 from millrace.llm.near_dedup import near_duplicates
@@ -34,7 +35,7 @@ def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op4_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     records, _, _ = archive(read(spark, sf_dir, "pages"))
-    return records
+    return records.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
 def op5_exact_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -74,4 +75,11 @@ QUERIES = {
     "op10_substring_dedup": op10_substring_dedup,
 }
 
-ORACLES: dict[str, str] = {}
+#: Token counts, packing, the mixture's hashes and 400-byte windows are tested against brute force instead.
+ORACLES = {
+    "op1_near_dedup": oracles.OP1,
+    "op4_warc": oracles.OP4,
+    "op5_exact_topk": oracles.OP5,
+    "op6_quality_rules": oracles.OP6,
+    "op7_line_dedup": oracles.OP7,
+}
