@@ -9,9 +9,8 @@ from __future__ import annotations
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
-from millrace.llm.line_dedup import line_dedup
+from millrace.llm.line_dedup import line_filter
 from millrace.llm.mixing import mix
 from millrace.llm.near_dedup import near_dedup
 from millrace.llm.packing import pack
@@ -28,10 +27,7 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 def drop_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Recurring lines go; a document that loses all its lines stays, with an empty text."""
-    others = [c for c in docs.columns if c not in ("doc_id", "text", "n_chars")]
-    out = line_dedup(docs, carry=(*others, "n_chars"))
-    length = F.when(F.col("n_dropped") > 0, F.length("kept")).otherwise(F.col("n_chars")).cast("long")
-    return out.withColumns({"text": F.col("kept"), "n_chars": length}).select(*docs.columns)
+    return line_filter(docs, length_col="n_chars")
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
