@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from millrace.llm import oracles
+from millrace.llm.chain_dedup import passages
 from millrace.llm.line_dedup import line_dedup
 from millrace.llm.mixing import taken
 from millrace.llm.near_dedup import near_duplicates
@@ -29,6 +30,10 @@ def op1_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(read(spark, sf_dir, "documents"))
 
 
+def op2_chain_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return passages(read(spark, sf_dir, "documents"))
+
+
 def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts(read(spark, sf_dir, "documents"), VOCABULARY, CONTEXT)
 
@@ -65,6 +70,7 @@ def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op1_near_dedup": op1_near_dedup,
+    "op2_chain_dedup": op2_chain_dedup,
     "op3_token_counts": op3_token_counts,
     "op4_warc": op4_warc,
     "op5_exact_topk": op5_exact_topk,

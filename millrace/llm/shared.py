@@ -77,11 +77,15 @@ def text_keys(text: str = "text") -> dict[str, Column]:
 
 
 def distinct_texts(keyed: DataFrame, texts: DataFrame) -> DataFrame:
-    """t1, t2, text of each different text of keyed; texts has t1, t2, copies. Only texts with copies are shuffled."""
-    multiple = texts.where("copies > 1").select("t1", "t2", F.lit(True).alias("many"))
+    """t1, t2, id, text of each different text of keyed (doc_id, text, t1, t2).
+
+    texts has t1, t2, copies, first_id, and first_id becomes id. Only texts with copies are shuffled.
+    """
+    multiple = texts.where("copies > 1").select("t1", "t2", "first_id", F.lit(True).alias("many"))
     few = multiple.count() <= BROADCAST_ROWS
-    marked = keyed.select("t1", "t2", "text").join(F.broadcast(multiple) if few else multiple, ["t1", "t2"], "left")
-    return marked.where(F.col("many").isNull()).drop("many").unionByName(marked.where("many").drop("many").dropDuplicates(["t1", "t2"]))
+    marked = keyed.select("t1", "t2", "doc_id", "text").join(F.broadcast(multiple) if few else multiple, ["t1", "t2"], "left")
+    once = marked.where(F.col("many").isNull()).select("t1", "t2", F.col("doc_id").alias("id"), "text")
+    return once.unionByName(marked.where("many").select("t1", "t2", F.col("first_id").alias("id"), "text").dropDuplicates(["t1", "t2"]))
 
 
 def join_texts(rows: DataFrame, table: DataFrame, n: int) -> DataFrame:

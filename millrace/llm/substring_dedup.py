@@ -173,7 +173,7 @@ def windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def repeated_spans(docs: DataFrame, texts: DataFrame, length: int, keep_first: bool) -> DataFrame:
     """t1, t2, spans: for each distinct text the byte spans [start, end) that are to go, overlapping ones not yet merged.
 
-    docs has text, t1, t2; texts has t1, t2, copies, first_id. Copies of whole texts are left to the caller.
+    docs has doc_id, text, t1, t2; texts has t1, t2, copies, first_id. Copies of whole texts are left to the caller.
     """
     single = distinct_texts(docs.where(F.octet_length("text") >= length), texts)
     place = F.struct(F.col("first_id").isNull(), "first_id", "t1", "t2", "place")
@@ -246,7 +246,7 @@ def substring_dedup(docs: DataFrame, length: int = 400, keep_first: bool = True,
     named = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     keyed = named.withColumns(text_keys())
     texts = settle(keyed.where(F.octet_length("text") >= length).groupBy("t1", "t2").agg(F.count(F.lit(1)).alias("copies"), F.min("doc_id").alias("first_id")), "texts")
-    spans = repeated_spans(keyed.select("text", "t1", "t2"), texts, length, keep_first)
+    spans = repeated_spans(keyed, texts, length, keep_first)
     verdict = settle(texts.join(spans, ["t1", "t2"], "left").where("copies > 1 or spans is not null").select(F.concat_ws(":", "t1", "t2").alias("k"), F.col("copies").alias("weight"), (F.col("copies") > 1).alias("many"), F.col("first_id").alias("first"), "spans"), "verdict")
     size = docs.sparkSession.read.schema(verdict.schema).parquet(verdict.settled_at).agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.sum(F.size("spans")), F.lit(0)).alias("m"), F.coalesce(F.sum("weight"), F.lit(0)).alias("w")).first()
     key = F.concat_ws(":", "t1", "t2")
