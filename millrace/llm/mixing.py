@@ -24,7 +24,7 @@ MOST_PASSES = 3
 WEIGHTS = 3
 WORD = r"[^\x20\x09-\x0D]+"
 #: Documents for each number of blocks, block draws for each output shard, levels of the tree for each step.
-BLOCK, SHARD, LEVELS = 1024, 256, 6
+BLOCK, SHARD, LEVELS = 1024, 32, 6
 
 
 def targets(sizes: DataFrame) -> DataFrame:
