@@ -1,20 +1,22 @@
-"""Removing long repeated byte strings from a corpus.
+"""Removing long repeated byte strings from a corpus by suffix arrays and longest previous factors.
 
 Semantics: a string of `length` bytes that starts at two places is repeated;
-places are compared in suffix order truncated at `length` bytes, in which equal strings
-stand together and the previous smaller position names the earlier match. One
-suffix array over the corpus would have to sit in one place, so the order is
-made by fingerprints, level by level, with nothing but keyed counts:
+suffixes are sorted as far as `length` bytes, and the previous and next smaller
+positions in that order give each one's longest earlier match. One suffix array over the
+corpus would have to sit in one place, so suffixes are dealt to many arrays by
+keys that suffixes with equal beginnings share, and what keyed counts decide already never enters one:
 
 1. Each window of `length` bytes has an anchor, its smallest GRAM-byte hash (the leftmost, if
    level). Equal windows have equal anchors at equal places, so only windows
    with an anchor that occurs again can be repeated. About one position in 170 is an anchor.
 2. The windows of such an anchor are taken STEP at a time. The string that they
-   cover together (`full`) settles all of them at once if it occurs again.
-3. Of each distinct `full`, one row goes on: if the bytes that its windows share
-   (`core`) occur again, its windows are compared one by one.
+   cover together (`full`) settles all of them at once if it occurs again. Of each
+   distinct `full`, one row goes on, if the bytes that its windows share (`core`) occur again.
+3. Rows with equal cores meet in a bucket, which sorts the suffixes that start at their
+   windows and reads their longest previous factors off the array. Cores with more than HOT rows don't enter:
+   their windows are counted by fingerprints, so that no bucket gathers a hot core.
 
-Every level is a partial aggregation and a join that keeps hot keys out
+Every count is a partial aggregation and a join that keeps hot keys out
 of the shuffle, so a passage that a third of all documents share is never gathered.
 """
 
@@ -25,6 +27,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -34,6 +37,8 @@ from millrace.llm.shared import BROADCAST_ROWS, attach, distinct_texts, join_tex
 GRAM, STEP = 50, 32
 #: Bits of a position in a segment; longer texts are read as segments that overlap.
 BITS = 21
+#: Rows for each bucket of suffixes, and rows above which a core's windows are counted instead.
+BUCKET, HOT = 512, 2048
 U = np.uint64
 
 
@@ -92,7 +97,7 @@ def anchors(batches: Iterator[pa.RecordBatch], length: int) -> Iterator[pa.Recor
             )
 
 
-RANGES = "t1 long, t2 long, first_id long, place long, full long, core long, lo int, hi int, left binary, right binary"
+RANGES = "t1 long, t2 long, first_id long, place long, full long, core long, lo int, hi int"
 
 
 def ranges(batches: Iterator[pa.RecordBatch], length: int) -> Iterator[pa.RecordBatch]:
@@ -126,7 +131,6 @@ def ranges(batches: Iterator[pa.RecordBatch], length: int) -> Iterator[pa.Record
             whole = (first >= 0) & (last + length <= len(data))
             full = np.where(whole, spans(np.maximum(first, 0), np.minimum(last + length, len(data))) ^ level, U(0))
             lo, hi = np.maximum(last - i1[run], 0), np.minimum(last - i0[run], STEP - 1)
-            raw = data.tobytes()
             yield pa.RecordBatch.from_arrays(
                 [
                     *[pa.array(np.full(len(last), batch.column(c)[k].as_py(), np.int64)) for c in ("t1", "t2")],
@@ -136,38 +140,89 @@ def ranges(batches: Iterator[pa.RecordBatch], length: int) -> Iterator[pa.Record
                     pa.array(core.view(np.int64)),
                     pa.array(lo.astype(np.int32)),
                     pa.array(hi.astype(np.int32)),
-                    pa.array([raw[max(a, 0) : b] for a, b in zip(first.tolist(), last.tolist())], pa.binary()),
-                    pa.array([raw[a + length : b + length] for a, b in zip(first.tolist(), last.tolist())], pa.binary()),
                 ],
                 [x.split()[0] for x in RANGES.split(", ")],
             )
 
 
-def windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """A fingerprint for each window of a range: of the core and the bytes that the window adds on either side."""
+EXTRACTS = "core long, many boolean, t1 long, t2 long, first_id long, start long, body binary"
+
+
+def extracts(batches: Iterator[pa.RecordBatch], length: int) -> Iterator[pa.RecordBatch]:
+    """The bytes that the open windows of each asked range cover, from the first one's start on."""
     for batch in batches:
-        lo, hi = batch.column("lo").to_numpy().astype(np.int64), batch.column("hi").to_numpy().astype(np.int64)
-        n = hi - lo + 1
-        row = np.repeat(np.arange(batch.num_rows), n)
-        back = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n) + lo[row]
-        sides = []
-        for name, side in (("left", 0), ("right", 1)):
-            column = batch.column(name).cast(pa.large_binary())
-            _, offsets, raw = column.buffers()
-            at = np.frombuffer(offsets, np.int64)[column.offset : column.offset + len(column) + 1]
-            raw = np.frombuffer(raw, np.uint8) if raw is not None else np.zeros(0, np.uint8)
-            data, at = raw[at[0] : at[-1]], at - at[0]
-            spans = kernel.hasher(data)
-            if side == 0:
-                sides.append(spans(at[row + 1] - back, at[row + 1]))
-            else:
-                sides.append(spans(at[row], at[row] + (STEP - 1 - back)))
-        core = batch.column("core").to_numpy().view(np.uint64)[row]
-        w = kernel.mix(core * kernel.PLACE[0] + sides[0] * kernel.PLACE[1] + sides[1] * kernel.PLACE[2] + back.astype(np.uint64))
+        asked = batch.column("asked")
+        for k in range(batch.num_rows):
+            raw = batch.column("text")[k].as_py().encode()
+            place, lo, hi = (asked[k].values.field(c).to_numpy().astype(np.int64) for c in ("place", "lo", "hi"))
+            own = [pa.array([batch.column(c)[k].as_py()] * len(place), pa.int64()) for c in ("t1", "t2", "first_id")]
+            body = [raw[a:b] for a, b in zip((place - hi).tolist(), (place - lo + length).tolist())]
+            yield pa.RecordBatch.from_arrays([asked[k].values.field("core"), asked[k].values.field("many"), *own, pa.array(place - hi), pa.array(body, pa.binary())], [x.split()[0] for x in EXTRACTS.split(", ")])
+
+
+def bodies(column: pa.Array, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """All bytes, and of each window its row, its first byte, and its distance from the row's first."""
+    column = column.cast(pa.large_binary())
+    _, offsets, raw = column.buffers()
+    at = np.frombuffer(offsets, np.int64)[column.offset : column.offset + len(column) + 1]
+    data, at = np.frombuffer(raw, np.uint8)[at[0] : at[-1]], at - at[0]
+    n = np.diff(at) - length + 1
+    row = np.repeat(np.arange(len(n)), n)
+    ahead = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+    return data, row, at[row] + ahead, ahead
+
+
+def previous_factors(order: np.ndarray, lcp: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Of each position the length of its longest previous factor, and where that starts (-1: nowhere).
+
+    order has the positions in suffix order, lcp what each shares with the one before it. A stack
+    holds positions that rise; the entry below a position is its previous smaller one, and what
+    removes it from the stack is its next smaller one (Crochemore and Ilie).
+    """
+    factor, source = [0] * len(order), [-1] * len(order)
+    stack: list[tuple[int, int]] = []
+    for at, common in zip([*order.tolist(), -1], [*lcp.tolist(), 0]):
+        while stack and at < stack[-1][0]:
+            top, below = stack.pop()
+            factor[top] = max(below, common)
+            source[top] = (stack[-1][0] if below >= common else at) if factor[top] else -1
+            common = min(below, common)
+        stack.append((at, common))
+    return np.array(factor, np.int64), np.array(source, np.int64)
+
+
+def sorted_bucket(bucket: pa.Table, length: int, keep_first: bool) -> pa.Table:
+    """t1, t2, start, end of the repeated windows of a bucket, as runs, from the suffix array of its windows."""
+    late = pc.is_null(bucket.column("first_id"))
+    bucket = bucket.append_column("late", late).sort_by([(c, "ascending") for c in ("late", "first_id", "t1", "t2", "start")])
+    data, row, first, ahead = bodies(bucket.column("body").combine_chunks(), length)
+    # a suffix's number is its place in the order of documents and positions
+    suffix = np.lib.stride_tricks.sliding_window_view(data, length)[first]
+    order = np.argsort(suffix.view(f"S{length}").ravel(), kind="stable")
+    differ = suffix[order[1:]] != suffix[order[:-1]]
+    shared = np.where(differ.any(axis=1), differ.argmax(axis=1), length)
+    factor, source = previous_factors(order, np.append(0, shared))
+    goes = factor >= length
+    if not keep_first:  # an earlier match goes too
+        goes[source[goes]] = True
+    at = np.flatnonzero(goes)
+    new = np.append(True, (np.diff(at) > 1) | (np.diff(row[at]) > 0))[: len(at)]
+    last = np.append(np.flatnonzero(new)[1:] - 1, len(at) - 1)[: new.sum()]
+    take = pa.array(row[at[new]])
+    start = bucket.column("start").combine_chunks().to_numpy()[row[at[new]]]
+    spans = [pa.array(start + ahead[at[new]]), pa.array(start + ahead[at[last]] + length)]
+    return pa.table([bucket.column("t1").take(take), bucket.column("t2").take(take), *spans], ["t1", "t2", "start", "end"])
+
+
+def windows(batches: Iterator[pa.RecordBatch], length: int) -> Iterator[pa.RecordBatch]:
+    """A fingerprint of each window."""
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        data, row, first, ahead = bodies(batch.column("body"), length)
+        w = kernel.hasher(data)(first, first + length)
         take = pa.array(row)
-        yield pa.RecordBatch.from_arrays(
-            [pa.array(w.view(np.int64)), *[batch.column(c).take(take) for c in ("t1", "t2", "first_id")], pa.array(batch.column("place").to_numpy()[row] - back)], ["w", "t1", "t2", "first_id", "place"]
-        )
+        yield pa.RecordBatch.from_arrays([pa.array(w.view(np.int64)), *[batch.column(c).take(take) for c in ("t1", "t2", "first_id")], pa.array(batch.column("start").to_numpy()[row] + ahead)], ["w", "t1", "t2", "first_id", "place"])
 
 
 def repeated_spans(docs: DataFrame, texts: DataFrame, length: int, keep_first: bool) -> DataFrame:
@@ -193,15 +248,21 @@ def repeated_spans(docs: DataFrame, texts: DataFrame, length: int, keep_first: b
     total = rows_of(parts)
     named = F.coalesce(F.col("full"), F.xxhash64("t1", "t2", "place", "lo"))  # a range that has no full string has a key of its own
     seen = attach(parts, named, classes(parts, "full", "full"), "full", "weight", total, F.struct("t1", "t2", "place"))
-    seen = settle(seen.select("t1", "t2", "first_id", "place", "core", "lo", "hi", F.when(F.col("again").isNull() | F.col("earliest").eqNullSafe(place), F.col("left")).alias("left"), "right", goes.alias("goes"), F.when(F.col("again").isNull(), F.lit(True)).otherwise(leads).alias("leads")), "seen")
+    seen = settle(seen.select("t1", "t2", "first_id", "place", "core", "lo", "hi", goes.alias("goes"), F.when(F.col("again").isNull(), F.lit(True)).otherwise(leads).alias("leads")), "seen")
     settled = seen.where("goes").select("t1", "t2", (F.col("place") - STEP + 1).alias("start"), (F.col("place") + length).alias("end"))
-    open_ = seen.where("leads").select("t1", "t2", "first_id", "place", "core", "lo", "hi", "left", "right")
-    cores = settle(open_.groupBy("core").agg(F.count(F.lit(1)).alias("weight")).where("weight > 1").withColumn("again", F.lit(True)), "cores")
+    open_ = seen.where("leads").select("t1", "t2", "first_id", "place", "core", "lo", "hi")
+    cores = settle(open_.groupBy("core").agg(F.count(F.lit(1)).alias("weight")).where("weight > 1").withColumn("many", F.col("weight") > HOT), "cores")
     closer = attach(open_, F.col("core"), cores, "core", "weight", total, F.struct("t1", "t2", "place"), "inner")
-    each = settle(closer.select("t1", "t2", "first_id", "place", "core", "lo", "hi", "left", "right").mapInArrow(windows, "w long, t1 long, t2 long, first_id long, place long"), "windows")
+    asked = settle(closer.groupBy("t1", "t2").agg(F.first("first_id").alias("first_id"), F.collect_list(F.struct("place", "lo", "hi", "core", "many")).alias("asked")), "asked")
+    bytes_ = settle(join_texts(single, asked, rows_of(asked)).select("t1", "t2", "first_id", "text", "asked").mapInArrow(lambda b: extracts(b, length), EXTRACTS), "extracts")
+    few = bytes_.where("not many")
+    buckets = max(1, -(-few.count() // BUCKET))
+    bucketed = few.select(F.pmod(F.xxhash64("core"), F.lit(buckets)).alias("bucket"), "t1", "t2", "first_id", "start", "body").groupBy("bucket")
+    by_array = bucketed.applyInArrow(lambda t: sorted_bucket(t, length, keep_first), "t1 long, t2 long, start long, end long")
+    each = settle(bytes_.where("many").select("t1", "t2", "first_id", "start", "body").mapInArrow(lambda b: windows(b, length), "w long, t1 long, t2 long, first_id long, place long"), "windows")
     found = attach(each, F.col("w"), classes(each, "w", "alike"), "w", "weight", rows_of(each), F.struct("t1", "t2", "place"), "inner")
-    single_windows = found.where(goes).select("t1", "t2", F.col("place").alias("start"), (F.col("place") + length).alias("end"))
-    return settled.unionByName(single_windows).groupBy("t1", "t2").agg(F.collect_set(F.struct("start", "end")).alias("spans"))
+    by_count = found.where(goes).select("t1", "t2", F.col("place").alias("start"), (F.col("place") + length).alias("end"))
+    return settled.unionByName(by_array).unionByName(by_count).groupBy("t1", "t2").agg(F.collect_set(F.struct("start", "end")).alias("spans"))
 
 
 def cut(batches: Iterator[pa.RecordBatch], length: int, with_text: bool) -> Iterator[pa.RecordBatch]:

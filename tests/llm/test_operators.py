@@ -342,6 +342,34 @@ def test_substring_dedup(spark, keep_first):
     assert [tuple(r)[1:5] for r in found] == substrings(values, 400, keep_first)
 
 
+@pytest.mark.parametrize("seed", range(12))
+def test_previous_factors(seed):
+    """Longest previous factors and their places against all pairs of positions."""
+    from millrace.llm.substring_dedup import previous_factors
+
+    r = random.Random(seed)
+    text = "".join(r.choice("ab") for _ in range(r.randint(1, 70)))
+    common = lambda i, j: next((k for k in range(len(text) - max(i, j)) if text[i + k] != text[j + k]), len(text) - max(i, j))
+    order = sorted(range(len(text)), key=lambda i: text[i:])
+    lcp = [0] + [common(a, b) for a, b in zip(order, order[1:])]
+    factor, source = previous_factors(np.array(order), np.array(lcp))
+    for i in range(len(text)):
+        assert factor[i] == max([common(i, j) for j in range(i)], default=0)
+        assert source[i] == -1 if not factor[i] else source[i] < i and common(i, source[i]) == factor[i]
+
+
+@pytest.mark.parametrize("keep_first", [True, False])
+def test_substring_hot_cores(spark, monkeypatch, keep_first):
+    """Small buckets, and cores that are counted instead, give the same rows."""
+    from millrace.llm import substring_dedup as module
+
+    monkeypatch.setattr(module, "HOT", 4)
+    monkeypatch.setattr(module, "BUCKET", 3)
+    values = texts() + [prose(200 + i, 9 + i) + " " + prose(61, 130) + " " + prose(300 + i, 7) for i in range(12)] + ["ab" * 700, "ab" * 450 + "c"]
+    found = sorted(substring_dedup(rows(spark, values), 400, keep_first).collect(), key=lambda r: r.doc_id)
+    assert [tuple(r)[1:5] for r in found] == substrings(values, 400, keep_first)
+
+
 def test_substring_without_broadcast(spark, monkeypatch):
     from millrace.llm import substring_dedup as module
 
