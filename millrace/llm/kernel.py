@@ -12,7 +12,7 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pyarrow as pa
 
-SLICE = 1 << 20
+SLICE = 1 << 18
 U = np.uint64
 SPACE = np.zeros(256, bool)
 SPACE[[0x20, 9, 10, 11, 12, 13]] = True
@@ -34,7 +34,7 @@ def powers(base: np.uint64, n: int) -> np.ndarray:
         out = np.ones(max(n, 1 << 16), np.uint64)
         out[1:] = base
         np.multiply.accumulate(out, out=out)
-        if n > 2 * SLICE:
+        if n > 8 * SLICE:
             return out[:n]
         _powers[int(base)] = have = out
     return have[:n]
@@ -87,8 +87,9 @@ def lines(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray
     return start, end, first
 
 
-def slices(column: pa.Array | pa.ChunkedArray) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
-    """(first row, bytes, offsets) of runs of rows; nulls count as empty texts."""
+def slices(column: pa.Array | pa.ChunkedArray, size: int | None = None) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """(first row, bytes, offsets) of runs of rows of at most size (SLICE) bytes; nulls count as empty texts."""
+    size = size or SLICE
     if isinstance(column, pa.ChunkedArray):
         column = column.combine_chunks()
     if not len(column):
@@ -101,7 +102,7 @@ def slices(column: pa.Array | pa.ChunkedArray) -> Iterator[tuple[int, np.ndarray
     raw = np.frombuffer(raw, np.uint8) if raw is not None else np.zeros(0, np.uint8)
     row = 0
     while row < len(column):
-        last = max(row + 1, int(np.searchsorted(at, at[row] + SLICE, "right")) - 1)
+        last = max(row + 1, int(np.searchsorted(at, at[row] + size, "right")) - 1)
         last = min(last, len(column))
         yield row, raw[at[row] : at[last]], at[row : last + 1] - at[row]
         row = last

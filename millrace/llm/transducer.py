@@ -36,6 +36,8 @@ ONE_LETTER, TWO_LETTERS = "stmd", ("re", "ve", "ll")
 FRESH, LETTERS, OTHERS, TAIL, TAIL2 = range(5)
 GAP, LETTER, DIGIT, OTHER, MARK1, MARK2, INNER, UNSAFE = range(8)
 CHUNK = 64
+#: Bytes taken at once; the second layer is sorted anew after each.
+SLICE = 1 << 20
 #: Words kept in the second layer of a worker; it is begun anew when full.
 MOST_WORDS = 1_500_000
 SLOT_BITS = 20
@@ -225,7 +227,7 @@ class Transducer:
     def counts(self, column: pa.Array) -> np.ndarray:
         """Tokens of each row."""
         out = np.zeros(len(column), np.int64)
-        for row, data, offsets in kernel.slices(column):
+        for row, data, offsets in kernel.slices(column, SLICE):
             entry, first, by_library = self.slice(data, offsets)
             total = np.concatenate(([0], np.cumsum(self.size[entry])))
             n = total[first[1:]] - total[first[:-1]]
@@ -237,7 +239,7 @@ class Transducer:
 
     def ids(self, column: pa.Array) -> Iterator[np.ndarray]:
         """Ids of each row, in order."""
-        for _, data, offsets in kernel.slices(column):
+        for _, data, offsets in kernel.slices(column, SLICE):
             entry, first, by_library = self.slice(data, offsets)
             size = self.size[entry]
             total = np.concatenate(([0], np.cumsum(size)))
