@@ -133,11 +133,11 @@ def judged(docs: DataFrame, id_col: str, text_col: str, least_texts: int, percen
     gone = recurring(keyed.where("text is not null"), texts, least_texts, percent, least_tokens)
     gone = settle(gone.join(texts, ["t1", "t2"]).select(F.concat_ws(":", "t1", "t2").alias("k"), "lines", F.col("copies").alias("weight")), "gone")
     key = F.concat_ws(":", "t1", "t2")
-    if rows_of(gone) <= BROADCAST_ROWS:
+    size = gone.sparkSession.read.schema(gone.schema).parquet(gone.settled_at).agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.sum(F.size("lines")), F.lit(0)).alias("m"), F.coalesce(F.sum("weight"), F.lit(0)).alias("w")).first()
+    if max(size.n, size.m) <= BROADCAST_ROWS:  # a row holds as many numbers as its text loses lines
         marked = keyed.withColumn("k", key).join(F.broadcast(gone.drop("weight")), "k", "left").drop("k")
     else:
-        total = gone.sparkSession.read.schema(gone.schema).parquet(gone.settled_at).agg(F.sum("weight")).first()[0]
-        marked = attach(keyed, key, gone, "k", "weight", total, F.struct("doc_id", "t1"))
+        marked = attach(keyed, key, gone, "k", "weight", size.w, F.struct("doc_id", "t1"))
     kinds = "".join(f"__c_{i} {named.schema[f'__c_{i}'].dataType.simpleString()}, " for i in range(len(carry)))
     rows = marked.select("doc_id", *[f"__c_{i}" for i in range(len(carry))], "text", "lines")
     return rows.mapInArrow(without, f"doc_id long, {kinds}n_lines long, n_dropped long, kept_sha256 string, kept string")
