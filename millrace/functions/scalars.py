@@ -115,3 +115,24 @@ def fn_json(spark: SparkSession, sf_dir: str) -> DataFrame:
 def fn_conditional(spark: SparkSession, sf_dir: str) -> DataFrame:
     done = F.when(F.col("o_orderstatus") == "F", 1).otherwise(0)
     return table(spark, sf_dir, "orders").select("o_orderkey", done.alias("done"), F.greatest("o_orderkey", "o_custkey").alias("g"), F.least("o_orderkey", "o_custkey").alias("l"), F.nullif(F.col("o_orderstatus"), F.lit("O")).alias("s"))
+
+
+@register("fn_variant", "SELECT event_id, CAST(regexp_extract(props, '[0-9]+') AS BIGINT) AS number FROM events")
+def fn_variant(spark: SparkSession, sf_dir: str) -> DataFrame:
+    made = F.to_json(F.struct(F.regexp_extract("props", "[0-9]+", 0).cast("long").alias("a")))
+    return table(spark, sf_dir, "events").select("event_id", F.variant_get(F.parse_json(made), "$.a", "long").alias("number"))
+
+
+@register("fn_text_other", "SELECT n_nationkey, n_nationkey || ',' || n_name AS csv, n_name AS name, n_regionkey AS region FROM nation")
+def fn_text_other(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """CSV and XML made from columns and read again."""
+    csv = F.to_csv(F.struct("n_nationkey", "n_name"))
+    xml = F.concat(F.lit("<n><region>"), F.col("n_regionkey"), F.lit("</region></n>"))
+    rows = table(spark, sf_dir, "nation").select("n_nationkey", csv.alias("csv"), xml.alias("xml"))
+    return rows.select("n_nationkey", "csv", F.from_csv("csv", "k int, name string")["name"].alias("name"), F.expr("xpath_int(xml, 'n/region')").alias("region"))
+
+
+@register("fn_vector", "SELECT vec_id, round(list_sum(list_transform(embedding, lambda x: CAST(x AS DOUBLE) * CAST(x AS DOUBLE))), 6) AS norm2 FROM embeddings")
+def fn_vector(spark: SparkSession, sf_dir: str) -> DataFrame:
+    square = F.zip_with("embedding", "embedding", lambda a, b: a.cast("double") * b.cast("double"))
+    return table(spark, sf_dir, "embeddings").select("vec_id", F.round(F.aggregate(square, F.lit(0.0), lambda a, x: a + x), 6).alias("norm2"))

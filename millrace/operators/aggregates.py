@@ -119,3 +119,48 @@ def market_share(spark: SparkSession, sf_dir: str) -> DataFrame:
     # aggregated by key before the names are joined
     by_key = local.groupBy("s_nationkey").agg(F.sum(revenue).alias("r"))
     return by_key.join(t("nation"), F.col("s_nationkey") == F.col("n_nationkey")).groupBy("n_name").agg(F.sum("r").cast("decimal(28,4)").alias("revenue"))
+
+
+@register("agg_median", "SELECT l_returnflag, median(l_quantity) AS mid FROM lineitem GROUP BY l_returnflag")
+def agg_median(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "lineitem").groupBy("l_returnflag").agg(F.median("l_quantity").alias("mid"))
+
+
+@register("agg_mode", "SELECT user_id, event_type FROM (SELECT user_id, event_type, count(*) AS n FROM events GROUP BY ALL) QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY n DESC, event_type) = 1")
+def agg_mode(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Ties go to the smallest value."""
+    return table(spark, sf_dir, "events").groupBy("user_id").agg(F.mode("event_type", True).alias("event_type"))
+
+
+@register("agg_listagg", "SELECT n_regionkey, string_agg(n_name, ';' ORDER BY n_name DESC) AS names FROM nation GROUP BY n_regionkey")
+def agg_listagg(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spark.sql("SELECT n_regionkey, listagg(n_name, ';') WITHIN GROUP (ORDER BY n_name DESC) AS names FROM {nation} GROUP BY n_regionkey", nation=table(spark, sf_dir, "nation"))
+
+
+@register(
+    "agg_moments",
+    """SELECT o_orderstatus, round((avg(x * x * x) - 3 * avg(x) * avg(x * x) + 2 * avg(x) ** 3) / (avg(x * x) - avg(x) ** 2) ** 1.5, 6) AS skew, round(kurtosis_pop(x), 6) AS kurt
+       FROM (SELECT o_orderstatus, o_totalprice / 100000 AS x FROM orders) GROUP BY o_orderstatus""",
+)
+def agg_moments(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Moments of the population."""
+    rows = table(spark, sf_dir, "orders").withColumn("x", F.col("o_totalprice") / 100000)
+    return rows.groupBy("o_orderstatus").agg(F.round(F.skewness("x"), 6).alias("skew"), F.round(F.kurtosis("x"), 6).alias("kurt"))
+
+
+@register("agg_topk_sketch")
+def agg_topk_sketch(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Frequent items by a sketch of bounded size."""
+    top = table(spark, sf_dir, "events").agg(F.expr("approx_top_k(event_type, 3, 100)").alias("top"))
+    return top.select(F.explode("top").alias("t")).select("t.item", "t.count")
+
+
+@register("agg_cms")
+def agg_cms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A count-min sketch of fixed error and confidence, as bytes."""
+    return table(spark, sf_dir, "events").groupBy("event_type").agg(F.length(F.count_min_sketch("user_id", F.lit(0.01), F.lit(0.95), F.lit(7))).alias("bytes"))
+
+
+@register("agg_histogram")
+def agg_histogram(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "lineitem").groupBy("l_returnflag").agg(F.histogram_numeric("l_quantity", F.lit(5)).alias("bins")).select("l_returnflag", F.explode("bins").alias("b")).select("l_returnflag", "b.x", "b.y")

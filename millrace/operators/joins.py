@@ -119,3 +119,29 @@ def subquery_notin(spark: SparkSession, sf_dir: str) -> DataFrame:
 @register("cte_recursive", "WITH RECURSIVE t(n, total) AS (SELECT 1, 1 UNION ALL SELECT n + 1, total + n + 1 FROM t WHERE n < 20) SELECT n, total FROM t")
 def cte_recursive(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.sql("WITH RECURSIVE t(n, total) AS (SELECT 1, 1 UNION ALL SELECT n + 1, total + n + 1 FROM t WHERE n < 20) SELECT n, total FROM t")
+
+
+@register("join_cross", "SELECT r_name, n_name FROM region CROSS JOIN nation")
+def join_cross(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Both sides have a size that the data model fixes."""
+    return table(spark, sf_dir, "region").select("r_name").crossJoin(F.broadcast(table(spark, sf_dir, "nation").select("n_name")))
+
+
+def hinted(name: str, hint: str) -> None:
+    """Line items of each nation's suppliers, with the join strategy asked for."""
+
+    @register(name, "SELECT s_nationkey, count(*) AS n, sum(l_quantity) AS quantity FROM lineitem JOIN supplier ON l_suppkey = s_suppkey GROUP BY s_nationkey")
+    def query(spark: SparkSession, sf_dir: str) -> DataFrame:
+        suppliers = table(spark, sf_dir, "supplier").select("s_suppkey", "s_nationkey").hint(hint)
+        joined = table(spark, sf_dir, "lineitem").join(suppliers, F.col("l_suppkey") == F.col("s_suppkey"))
+        return joined.groupBy("s_nationkey").agg(F.count(F.lit(1)).alias("n"), F.sum("l_quantity").alias("quantity"))
+
+
+hinted("join_broadcast", "broadcast")
+hinted("join_shufflehash", "shuffle_hash")
+
+
+@register("subquery_exists", "SELECT c_custkey FROM customer WHERE EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey AND o_totalprice > 300000)")
+def subquery_exists(spark: SparkSession, sf_dir: str) -> DataFrame:
+    t = {n: table(spark, sf_dir, n) for n in ("customer", "orders")}
+    return spark.sql("SELECT c_custkey FROM {customer} WHERE EXISTS (SELECT 1 FROM {orders} WHERE o_custkey = c_custkey AND o_totalprice > 300000)", **t)

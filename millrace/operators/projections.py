@@ -98,3 +98,20 @@ def pipe_sql(spark: SparkSession, sf_dir: str) -> DataFrame:
 def sample(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A sample is the feature here: a tenth of the orders, by a fixed seed."""
     return table(spark, sf_dir, "orders").sample(0.1, seed=42)
+
+
+@register("inline", "SELECT n_nationkey, unnest(['key', 'region']) AS name, unnest([n_nationkey, n_regionkey]) AS value FROM nation")
+def inline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pair = lambda name, c: F.struct(F.lit(name).alias("name"), F.col(c).alias("value"))
+    return table(spark, sf_dir, "nation").select("n_nationkey", F.inline(F.array(pair("key", "n_nationkey"), pair("region", "n_regionkey"))))
+
+
+@register("stack", "SELECT r_regionkey, unnest(['name', 'upper']) AS kind, unnest([r_name, upper(r_name)]) AS text FROM region")
+def stack(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "region").select("r_regionkey", F.stack(F.lit(2), F.lit("name"), F.col("r_name"), F.lit("upper"), F.upper("r_name")).alias("kind", "text"))
+
+
+@register("transpose", "SELECT 'n' AS key, count(*) FILTER (o_orderstatus = 'F') AS F, count(*) FILTER (o_orderstatus = 'O') AS O, count(*) FILTER (o_orderstatus = 'P') AS P FROM orders")
+def transpose(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Of an aggregate with a row for each status: the whole table becomes one row."""
+    return table(spark, sf_dir, "orders").groupBy("o_orderstatus").agg(F.count(F.lit(1)).alias("n")).transpose("o_orderstatus")

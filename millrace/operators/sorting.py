@@ -30,3 +30,18 @@ def topk_per_group(spark: SparkSession, sf_dir: str) -> DataFrame:
     best = F.row_number().over(Window.partitionBy("c_nationkey").orderBy(F.desc("c_acctbal"), "c_custkey"))
     # the filter on row_number becomes a limit for each group before the shuffle
     return table(spark, sf_dir, "customer").withColumn("rn", best).where("rn <= 3").select("c_nationkey", "c_custkey", "c_acctbal")
+
+
+@register("sort", "SELECT o_orderkey, o_totalprice FROM orders ORDER BY o_totalprice DESC, o_orderkey")
+def sort(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "orders").select("o_orderkey", "o_totalprice").orderBy(F.desc("o_totalprice"), "o_orderkey")
+
+
+@register("limit", "SELECT o_orderkey FROM orders ORDER BY o_orderkey LIMIT 25")
+def limit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "orders").select("o_orderkey").orderBy("o_orderkey").limit(25)
+
+
+@register("offset", "SELECT n_nationkey FROM nation ORDER BY n_nationkey OFFSET 7")
+def offset(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "nation").select("n_nationkey").orderBy("n_nationkey").offset(7)

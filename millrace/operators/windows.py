@@ -91,3 +91,35 @@ def win_sliding(spark: SparkSession, sf_dir: str) -> DataFrame:
 def win_session(spark: SparkSession, sf_dir: str) -> DataFrame:
     sessions = table(spark, sf_dir, "events").groupBy("user_id", F.session_window("ts", "4 hours").alias("w")).agg(F.count(F.lit(1)).alias("n"))
     return sessions.select("user_id", F.col("w.start").cast("timestamp_ntz").alias("start"), "n")
+
+
+ORDERED = "OVER (PARTITION BY o_custkey ORDER BY o_orderpriority, o_orderkey)"
+WHOLE = ORDERED[:-1] + " ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING)"
+
+
+def over_orders(name: str, sql: str, value) -> None:
+    """One function over each customer's orders, by priority."""
+
+    @register(name, f"SELECT o_orderkey, {sql} AS x FROM orders")
+    def query(spark: SparkSession, sf_dir: str) -> DataFrame:
+        w = Window.partitionBy("o_custkey").orderBy("o_orderpriority", "o_orderkey")
+        return table(spark, sf_dir, "orders").select("o_orderkey", value(w).alias("x"))
+
+
+def whole(w):
+    return w.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+
+
+for name, sql, value in (
+    ("win_row_number", f"CAST(row_number() {ORDERED} AS INTEGER)", lambda w: F.row_number().over(w)),
+    ("win_dense_rank", f"CAST(dense_rank() {ORDERED} AS INTEGER)", lambda w: F.dense_rank().over(w)),
+    ("win_ntile", f"CAST(ntile(3) {ORDERED} AS INTEGER)", lambda w: F.ntile(3).over(w)),
+    ("win_percent_rank", f"round(percent_rank() {ORDERED}, 9)", lambda w: F.round(F.percent_rank().over(w), 9)),
+    ("win_cume_dist", f"round(cume_dist() {ORDERED}, 9)", lambda w: F.round(F.cume_dist().over(w), 9)),
+    ("win_lag", f"lag(o_orderstatus, 1, '-') {ORDERED}", lambda w: F.lag("o_orderstatus", 1, "-").over(w)),
+    ("win_lead", f"lead(o_orderkey, 2) {ORDERED}", lambda w: F.lead("o_orderkey", 2).over(w)),
+    ("win_first", f"first_value(o_orderkey) {ORDERED}", lambda w: F.first("o_orderkey").over(w)),
+    ("win_last", f"last_value(o_orderkey) {WHOLE}", lambda w: F.last("o_orderkey").over(whole(w))),
+    ("win_nth", f"nth_value(o_orderkey, 2) {WHOLE}", lambda w: F.nth_value("o_orderkey", 2).over(whole(w))),
+):
+    over_orders(name, sql, value)

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
 from millrace.plans.catalog import register
 from millrace.sources.scratch import scratch
@@ -44,3 +45,54 @@ def sink_partitioned(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = scratch(spark, "orders-by-status")
     table(spark, sf_dir, "orders").repartition("o_orderstatus").write.partitionBy("o_orderstatus").parquet(path)
     return spark.read.schema(SCHEMAS["orders"]).parquet(path).where("o_orderstatus = 'F'").groupBy("o_orderstatus").agg(F.count(F.lit(1)).alias("n"))
+
+
+@register("sink_files", "SELECT o_orderpriority, count(*) AS n FROM orders GROUP BY o_orderpriority")
+def sink_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A write that replaces what stands there, then one that adds to it."""
+    path, orders = scratch(spark, "orders-files"), table(spark, sf_dir, "orders").select("o_orderkey", "o_orderpriority")
+    for part, mode in ((0, "overwrite"), (1, "append")):
+        orders.where(F.col("o_orderkey") % 2 == part).write.mode(mode).option("compression", "zstd").parquet(path)
+    return spark.read.schema("o_orderkey long, o_orderpriority string").parquet(path).groupBy("o_orderpriority").agg(F.count(F.lit(1)).alias("n"))
+
+
+@register("sink_table", "SELECT c_nationkey, count(*) AS n FROM customer GROUP BY c_nationkey")
+def sink_table(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A bucketed, sorted table in the catalog; a grouping by its bucket key needs no shuffle."""
+    path = scratch(spark, "customer-buckets")
+    name = "millrace_" + path[-32:]
+    customers = table(spark, sf_dir, "customer").select("c_custkey", "c_nationkey")
+    customers.write.bucketBy(8, "c_nationkey").sortBy("c_nationkey").option("path", path).saveAsTable(name)
+    return spark.table(name).groupBy("c_nationkey").agg(F.count(F.lit(1)).alias("n"))
+
+
+class Numbers(DataSource):
+    """A source in Python: the whole numbers below `rows`, a partition for each `step` of them."""
+
+    @classmethod
+    def name(cls) -> str:
+        return "millrace_numbers"
+
+    def schema(self) -> str:
+        return "i long"
+
+    def reader(self, schema):
+        return NumbersReader(int(self.options["rows"]), int(self.options.get("step", "1000")))
+
+
+class NumbersReader(DataSourceReader):
+    def __init__(self, rows: int, step: int) -> None:
+        self.rows, self.step = rows, step
+
+    def partitions(self) -> list[InputPartition]:
+        return [InputPartition(i) for i in range(0, self.rows, self.step)]
+
+    def read(self, partition):
+        for i in range(partition.value, min(partition.value + self.step, self.rows)):
+            yield (i,)
+
+
+@register("scan_custom", "SELECT i, i % 7 AS r FROM range(2500) t(i)")
+def scan_custom(spark: SparkSession, sf_dir: str) -> DataFrame:
+    spark.dataSource.register(Numbers)
+    return spark.read.format("millrace_numbers").option("rows", "2500").load().select("i", (F.col("i") % 7).alias("r"))

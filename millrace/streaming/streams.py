@@ -74,3 +74,55 @@ def stream_stateful(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     counts = events(spark, sf_dir).groupBy("user_id").applyInPandasWithState(count, "user_id long, n long", "n long", "update", GroupStateTimeout.NoTimeout)
     return finished(counts, "update", "stream-stateful").groupBy("user_id").agg(F.max("n").alias("n"))
+
+
+@register("stream_file", "SELECT event_id, event_type FROM events WHERE value > 50")
+def stream_file(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return finished(events(spark, sf_dir).where("value > 50").select("event_id", "event_type"), "append", "stream-file")
+
+
+@register("stream_sink", "SELECT event_id, user_id FROM events WHERE event_type = 'signup'")
+def stream_sink(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The file sink, whose log of finished files makes a repeated batch appear once."""
+    path = scratch(spark, "stream-sink")
+    signups = events(spark, sf_dir).where("event_type = 'signup'").select("event_id", "user_id")
+    signups.writeStream.format("parquet").option("path", path).option("checkpointLocation", f"{path}-checkpoint").trigger(availableNow=True).start().awaitTermination()
+    return spark.read.schema(signups.schema).parquet(path)
+
+
+@register(
+    "stream_watermark",
+    """SELECT time_bucket(INTERVAL 1 HOUR, ts) AS start, count(*) AS n FROM events GROUP BY ALL
+       HAVING time_bucket(INTERVAL 1 HOUR, any_value(ts)) + INTERVAL 1 HOUR <= date_trunc('milliseconds', (SELECT max(ts) FROM events)) - INTERVAL 1 HOUR""",
+)
+def stream_watermark(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Append mode: a window is given once, when the watermark passes its end, so the last ones are not."""
+    counts = events(spark, sf_dir).withWatermark("ts", "1 hour").groupBy(F.window("ts", "1 hour").alias("w")).agg(F.count(F.lit(1)).alias("n"))
+    return finished(counts, "append", "stream-watermark").select(F.col("w.start").cast("timestamp_ntz").alias("start"), "n")
+
+
+@register("stream_rate", "SELECT 100 AS n, 99 AS last")
+def stream_rate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rows made by the batch at a fixed rate; the first 100 of them are looked at."""
+    path = scratch(spark, "stream-rate")
+    rates = spark.readStream.format("rate-micro-batch").option("rowsPerBatch", "50").option("numPartitions", "2").load().select("value")
+    query = rates.writeStream.format("parquet").option("path", path).option("checkpointLocation", f"{path}-checkpoint").start()
+    while query.lastProgress is None or query.lastProgress["batchId"] < 2:
+        query.awaitTermination(0.2)
+    query.stop()
+    return spark.read.schema(rates.schema).parquet(path).where("value < 100").agg(F.count(F.lit(1)).cast("int").alias("n"), F.max("value").cast("int").alias("last"))
+
+
+@register("stream_late", "SELECT 'late' AS kind, 0 AS n UNION ALL SELECT 'in time', 2")
+def stream_late(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A row that comes after the watermark has passed its window is dropped: the second file's old row is."""
+    path = scratch(spark, "stream-late-in")
+    stream = spark.readStream.schema("ts timestamp, kind string").option("maxFilesPerTrigger", 1).parquet(path + "/*")
+    out = scratch(spark, "stream-late")
+    for k, rows in enumerate(("('2024-01-01 10:00:00', 'in time'), ('2024-01-02 00:00:00', 'in time')", "('2024-01-01 10:30:00', 'late')", "('2024-01-03 12:00:00', 'in time')")):
+        spark.sql(f"SELECT cast(ts AS timestamp) AS ts, kind FROM VALUES {rows} AS t(ts, kind)").coalesce(1).write.parquet(f"{path}/{k}")
+        counts = stream.withWatermark("ts", "1 hour").groupBy(F.window("ts", "1 hour").alias("w"), "kind").agg(F.count(F.lit(1)).alias("n"))
+        counts.writeStream.format("parquet").option("path", out).option("checkpointLocation", f"{out}-checkpoint").trigger(availableNow=True).start().awaitTermination()
+    seen = spark.read.schema(counts.schema).parquet(out).groupBy("kind").agg(F.sum("n").cast("int").alias("n"))
+    kinds = spark.sql("SELECT * FROM VALUES ('late'), ('in time') AS t(kind)")
+    return kinds.join(seen, "kind", "left").select("kind", F.coalesce("n", F.lit(0)).alias("n"))

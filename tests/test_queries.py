@@ -1,11 +1,13 @@
 """Every registered general query against its SQL in DuckDB; rows only where there is none."""
 
+import os
+
 import pytest
 
 from millrace.plans import catalog
 from tests.compare import same
 
-SF = "/root/testdata/sf0.001"
+SF = os.environ.get("MILLRACE_TEST_DATA", "/root/testdata/sf0.001")
 
 
 @pytest.mark.parametrize("name", sorted(catalog.QUERIES))
