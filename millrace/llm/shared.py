@@ -72,8 +72,8 @@ BROADCAST_ROWS = 300_000
 
 
 def text_keys(text: str = "text") -> dict[str, Column]:
-    """Two 64-bit hashes of a text, which name it in joins."""
-    return {"t1": F.xxhash64(F.lit(1), text), "t2": F.xxhash64(F.lit(7), F.reverse(text), F.octet_length(text))}
+    """Two 64-bit hashes of a text, from different seeds, which name it in joins."""
+    return {"t1": F.xxhash64(F.lit(1), text), "t2": F.xxhash64(F.octet_length(text), F.lit(7), text)}
 
 
 def distinct_texts(keyed: DataFrame, texts: DataFrame) -> DataFrame:
