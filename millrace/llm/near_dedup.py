@@ -205,7 +205,8 @@ def in_group(head: np.uint32, whole: bool, own: np.ndarray, upper: np.ndarray, n
     exact = large <= RETAINED
     # the union's bottom-k sample is drawn without replacement from at most small / least values
     band = most * np.sqrt(np.clip(1 - RETAINED * least / np.maximum(small, 1), 0, 1))
-    sure = np.where(exact, c >= least * (n[x] + n[y] - c) - 1e-3, c >= np.minimum(least + band, 1) * RETAINED)
+    # of two sketches with c common values c / (2 * RETAINED - c) estimates the Jaccard at most, less if the sizes differ
+    sure = np.where(exact, c >= least * (n[x] + n[y] - c) - 1e-3, c >= np.minimum(least + band, 1) * (2 * RETAINED - c))
     label, out = np.arange(g), []
     if sure.any():
         linked = np.zeros((g, g), bool)
