@@ -90,17 +90,21 @@ def agg_grouping_sets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "orders").groupingSets([(status,), (priority,), ()], status, priority).agg(F.count(F.lit(1)).alias("n"))
 
 
-@register("agg_approx_distinct")
+@register("agg_approx_distinct", "SELECT l_returnflag, count(DISTINCT l_partkey) AS exact, true AS hllpp, true AS hll, true AS theta FROM lineitem GROUP BY l_returnflag")
 def agg_approx_distinct(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Sketch estimates beside the exact number; sketches have no counterpart in another engine."""
-    sketch = F.hll_sketch_estimate(F.hll_sketch_agg("l_partkey"))
-    return table(spark, sf_dir, "lineitem").groupBy("l_returnflag").agg(F.approx_count_distinct("l_partkey", 0.01).alias("hllpp"), sketch.alias("hll"), F.count_distinct("l_partkey").alias("exact"))
+    """The exact number, and whether each sketch's estimate lies within 5 % of it."""
+    sketches = {"hllpp": F.approx_count_distinct("l_partkey", 0.01), "hll": F.hll_sketch_estimate(F.hll_sketch_agg("l_partkey")), "theta": F.expr("theta_sketch_estimate(theta_sketch_agg(l_partkey))")}
+    found = table(spark, sf_dir, "lineitem").groupBy("l_returnflag").agg(F.count_distinct("l_partkey").alias("exact"), *[v.alias(k) for k, v in sketches.items()])
+    return found.select("l_returnflag", "exact", *[(F.abs(F.col(k) - F.col("exact")) <= 0.05 * F.col("exact")).alias(k) for k in sketches])
 
 
-@register("agg_approx_quantile")
+@register("agg_approx_quantile", "SELECT l_returnflag, round(median(l_extendedprice), 6) AS exact, true AS gk, true AS kll FROM lineitem GROUP BY l_returnflag")
 def agg_approx_quantile(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Approximate quantiles beside the exact median."""
-    return table(spark, sf_dir, "lineitem").groupBy("l_returnflag").agg(F.percentile_approx("l_extendedprice", 0.5, 1000).alias("approx"), F.median("l_extendedprice").alias("exact"))
+    """The exact median, and whether each sketch's median has between 47 and 53 % of the rows below it."""
+    lines = table(spark, sf_dir, "lineitem").select("l_returnflag", F.col("l_extendedprice").alias("x"))
+    by_flag = lines.groupBy("l_returnflag")
+    found = by_flag.agg(F.median("x").alias("exact"), F.percentile_approx("x", 0.5, 1000).alias("gk"), F.expr("kll_sketch_get_quantile_double(kll_sketch_agg_double(x), 0.5)").alias("kll"), F.percentile("x", F.array(F.lit(0.47), F.lit(0.53))).alias("near"))
+    return found.select("l_returnflag", F.round("exact", 6).alias("exact"), *[F.col(k).between(F.col("near")[0], F.col("near")[1]).alias(k) for k in ("gk", "kll")])
 
 
 @register(
@@ -148,19 +152,30 @@ def agg_moments(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.groupBy("o_orderstatus").agg(F.round(F.skewness("x"), 6).alias("skew"), F.round(F.kurtosis("x"), 6).alias("kurt"))
 
 
-@register("agg_topk_sketch")
+@register("agg_topk_sketch", "SELECT event_type AS item, count(*) AS n FROM events GROUP BY event_type ORDER BY n DESC, item LIMIT 3")
 def agg_topk_sketch(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Frequent items by a sketch of bounded size."""
+    """Frequent items by a sketch of bounded size; it is exact while it holds more items than there are."""
     top = table(spark, sf_dir, "events").agg(F.expr("approx_top_k(event_type, 3, 100)").alias("top"))
-    return top.select(F.explode("top").alias("t")).select("t.item", "t.count")
+    return top.select(F.explode("top").alias("t")).select("t.item", F.col("t.count").alias("n"))
 
 
-@register("agg_cms")
+@register("agg_cms", "SELECT event_type, count(*) AS n, true AS within FROM events GROUP BY event_type")
 def agg_cms(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A count-min sketch of fixed error and confidence, as bytes."""
-    return table(spark, sf_dir, "events").groupBy("event_type").agg(F.length(F.count_min_sketch("user_id", F.lit(0.01), F.lit(0.95), F.lit(7))).alias("bytes"))
-
-
-@register("agg_histogram")
+    """Estimates read from a count-min sketch of all rows, beside the exact numbers: never below, and above by at most the sketch's error."""
+    rows, error = table(spark, sf_dir, "events"), 0.001
+    total = rows.count()
+    # some kilobytes, whatever the input
+    sketch = rows._jdf.stat().countMinSketch("event_type", error, 0.99, 7)
+    exact = rows.groupBy("event_type").agg(F.count(F.lit(1)).alias("n"))
+    estimates = [(k, sketch.estimateCount(k)) for (k,) in exact.select("event_type").limit(1000).collect()]
+    estimated = spark.createDataFrame(estimates, "event_type string, estimate long")
+    return exact.join(estimated, "event_type").select("event_type", "n", F.col("estimate").between(F.col("n"), F.col("n") + error * total).alias("within"))
+
+
+@register("agg_histogram", "SELECT l_returnflag, count(*) AS n, true AS rising FROM lineitem GROUP BY l_returnflag")
 def agg_histogram(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "lineitem").groupBy("l_returnflag").agg(F.histogram_numeric("l_quantity", F.lit(5)).alias("bins")).select("l_returnflag", F.explode("bins").alias("b")).select("l_returnflag", "b.x", "b.y")
+    """Five bins of a numeric histogram: their heights sum to the rows, and their centres rise within the range."""
+    bins = table(spark, sf_dir, "lineitem").groupBy("l_returnflag").agg(F.histogram_numeric("l_quantity", F.lit(5)).alias("bins"), F.min("l_quantity").alias("least"), F.max("l_quantity").alias("most"))
+    centres = F.transform("bins", lambda b: b["x"])
+    rising = (F.array_sort(centres) == centres) & (F.element_at(centres, 1) >= F.col("least")) & (F.element_at(centres, -1) <= F.col("most")) & (F.size("bins") <= 5)
+    return bins.select("l_returnflag", F.aggregate("bins", F.lit(0.0), lambda s, b: s + b["y"]).cast("long").alias("n"), rising.alias("rising"))

@@ -111,9 +111,29 @@ def subquery_scalar(spark: SparkSession, sf_dir: str) -> DataFrame:
     return orders.where(F.col("o_totalprice") > orders.select(F.avg("o_totalprice") * 1.5).scalar()).select("o_orderkey")
 
 
-@register("subquery_notin", "SELECT c_custkey FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders)")
+def not_in(rows: DataFrame, key: str, values: DataFrame, value: str) -> DataFrame:
+    """SQL's NOT IN, nulls included, as a join by key instead of one that broadcasts all values.
+
+    A null among the values lets no row through; a null key passes only if there are no values.
+    """
+    facts = values.agg(F.count(F.lit(1)).alias("__n"), F.count_if(F.col(value).isNull()).alias("__nulls"))  # one row
+    left = rows.join(values.where(F.col(value).isNotNull()), F.col(key) == F.col(value), "left_anti").crossJoin(F.broadcast(facts))
+    return left.where((F.col("__nulls") == 0) & (F.col(key).isNotNull() | (F.col("__n") == 0))).select(*rows.columns)
+
+
+@register(
+    "subquery_notin",
+    """SELECT 'plain' AS kind, k FROM (SELECT nullif(c_custkey, 7) AS k FROM customer) WHERE k NOT IN (SELECT o_custkey FROM orders WHERE o_totalprice > 250000)
+       UNION ALL SELECT 'null', k FROM (SELECT nullif(c_custkey, 7) AS k FROM customer) WHERE k NOT IN (SELECT CASE WHEN o_totalprice > 400000 THEN NULL ELSE o_custkey END FROM orders WHERE o_totalprice > 250000)
+       UNION ALL SELECT 'none', k FROM (SELECT nullif(c_custkey, 7) AS k FROM customer) WHERE k NOT IN (SELECT o_custkey FROM orders WHERE o_totalprice < 0)""",
+)
 def subquery_notin(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "customer").join(table(spark, sf_dir, "orders"), F.col("c_custkey") == F.col("o_custkey"), "left_anti").select("c_custkey")
+    customers = table(spark, sf_dir, "customer").select(F.nullif(F.col("c_custkey"), F.lit(7)).alias("k"))
+    orders = table(spark, sf_dir, "orders")
+    dear = orders.where("o_totalprice > 250000")
+    cases = {"plain": dear.select("o_custkey"), "null": dear.select(F.when(F.col("o_totalprice") <= 400000, F.col("o_custkey")).alias("o_custkey")), "none": orders.where("o_totalprice < 0").select("o_custkey")}
+    parts = [not_in(customers, "k", values, "o_custkey").select(F.lit(kind).alias("kind"), "k") for kind, values in cases.items()]
+    return parts[0].unionByName(parts[1]).unionByName(parts[2])
 
 
 @register("cte_recursive", "WITH RECURSIVE t(n, total) AS (SELECT 1, 1 UNION ALL SELECT n + 1, total + n + 1 FROM t WHERE n < 20) SELECT n, total FROM t")

@@ -8,12 +8,12 @@ from pyspark.sql import functions as F
 from millrace.plans.catalog import register
 from millrace.sources.tables import table
 
-A, B = "SELECT l_suppkey AS k FROM lineitem WHERE l_quantity > 45", "SELECT l_suppkey AS k FROM lineitem WHERE l_discount < 0.01"
+A, B = "SELECT l_suppkey AS k FROM lineitem WHERE l_quantity > 49", "SELECT l_suppkey AS k FROM lineitem WHERE l_discount < 0.01 AND l_suppkey % 3 > 0"
 
 
 def keys(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     lines, k = table(spark, sf_dir, "lineitem"), F.col("l_suppkey").alias("k")
-    return lines.where("l_quantity > 45").select(k), lines.where("l_discount < 0.01").select(k)
+    return lines.where("l_quantity > 49").select(k), lines.where("l_discount < 0.01 and l_suppkey % 3 > 0").select(k)
 
 
 def both(name: str, sql: str, how) -> None:

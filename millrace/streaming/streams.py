@@ -15,32 +15,54 @@ from millrace.sources.tables import SCHEMAS
 
 
 def events(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The events as a stream; ts with a zone, as watermarks need it."""
-    stream = spark.readStream.schema(SCHEMAS["events"]).option("pathGlobFilter", "events.parquet").parquet(sf_dir)
+    """The events as a stream; ts with a zone, as watermarks need it. The table may be a file or a folder of files."""
+    # a pattern, as a stream's plain path has to be a folder
+    stream = spark.readStream.schema(SCHEMAS["events"]).parquet(f"{sf_dir}/events.parque[t]")
     return stream.withColumn("ts", F.col("ts").cast("timestamp"))
 
 
-def finished(stream: DataFrame, mode: str, name: str) -> DataFrame:
-    """Run to the end of the input; each batch is written under its number, so that a repeated batch replaces itself."""
+def finished(stream: DataFrame, mode: str, name: str, keys: list[str] | None = None) -> DataFrame:
+    """Run to the end of the input and give what the sink then holds.
+
+    Each batch is written under its number, so that a repeated batch replaces itself. In update mode
+    a key's row of the last batch that has it counts; in complete mode the last batch does. Input
+    without rows gives no rows.
+    """
     spark, path = stream.sparkSession, scratch(stream.sparkSession, name)
+    spark.createDataFrame([], stream.schema).write.parquet(f"{path}/batch=-1")
 
     def sink(batch: DataFrame, number: int) -> None:
-        batch.write.mode("overwrite").parquet(f"{path}/batch={number if mode == 'append' else 0}")
+        batch.write.mode("overwrite").parquet(f"{path}/batch={0 if mode == 'complete' else number}")
 
     query = stream.writeStream.outputMode(mode).option("checkpointLocation", f"{path}-checkpoint").trigger(availableNow=True).foreachBatch(sink).start()
     query.awaitTermination()
-    return spark.read.schema(stream.schema).parquet(f"{path}/batch=*")
+    rows = spark.read.schema(f"{', '.join(f'`{f.name}` {f.dataType.simpleString()}' for f in stream.schema)}, batch long").parquet(path)
+    if mode != "update":
+        return rows.drop("batch")
+    others = [c for c in stream.columns if c not in keys]
+    last = rows.groupBy(*keys).agg(F.max_by(F.struct(*others), "batch").alias("last"))
+    return last.select(*[F.col(c) if c in keys else F.col(f"last.{c}").alias(c) for c in stream.columns])
 
 
 @register("stream_agg", "SELECT time_bucket(INTERVAL 1 HOUR, ts) AS start, event_type, count(*) AS n FROM events GROUP BY ALL")
 def stream_agg(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Update mode: the watermark lets the state of past windows go, and their last counts stand in the sink."""
     counts = events(spark, sf_dir).withWatermark("ts", "1 day").groupBy(F.window("ts", "1 hour").alias("w"), "event_type").agg(F.count(F.lit(1)).alias("n"))
-    return finished(counts, "complete", "stream-agg").select(F.col("w.start").cast("timestamp_ntz").alias("start"), "event_type", "n")
+    return finished(counts, "update", "stream-agg", ["w", "event_type"]).select(F.col("w.start").cast("timestamp_ntz").alias("start"), "event_type", "n")
+
+
+@register("stream_complete", "SELECT event_type, count(*) AS n, max(ts) AS last FROM events GROUP BY ALL")
+def stream_complete(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Complete mode, for a result of a few rows: each batch gives it whole."""
+    counts = events(spark, sf_dir).groupBy("event_type").agg(F.count(F.lit(1)).alias("n"), F.max("ts").alias("last"))
+    return finished(counts, "complete", "stream-complete").withColumn("last", F.col("last").cast("timestamp_ntz"))
 
 
 @register("stream_dedup", "SELECT DISTINCT user_id, event_type FROM events")
 def stream_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return finished(events(spark, sf_dir).select("user_id", "event_type").dropDuplicates(["user_id", "event_type"]), "append", "stream-dedup")
+    """De-duplication with state that the watermark bounds: a key may come again when the watermark has passed it by 90 days."""
+    once = events(spark, sf_dir).withWatermark("ts", "90 days").dropDuplicatesWithinWatermark(["user_id", "event_type"])
+    return finished(once.select("user_id", "event_type"), "append", "stream-dedup")
 
 
 @register(
@@ -73,7 +95,42 @@ def stream_stateful(spark: SparkSession, sf_dir: str) -> DataFrame:
         yield pd.DataFrame({"user_id": [key[0]], "n": [n]})
 
     counts = events(spark, sf_dir).groupBy("user_id").applyInPandasWithState(count, "user_id long, n long", "n long", "update", GroupStateTimeout.NoTimeout)
-    return finished(counts, "update", "stream-stateful").groupBy("user_id").agg(F.max("n").alias("n"))
+    return finished(counts, "update", "stream-stateful", ["user_id"])
+
+
+#: A visit ends after so many seconds without an event; events may come this late.
+IDLE, LATE = 86_400, 3_600
+
+
+@register(
+    "stream_timers",
+    f"""WITH gaps AS (SELECT user_id, ts, coalesce(ts - lag(ts) OVER w > INTERVAL {IDLE} SECOND, true) AS new FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id)),
+         visits AS (SELECT user_id, ts, count(*) FILTER (new) OVER (PARTITION BY user_id ORDER BY ts ROWS UNBOUNDED PRECEDING) AS visit FROM gaps)
+       SELECT user_id, epoch_us(max(ts)) AS last_us, count(*) AS n FROM visits GROUP BY user_id, visit
+       HAVING epoch_ms(max(ts)) + {IDLE}000 < (SELECT epoch_ms(max(ts)) FROM events) - {LATE}000 ORDER BY ALL""",
+)
+def stream_timers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Visits of users, given out by a timer in event time when they have been idle long enough; visits that may go on are not."""
+
+    def visits(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        held = [tuple(state.get)] if state.exists else []  # last event of the open visit, and its events
+        out = []
+        if state.hasTimedOut:
+            out, held = held, []
+            state.remove()
+        for at in sorted(int(t) for f in frames for t in f["at"]):
+            if held and at - held[0][0] <= IDLE * 1_000_000:
+                held = [(at, held[0][1] + 1)]
+            else:
+                out, held = out + held, [(at, 1)]
+        if held:
+            state.update(held[0])
+            state.setTimeoutTimestamp(max(held[0][0] // 1000 + IDLE * 1000, state.getCurrentWatermarkMs() + 1))
+        yield pd.DataFrame({"user_id": [key[0]] * len(out), "last_us": [a for a, _ in out], "n": [n for _, n in out]}).astype("int64")
+
+    rows = events(spark, sf_dir).withWatermark("ts", f"{LATE} seconds").withColumn("at", F.unix_micros("ts"))
+    closed = rows.groupBy("user_id").applyInPandasWithState(visits, "user_id long, last_us long, n long", "last_us long, n long", "append", GroupStateTimeout.EventTimeTimeout)
+    return finished(closed, "append", "stream-timers")
 
 
 @register("stream_file", "SELECT event_id, event_type FROM events WHERE value > 50")

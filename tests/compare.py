@@ -25,7 +25,7 @@ def oracle_rows(sql: str, sf_dir: str) -> tuple[list[str], list[tuple]]:
         for name in SCHEMAS:
             path = Path(sf_dir, f"{name}.parquet")
             if path.exists():
-                db.execute(f"CREATE VIEW {name} AS SELECT * FROM read_parquet('{path}{'/*' if path.is_dir() else ''}')")
+                db.execute(f"CREATE VIEW {name} AS SELECT * FROM read_parquet('{path}{'/*.parquet' if path.is_dir() else ''}')")
         found = db.execute(sql)
         return [c[0] for c in found.description], found.fetchall()
 
