@@ -24,19 +24,33 @@ BYTE = _rng.integers(1, 1 << 63, 256, dtype=np.uint64) * U(2) + U(1)
 STEP = U(0x9E3779B97F4A7C15 | 1)
 BACK = U(pow(int(STEP), -1, 1 << 64))
 PLACE = [U(int(x)) for x in (_rng.integers(1, 1 << 63, 64, dtype=np.uint64) * U(2) + U(1))]
-_powers: dict[int, np.ndarray] = {}
+#: Span hashes are two polynomials modulo this prime, each with values for the bytes, a base and its inverse.
+PRIME = U((1 << 31) - 1)
+BITS = U(31)
+PARTS = [(_rng.permutation(1 << 20)[:256].astype(np.uint64) * U(2039) + U(int(_rng.integers(1, 1000))), int(_rng.integers(1 << 30, int(PRIME)))) for _ in range(2)]
+_powers: dict[tuple[int, bool], np.ndarray] = {}
 
 
-def powers(base: np.uint64, n: int) -> np.ndarray:
-    """base ** 0 .. base ** (n - 1), modulo 2 ** 64; kept up to one slice."""
-    have = _powers.get(int(base))
+def fold(x: np.ndarray) -> np.ndarray:
+    """A smaller number with the same rest modulo PRIME."""
+    return (x & PRIME) + (x >> BITS)
+
+
+def powers(base: int, n: int, prime: bool = True) -> np.ndarray:
+    """base ** 0 .. base ** (n - 1), modulo PRIME or 2 ** 64; kept up to one slice."""
+    have = _powers.get((base, prime))
     if have is None or len(have) < n:
-        out = np.ones(max(n, 1 << 16), np.uint64)
-        out[1:] = base
-        np.multiply.accumulate(out, out=out)
-        if n > 8 * SLICE:
+        size = max(n, SLICE + 1)
+        out = np.ones(size, np.uint64)
+        done = 1
+        while done < size:
+            step = min(done, size - done)
+            more = out[:step] * U(pow(base, done, int(PRIME) if prime else 1 << 64))
+            out[done : done + step] = fold(fold(more)) if prime else more
+            done += step
+        if size > 2 * SLICE:
             return out[:n]
-        _powers[int(base)] = have = out
+        _powers[base, prime] = have = out
     return have[:n]
 
 
@@ -49,18 +63,37 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> U(31))
 
 
-def hasher(data: np.ndarray, table: np.ndarray = BYTE, step: np.uint64 = STEP, back: np.uint64 = BACK) -> Callable[[np.ndarray, np.ndarray], np.ndarray]:
-    """From one pass over data, a function that gives a 64-bit hash of each data[start:end]."""
-    total = np.zeros(len(data) + 1, np.uint64)
-    np.cumsum(table[data] * powers(step, len(data)), out=total[1:])
+def hasher(data: np.ndarray) -> Callable[[np.ndarray, np.ndarray], np.ndarray]:
+    """From one pass over data, a function that gives a 64-bit hash of each data[start:end].
+
+    The hash is made of two polynomials modulo a prime, so texts of a simple structure do not collide as
+    they do modulo a power of two; two different spans of n bytes agree with probability (n / PRIME) ** 2.
+    """
+    totals = []
+    for table, base in PARTS:
+        total = np.zeros(len(data) + 1, np.uint64)
+        np.cumsum(fold(table[data] * powers(base, len(data))), out=total[1:])
+        totals.append(total)
 
     def spans(start: np.ndarray, end: np.ndarray) -> np.ndarray:
-        h = (total[end] - total[start]) * powers(back, len(data) + 1)[start]
-        return mix(h + (end - start).astype(np.uint64) * U(0xD6E8FEB86659FD93))
+        h = (end - start).astype(np.uint64) * U(0xD6E8FEB86659FD93)
+        for (_, base), total, shift in zip(PARTS, totals, (U(0), U(31))):
+            back = powers(pow(base, -1, int(PRIME)), len(data) + 1)
+            x = fold(fold(fold(fold(total[end] - total[start])) * back[start]))
+            h += np.where(x >= PRIME, x - PRIME, x) << shift
+        return mix(h)
 
     return spans
 
 
+def gram_hashes(data: np.ndarray, k: int) -> np.ndarray:
+    """A 64-bit hash of each k bytes, cheap and only good for picking places: equal bytes have equal hashes."""
+    total = np.zeros(len(data) + 1, np.uint64)
+    np.cumsum(BYTE[data] * powers(int(STEP), len(data), False), out=total[1:])
+    n = len(data) - k + 1
+    return mix((total[k:] - total[:n]) * powers(int(BACK), n, False))
+
+
 def spans_hash(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
     """A 64-bit hash of each data[start:end]."""
     return hasher(data)(start, end)

@@ -76,7 +76,7 @@ def anchors(batches: Iterator[pa.RecordBatch], length: int) -> Iterator[pa.Recor
                 continue
             grams = len(data) - GRAM + 1
             at = np.arange(grams)
-            g = kernel.hasher(data)(at, at + GRAM)
+            g = kernel.gram_hashes(data, GRAM)
             low = U((1 << BITS) - 1)
             least = sliding_least((g & ~low) | at.astype(np.uint64), length - GRAM + 1)
             p = (least & low).astype(np.int64)
