@@ -14,11 +14,13 @@ HOT_PARTS = 500
 def shared_folder(spark: SparkSession, name: str) -> str:
     """A fresh path under spark.checkpoint.dir, which driver and executors share.
 
-    Where the setting is missing (a local session, as in tests) it is set to a
-    folder beside the warehouse, which a local session shares with itself.
+    Where the setting is missing, a local session, as in tests, has a folder beside the
+    warehouse, which it shares with itself; on a cluster that could be one machine's own disk, so there it is an error.
     """
     root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not root:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         root = spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/millrace-shared"
     return f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
