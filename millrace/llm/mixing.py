@@ -15,33 +15,39 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from millrace.llm.shared import BROADCAST_ROWS, rows_of, settle
+from millrace.llm.shared import BROADCAST_ROWS, attach, rows_of, settle
 
 MOST_PASSES = 3
 WEIGHTS = 3
 WORD = r"[^\x20\x09-\x0D]+"
 #: Documents for each number of blocks, block draws for each output shard, levels of the tree for each step.
 BLOCK, SHARD, LEVELS = 1024, 32, 6
+#: Rows for each range of a running sum.
+RANGE = 4096
 
 
 def targets(sizes: DataFrame) -> DataFrame:
-    """skey, source_size, weight, target of each source; one row for each source, so all may meet in one window."""
+    """skey, source_size, weight, target of each source. Sources may be many: no step puts all of them in one task."""
     by_source = sizes.groupBy("skey", "source").agg(F.sum("size").alias("source_size"))
-    order = Window.orderBy(F.asc_nulls_last("source"))
-    weighed = by_source.withColumn("weight", (F.row_number().over(order) - 1) % WEIGHTS + 1)
-    whole = Window.partitionBy(F.lit(1))
-    cap = MOST_PASSES * F.col("source_size")
-    weighed = weighed.withColumn("cap", cap.cast("double")).withColumn("total", F.sum("source_size").over(whole).cast("double"))
-    fill = Window.partitionBy(F.lit(1)).orderBy(F.col("cap") / F.col("weight"), F.asc_nulls_last("source"))
-    # the level if all sources before this one are at their caps and the others are below
-    level = (F.col("total") - (F.sum("cap").over(fill.rowsBetween(Window.unboundedPreceding, 0)) - F.col("cap"))) / F.sum("weight").over(fill.rowsBetween(0, Window.unboundedFollowing))
-    weighed = weighed.withColumn("level", level).withColumn("below", F.col("cap") > F.col("level") * F.col("weight"))
-    common = F.min(F.when(F.col("below"), F.struct((F.col("cap") / F.col("weight")).alias("r"), F.col("level").alias("level")))).over(whole)["level"]
-    target = F.when(F.col("below"), common * F.col("weight")).otherwise(F.col("cap"))
-    return weighed.select("skey", "source_size", "weight", target.alias("target"))
+    # places in code point order: within ranges, after the ranges before
+    ranged = settle(by_source.repartitionByRange(F.asc_nulls_last("source")).withColumn("part", F.spark_partition_id()), "sources")
+    held = ranged.groupBy("part").agg(F.count(F.lit(1)).alias("n"))
+    before = held.select("part", (F.sum("n").over(Window.orderBy("part")) - F.col("n")).alias("before"))  # one row for each range
+    place = F.col("before") + F.row_number().over(Window.partitionBy("part").orderBy(F.asc_nulls_last("source"))) - 1
+    weighed = ranged.join(F.broadcast(before), "part").withColumn("weight", (place % WEIGHTS + 1).cast("int"))
+    weighed = settle(weighed.select("skey", "source_size", "weight", (MOST_PASSES * F.col("source_size")).cast("double").alias("cap")), "weights")
+    # what sources above their caps leave is shared again by weight, until none is above
+    level, capped = 0.0, -1
+    while True:
+        above = F.col("cap") <= F.lit(level) * F.col("weight")
+        total = weighed.agg(F.sum("source_size"), F.sum(F.when(above, F.col("cap"))), F.sum(F.when(~above, F.col("weight"))), F.count_if(above)).first()
+        if total[3] == capped or not total[2]:
+            break
+        capped, level = total[3], (float(total[0]) - (total[1] or 0.0)) / total[2]
+    return weighed.select("skey", "source_size", "weight", F.least("cap", F.lit(level) * F.col("weight")).alias("target"))
 
 
 def split(pdf: pd.DataFrame) -> pd.DataFrame:
@@ -63,91 +69,132 @@ def split(pdf: pd.DataFrame) -> pd.DataFrame:
     return pd.concat(out) if out else pdf[["lo", "hi", "seed", "skey", "quota"]]
 
 
-def shards_of(draws: DataFrame, shards: int, seed: int) -> DataFrame:
-    """skey, pos, shard: which shard takes each draw of a source."""
-    nodes = draws.groupBy("skey").agg(F.count(F.lit(1)).alias("quota")).select(F.lit(0).alias("lo"), F.lit(shards).alias("hi"), F.lit(seed).alias("seed"), "skey", "quota")
+def shards_of(quotas: DataFrame, shards: int, seed: int) -> DataFrame:
+    """skey, shard, start, quota: the stretches of each source's draws that the leaves of the tree take. quotas has skey, quota."""
+    nodes = quotas.select(F.lit(0).alias("lo"), F.lit(shards).alias("hi"), F.lit(seed).alias("seed"), "skey", "quota")
     for _ in range(0, max(1, (shards - 1).bit_length()), LEVELS):
         nodes = nodes.groupBy("lo", "hi").applyInPandas(split, "lo int, hi int, seed int, skey string, quota long")
-    start = F.sum("quota").over(Window.partitionBy("skey").orderBy("lo")) - F.col("quota")
-    runs = nodes.withColumn("start", start)
-    return runs.select("skey", F.col("lo").alias("shard"), F.explode(F.expr("sequence(start, start + quota - 1)")).alias("pos"))
+    return running(nodes.select("skey", F.col("lo").cast("long").alias("at"), F.col("lo").alias("shard"), "quota"), "quota", "start", max(1, shards // RANGE))
+
+
+def running(rows: DataFrame, value: str, name: str, parts: int, *counted: str) -> DataFrame:
+    """rows (skey, at, ...) with the sum of value over the rows of the same source that come before by at, and likewise their number.
+
+    A source is cut into `parts` ranges of at, summed first, so that no task holds all rows of a source.
+    """
+    low, high = rows.agg(F.min("at"), F.max("at")).first()
+    low, width = (0, 1) if low is None else (low, max(1, -(-(high - low + 1) // parts)))
+    cut = rows.withColumn("part", F.expr(f"cast((cast(at AS decimal(38, 0)) - ({low})) div {width} AS int)"))
+    cut = settle(cut, name)
+    sums = cut.groupBy("skey", "part").agg(F.sum(value).alias("v"), F.count(F.lit(1)).alias("n"))
+    over = Window.partitionBy("skey").orderBy("part")
+    sums = settle(sums.select("skey", "part", (F.sum("v").over(over) - F.col("v")).alias("v0"), (F.sum("n").over(over) - F.col("n")).alias("n0")), f"{name}-sums")
+    inner = Window.partitionBy("skey", "part").orderBy("at", *counted)
+    sums = F.broadcast(sums) if rows_of(sums) <= BROADCAST_ROWS else sums
+    out = cut.withColumn("v1", F.sum(value).over(inner) - F.col(value)).withColumn("n1", F.row_number().over(inner) - 1).join(sums, ["skey", "part"])
+    return out.withColumn(name, F.col("v0") + F.col("v1")).withColumn("place", F.col("n0") + F.col("n1")).drop("part", "v0", "v1", "n0", "n1")
 
 
 def block_of(h, blocks: int):
     return F.pmod(F.xxhash64(F.lit(11), h), F.lit(blocks)).cast("long")
 
 
-def plan(sizes: DataFrame, seed: int) -> tuple[DataFrame, int]:
-    """For each block of each source: how many whole passes take it, where its last pass ends, and the shards of its draws.
+def plan(sizes: DataFrame, seed: int) -> tuple[DataFrame, int, DataFrame]:
+    """For each block of each source the draws that the tree's leaves make of it, and where its last pass ends; the number of blocks; the sources' targets.
 
-    sizes has skey, source, size, h for each document.
+    sizes has skey, source, size, h for each document. Blocks that no leaf draws have no row.
     """
-    blocks = max(1, -(-sizes.count() // BLOCK))
+    n = sizes.count()
+    blocks = max(1, -(-n // BLOCK))
     dealt = sizes.withColumn("block", block_of(F.col("h"), blocks))
-    goal = settle(targets(sizes), "targets")
-    sums = dealt.groupBy("skey", "block").agg(F.sum("size").alias("block_size"))
-    order = Window.partitionBy("skey").orderBy(F.xxhash64(F.lit(seed), "skey", "block"), "block")
+    goal = targets(sizes).drop("weight")
+    goal = settle(goal, "goals")
+    sums = dealt.groupBy("skey", "block").agg(F.sum("size").alias("block_size"), F.count(F.lit(1)).alias("weight"))
+    placed = running(sums.withColumn("at", F.xxhash64(F.lit(seed), "skey", "block")), "block_size", "begun", max(1, blocks // RANGE), "block")
     goal_words = F.least(F.round("target").cast("long"), MOST_PASSES * F.col("source_size"))
-    placed = sums.join(goal, "skey").withColumn("upto", F.sum("block_size").over(order)).withColumn("place", F.row_number().over(order) - 1)
-    placed = placed.withColumn("n_blocks", F.count(F.lit(1)).over(Window.partitionBy("skey")))
-    placed = placed.withColumn("goal", goal_words).withColumn("passes", F.coalesce(F.expr("cast(goal div nullif(source_size, 0) as int)"), F.lit(0)))
-    placed = placed.withColumn("rest", F.col("goal") - F.col("passes") * F.col("source_size")).withColumn("begun", F.col("upto") - F.col("block_size"))
+    few = rows_of(goal) <= BROADCAST_ROWS
+    placed = placed.join(F.broadcast(goal) if few else goal, "skey").withColumn("goal", goal_words).withColumn("passes", F.coalesce(F.expr("cast(goal div nullif(source_size, 0) as int)"), F.lit(0)))
+    placed = placed.withColumn("rest", F.col("goal") - F.col("passes") * F.col("source_size"))
     # the unfinished last pass takes the blocks that begin before the rest ends, and `last` words of each
     placed = placed.withColumn("in_last", F.col("begun") < F.col("rest")).withColumn("last", F.greatest(F.lit(0), F.least(F.col("block_size"), F.col("rest") - F.col("begun"))))
-    placed = settle(placed, "blocks")
-    draws = placed.withColumn("times", F.col("passes") + F.col("in_last").cast("int")).where("times > 0")
-    draws = draws.select("skey", "block", F.explode(F.expr("sequence(0, times - 1)")).alias("pass"), "n_blocks", "place")
-    draws = settle(draws.select("skey", "block", "pass", (F.col("pass") * F.col("n_blocks") + F.col("place")).cast("long").alias("pos")), "draws")
-    shards = max(1, -(-draws.count() // SHARD))
-    dealt_to = draws.join(shards_of(draws, shards, seed), ["skey", "pos"]).groupBy("skey", "block").agg(F.array_sort(F.collect_list(F.struct("pass", "shard"))).alias("draws"))
+    placed = settle(placed.drop("at"), "blocks")
+    # the quota of a source: so many draws of blocks, in the permuted order, pass after pass
+    quotas = placed.groupBy("skey").agg(F.sum(F.col("passes") + F.col("in_last").cast("int")).cast("long").alias("quota"), F.count(F.lit(1)).alias("n_blocks"))
+    quotas = settle(quotas, "quotas")
+    total = quotas.agg(F.coalesce(F.sum("quota"), F.lit(0))).first()[0]
+    leaves = shards_of(quotas.where("quota > 0").select("skey", "quota"), max(1, -(-total // SHARD)), seed)
+    draws = leaves.select("skey", "shard", F.explode(F.expr("sequence(start, start + quota - 1)")).alias("pos")).join(F.broadcast(quotas.select("skey", "n_blocks")) if few else quotas.select("skey", "n_blocks"), "skey")
+    draws = draws.select("skey", F.expr("pos % n_blocks").alias("place"), F.struct(F.expr("cast(pos div n_blocks as int)").alias("pass"), "shard").alias("draw"))
+    draws = draws.groupBy("skey", "place").agg(F.array_sort(F.collect_list("draw")).alias("draws"))
     # the block in which the last pass ends: the hash at which it stops and the words left for documents with that hash
-    ends = placed.where("last > 0 and last < block_size").select("skey", "block", "last")
+    ends = F.broadcast(placed.where("last > 0 and last < block_size").select("skey", "block", "last")) if few else placed.where("last > 0 and last < block_size").select("skey", "block", "last")
     inside = dealt.join(ends, ["skey", "block"]).groupBy("skey", "block", "h").agg(F.sum("size").alias("s"), F.count(F.lit(1)).alias("alike"), F.first("last").alias("last"))
     inside = inside.withColumn("upto", F.sum("s").over(Window.partitionBy("skey", "block").orderBy("h")))
     cuts = inside.where("upto > last").groupBy("skey", "block").agg(F.min(F.struct(F.col("h").alias("cut"), ((F.col("last") - (F.col("upto") - F.col("s"))) / F.col("alike")).cast("long").alias("cut_words"))).alias("c"))
-    out = placed.join(dealt_to, ["skey", "block"], "left").join(cuts, ["skey", "block"], "left")
-    out = out.select("skey", "block", "source_size", "target", "passes", "last", "draws", F.col("c.cut").alias("cut"), F.col("c.cut_words").alias("cut_words"))
-    return settle(out, "mix"), blocks
+    out = placed.join(draws, ["skey", "place"]).join(cuts, ["skey", "block"], "left")
+    out = out.select(block_key(), "weight", "passes", "last", "draws", F.col("c.cut").alias("cut"), F.col("c.cut_words").alias("cut_words"))
+    return settle(out, "mix"), blocks, goal
+
+
+def block_key() -> Column:
+    """Names a block of a source."""
+    return F.concat_ws(":", F.col("block"), F.col("skey")).alias("key")
+
+
+def with_draws(rows: DataFrame, drawn: DataFrame, blocks: int) -> DataFrame:
+    """rows (skey, size, h, id) with the passes, last, draws, cut and cut_words of their blocks, null if no leaf draws them."""
+    rows = rows.withColumn("block", block_of(F.col("h"), blocks)).withColumn("key", block_key()).drop("block")
+    if rows_of(drawn) <= BROADCAST_ROWS:  # a row for each block, so about a thousandth of the documents
+        return rows.join(F.broadcast(drawn.drop("weight")), "key", "left").drop("key")
+    total = drawn.agg(F.sum("weight")).first()[0]
+    return attach(rows, F.col("key"), drawn, "key", "weight", total, F.struct("id", "h")).drop("key")
 
 
-def sized(docs: DataFrame, id_col: str, text_col: str, source_col: str, seed: int) -> DataFrame:
-    words = F.coalesce(F.regexp_count(F.col(text_col), F.lit(WORD)), F.lit(0)).cast("long")
-    key = F.coalesce(F.concat(F.lit("s"), F.col(source_col).cast("string")), F.lit("none"))
-    return docs.withColumns({"__skey": key, "__size": words, "__h": F.xxhash64(F.lit(seed), F.col(id_col).cast("long"), F.col(text_col))})
+def sized(docs: DataFrame, id_col: str, text_col: str, source_col: str, seed: int) -> list[Column]:
+    """id, skey, source, size and h of a document."""
+    words = F.coalesce(F.regexp_count(F.col(text_col).cast("string"), F.lit(WORD)), F.lit(0)).cast("long")
+    source, number = F.col(source_col).cast("string"), F.col(id_col).cast("long")
+    key = F.coalesce(F.concat(F.lit("s"), source), F.lit("none"))
+    return [number.alias("id"), key.alias("skey"), source.alias("source"), words.alias("size"), F.xxhash64(F.lit(seed), number, F.col(text_col).cast("string")).alias("h")]
 
 
 def taken(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", seed: int = 17) -> DataFrame:
     """One row per row of docs: doc_id, size, source_size, target, taken, shards (of its copies).
 
-    taken counts words, repeats included; a source's sum to its rounded target, but for fewer
+    taken counts the words of the draws that the tree's leaves make of the document's block, repeats included; a source's
+    sum to its rounded target, but for fewer
     words than there are rows alike where the last pass ends between repeated rows. A null text has size 0
     and is taken 0 times over; null sources are one source, the last; ids may be null or repeated. All
     draws are hashes of ids and texts, so reruns agree. An empty table gives no rows.
     """
-    rows = sized(docs, id_col, text_col, source_col, seed).select(F.col(id_col).cast("long").alias("doc_id"), F.col("__skey").alias("skey"), F.col(source_col).cast("string").alias("source"), F.col("__size").alias("size"), F.col("__h").alias("h"))
-    rows = settle(rows, "sizes")
-    blocks, n = plan(rows, seed)
-    joined = rows.withColumn("block", block_of(F.col("h"), n)).join(blocks, ["skey", "block"])
-    last = F.when(F.col("last") <= 0, F.lit(0)).when(F.col("cut").isNull() | (F.col("h") < F.col("cut")), F.col("size")).when(F.col("h") == F.col("cut"), F.col("cut_words")).otherwise(F.lit(0))
+    rows = settle(docs.select(*sized(docs, id_col, text_col, source_col, seed)), "sizes")
+    drawn, n, goal = plan(rows, seed)
+    joined = with_draws(rows, drawn, n)
+    if rows_of(goal) <= BROADCAST_ROWS:
+        joined = joined.join(F.broadcast(goal), "skey")
+    else:
+        counted = goal.join(rows.groupBy("skey").agg(F.count(F.lit(1)).alias("rows")), "skey").withColumnRenamed("skey", "k")
+        joined = attach(joined, F.col("skey"), settle(counted, "counted"), "k", "rows", rows_of(rows), F.struct("id", "h"))
+    last = F.when(F.col("cut").isNull() | (F.col("h") < F.col("cut")), F.col("size")).when(F.col("h") == F.col("cut"), F.col("cut_words")).otherwise(F.lit(0))
+    words = F.transform("draws", lambda d: F.when(d["pass"] < F.col("passes"), F.col("size")).when(F.col("last") > 0, last).otherwise(F.lit(0)))
+    total = F.coalesce(F.aggregate(words, F.lit(0).cast("long"), lambda a, x: a + x), F.lit(0).cast("long"))
     shards = F.coalesce(F.transform("draws", lambda d: d["shard"]), F.array().cast("array<int>"))
-    return joined.select("doc_id", "size", "source_size", "target", (F.col("passes") * F.col("size") + last).cast("long").alias("taken"), shards.alias("shards"))
+    return joined.select(F.col("id").alias("doc_id"), "size", "source_size", "target", total.alias("taken"), shards.alias("shards"))
 
 
 def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", seed: int = 17) -> DataFrame:
     """The mixture itself: rows of docs, each as often as it is drawn, dealt to shards and shuffled within them.
 
     Documents stay whole, so a source can differ from its target by half a document. Documents
-    without words are drawn with their block. Columns are those of docs.
+    without words are drawn with their block. Columns are those of docs, whatever their names.
     """
-    rows = sized(docs, id_col, text_col, source_col, seed)
-    sizes = settle(rows.select(F.col("__skey").alias("skey"), F.col(source_col).cast("string").alias("source"), F.col("__size").alias("size"), F.col("__h").alias("h")), "sizes")
-    blocks, n = plan(sizes, seed)
-    renamed = blocks.toDF(*[f"__b_{c}" for c in blocks.columns])
-    # a row for each block, so about a thousandth of the documents
-    renamed = F.broadcast(renamed) if rows_of(blocks) <= BROADCAST_ROWS else renamed
-    joined = rows.withColumn("__block", block_of(F.col("__h"), n)).join(renamed, (F.col("__skey") == F.col("__b_skey")) & (F.col("__block") == F.col("__b_block")))
-    in_last = F.col("__b_cut").isNull() | (F.col("__h") < F.col("__b_cut")) | ((F.col("__h") == F.col("__b_cut")) & (2 * F.col("__b_cut_words") >= F.col("__size")))
-    drawn = F.filter("__b_draws", lambda d: (d["pass"] < F.col("__b_passes")) | in_last)
-    copies = joined.withColumn("__draw", F.explode(drawn))
-    local = F.xxhash64(F.lit(seed), "__draw", "__h")
-    return copies.withColumn("__local", local).repartition("__draw.shard").sortWithinPartitions("__draw.shard", "__local").select(*docs.columns)
+    inner = [f"c{i}" for i in range(len(docs.columns))]
+    own = dict(zip(docs.columns, inner))
+    columns = sized(docs, own[id_col], own[text_col], own[source_col], seed)
+    rows = docs.toDF(*inner)
+    drawn, n, _ = plan(settle(rows.select(*columns), "sizes"), seed)
+    joined = with_draws(rows.select(*inner, *columns).drop("source"), drawn, n)
+    in_last = F.col("cut").isNull() | (F.col("h") < F.col("cut")) | ((F.col("h") == F.col("cut")) & (2 * F.col("cut_words") >= F.col("size")))
+    copies = joined.withColumn("draw", F.explode(F.filter("draws", lambda d: (d["pass"] < F.col("passes")) | in_last)))
+    copies = copies.withColumn("local", F.xxhash64(F.lit(seed), "draw", "h"))
+    return copies.repartition("draw.shard").sortWithinPartitions("draw.shard", "local").select(*[F.col(c).alias(name) for c, name in zip(inner, docs.columns)])

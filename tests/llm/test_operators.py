@@ -16,7 +16,7 @@ import pytest
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from millrace.llm import mixing, near_dedup, packing, quality, shared, topk, transducer, warc
+from millrace.llm import kernel, mixing, near_dedup, packing, quality, shared, topk, transducer, warc
 from millrace.llm.line_dedup import line_dedup, line_filter
 from millrace.llm.queries import ORACLES, QUERIES
 from millrace.llm.substring_dedup import substring_dedup
@@ -130,6 +130,24 @@ def test_token_counts(spark):
     assert all(r.over_limit == (r.n_tokens > 100) for r in found)
 
 
+def thue_morse(n: int, a: str = "a", b: str = "b") -> tuple[str, str]:
+    """Two different texts that every polynomial hash modulo a power of two takes for one."""
+    bits = [bin(i).count("1") % 2 for i in range(n)]
+    return "".join(a if x else b for x in bits), "".join(b if x else a for x in bits)
+
+
+def test_hash_of_structured_texts(spark):
+    x, y = thue_morse(4096)
+    pair = pa.array([f"{x}\n{y}", f"{x} {y}", " ".join(f"w{k} {x}" for k in range(6)), " ".join(f"w{k} {y}" for k in range(6))])
+    (_, data, offsets), = kernel.slices(pair)
+    assert quality.counts(data, offsets)[3].tolist() == [0, 0, 0, 0]
+    sets = kernel.shingle_sets(data, offsets)
+    assert not len(np.intersect1d(sets[2], sets[3]))
+    with open(VOCABULARY, encoding="utf-8") as f:
+        machine, lib = transducer.Transducer(f.read()), Tokenizer.from_file(VOCABULARY)
+    assert [list(v) for v in machine.ids(pair)] == [lib.encode(t, add_special_tokens=False).ids for t in pair.to_pylist()]
+
+
 def test_state_maps_compose():
     """The prefix scan over chunks gives the states of a plain run of the automaton."""
     maps, r = transducer.StateMaps(), np.random.default_rng(1)
@@ -271,10 +289,43 @@ def test_mixing(spark):
 
 
 def test_splitting_tree_is_exact(spark):
-    draws = spark.range(4000).selectExpr("concat('s', cast(sqrt(id) / 20 as int)) as skey", "id").withColumn("pos", F.expr("row_number() over (partition by skey order by id) - 1"))
-    out = mixing.shards_of(draws, 100, 7).collect()
-    assert len(out) == len({(r.skey, r.pos) for r in out}) == 4000
-    assert set(collections.Counter(r.shard for r in out).values()) <= {39, 40, 41}
+    """The leaves' stretches are disjoint, cover each source's quota, and are level over the shards."""
+    quota = {f"s{k}": 20 + 410 * k for k in range(4)}
+    out = mixing.shards_of(spark.createDataFrame(list(quota.items()), "skey string, quota long"), 100, 7).collect()
+    pos = collections.Counter((r.skey, r.start + k) for r in out for k in range(r.quota))
+    assert set(pos) == {(s, k) for s, q in quota.items() for k in range(q)} and set(pos.values()) == {1}
+    per = collections.Counter()
+    for r in out:
+        per[r.shard] += r.quota
+    assert max(per.values()) - min(per.values()) <= 1
+
+
+def test_mixing_comes_through_the_tree(spark, monkeypatch):
+    """Without the leaves of a shard, what that shard would have drawn isn't taken."""
+    monkeypatch.setattr(mixing, "BLOCK", 4)
+    monkeypatch.setattr(mixing, "SHARD", 8)
+    docs = rows(spark, texts() * 2, range(2 * len(texts())))
+    full = {r.doc_id: (r.taken, r.shards) for r in mixing.taken(docs).collect()}
+    leaves = mixing.shards_of
+    monkeypatch.setattr(mixing, "shards_of", lambda *a: leaves(*a).where("shard <> 0"))
+    some = {r.doc_id: r.taken for r in mixing.taken(docs).collect()}
+    hit = [i for i, (t, s) in full.items() if 0 in s and t]
+    assert hit and all(some[i] < full[i][0] for i in hit if full[i][0] >= 8)
+    assert all(some[i] == t for i, (t, s) in full.items() if 0 not in s)
+
+
+def test_mixing_in_ranges_and_beyond_broadcasts(spark, monkeypatch):
+    """Short ranges, small blocks and joins by key give the same mixture."""
+    monkeypatch.setattr(mixing, "BLOCK", 2)
+    docs = rows(spark, texts() * 2, range(2 * len(texts())))
+    want = sorted(mixing.taken(docs).drop("shards").collect(), key=str)
+    monkeypatch.setattr(mixing, "RANGE", 3)
+    monkeypatch.setattr(mixing, "BROADCAST_ROWS", 0)
+    assert sorted(mixing.taken(docs).drop("shards").collect(), key=str) == want
+    names = "doc_id long, text string, source string, __size long, h long, c0 long, key string, draws string, skey string"
+    data = [(i, prose(i, 20), "a", 5, 7, 9, "k", "d", "s") for i in range(40)]
+    out = mixing.mix(spark.createDataFrame(data, names))
+    assert {tuple(r) for r in out.collect()} == set(data)
 
 
 def test_packing(spark):
