@@ -9,17 +9,18 @@ the full texts. Verified links make components by label propagation.
 Why no link is lost: a pair with similarity s misses every list with
 probability about (1 - s) ** INDEXED (6e-8 at 0.75), and the estimate's cut lies six standard
 deviations below the threshold. Texts with equal shingle sets are one node, so
-copies are never paired. Within a list only a spanning forest of the pairs
-that are surely links is passed on, so a group of n near copies gives n - 1
-pairs and not n * (n - 1) / 2; pairs that the estimate leaves open and
-that the forest doesn't join already are all passed on, once each.
-Long lists are cut into blocks, and each pair of blocks is a group of its own.
+copies are never paired. A pair is looked at in one list only, that of its smallest common value. No pairs leave a
+list for verification: its members that may have a link go on, each once, with their full shingle sets, all
+intersections among them are counted exactly, and a spanning forest of the links is what a list gives.
+Long lists are cut into blocks, by rows and by shingles, and each pair of blocks is a group of its own; between two blocks one
+pair of each two parts that are surely linked within their blocks goes on.
 """
 
 from __future__ import annotations
 
+import collections
 import hashlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -35,6 +36,12 @@ BLOCK = 1024
 #: Longer lists are dealt by size class.
 LONG = 48
 SIGMAS = 6
+#: Shingles of a set beyond which a block has fewer rows.
+WIDE = 8192
+#: Children of a node in a spanning forest, as far as the links allow: no node is a hot key of the joins that follow.
+FAN = 8
+#: Values that so many members share at most are counted pair by pair, others as matrix products.
+RARE = 16
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = 75, k: int = 5) -> DataFrame:
@@ -61,13 +68,19 @@ def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     first = found.groupBy("component").agg(F.min(place).alias("p")).select(F.col("p.doc_id").alias("id"), F.col("p.t1").alias("f1"), F.col("p.t2").alias("f2"))
     alike = found.groupBy("doc_id", "t1", "t2").agg(F.count(F.lit(1)).alias("rows"))
     same = F.col("doc_id").eqNullSafe(F.col("id")) & (F.col("t1") == F.col("f1")) & (F.col("t2") == F.col("f2"))
-    judged = settle(alike.join(first, same, "left").where("f1 is null or rows > 1").select("doc_id", "t1", "t2", F.col("f1").isNull().alias("goes")).toDF("__id", "__t1", "__t2", "__goes"), "judged")
-    named = docs.withColumns(dict(zip(("__k1", "__k2"), text_key(text_col))))
-    match = F.col(id_col).cast("long").eqNullSafe(F.col("__id")) & (F.col("__k1") == F.col("__t1")) & (F.col("__k2") == F.col("__t2"))
-    marked = named.join(F.broadcast(judged) if rows_of(judged) <= BROADCAST_ROWS else judged, match, "left")
-    once = marked.where(F.col("__goes").isNull()).select(*docs.columns)
-    repeated = marked.where(~F.col("__goes")).dropDuplicates(["__id", "__t1", "__t2"]).select(*docs.columns)
-    return once.unionByName(repeated) if judged.where("not __goes").limit(1).count() else once
+    name = F.concat_ws(":", F.coalesce(F.col("doc_id").cast("string"), F.lit("-")), "t1", "t2").alias("k")
+    judged = settle(alike.join(first, same, "left").where("f1 is null or rows > 1").select(name, F.col("f1").isNull().alias("goes"), "rows"), "judged")
+    inner = [f"c{i}" for i in range(len(docs.columns))]
+    own = dict(zip(docs.columns, inner))
+    row_key = F.concat_ws(":", F.coalesce(F.col(own[id_col]).cast("long").cast("string"), F.lit("-")), *text_keys(own[text_col]).values())
+    if rows_of(judged) <= BROADCAST_ROWS:
+        marked = docs.toDF(*inner).withColumn("k", row_key).join(F.broadcast(judged.drop("rows")), "k", "left")
+    else:
+        marked = attach(docs.toDF(*inner).withColumn("k", row_key), F.col("k"), judged, "k", "rows", judged.agg(F.sum("rows")).first()[0], F.struct("k", own[id_col]))
+    named = lambda df: df.select(*[F.col(c).alias(name) for c, name in zip(inner, docs.columns)])
+    once = named(marked.where(F.col("goes").isNull()))
+    repeated = named(marked.where(~F.col("goes")).dropDuplicates(["k"]))
+    return once.unionByName(repeated) if judged.where("not goes").limit(1).count() else once
 
 
 def grouped(docs: DataFrame, id_col: str, text_col: str, percent: int, k: int) -> DataFrame:
@@ -75,15 +88,10 @@ def grouped(docs: DataFrame, id_col: str, text_col: str, percent: int, k: int) -
     source = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     keyed = source.withColumns(text_keys())
     sketches = settle(keyed.mapInArrow(lambda batches: sketch(batches, k), "doc_id long, t1 long, t2 long, n long, node string, low array<long>, sketch binary"), "sketches")
-    edges = settle(verified(candidates(sketches, percent), sketches, keyed, percent, k), "edges")
+    edges = settle(verified(candidates(sketches, percent), sketches, keyed, percent, k).distinct(), "edges")
     return components(sketches, edges)
 
 
-def text_key(text: str = "text") -> list:
-    """Two 64-bit hashes of the text, which name it in joins."""
-    return list(text_keys(text).values())
-
-
 def sketch(batches: Iterator[pa.RecordBatch], k: int) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         n, node, low, kept = [], [], [], []
@@ -99,7 +107,7 @@ def sketch(batches: Iterator[pa.RecordBatch], k: int) -> Iterator[pa.RecordBatch
 
 
 def candidates(sketches: DataFrame, percent: int) -> DataFrame:
-    """Distinct pairs (a, b) of nodes that the lists and the estimates leave.
+    """v, g, i, j, node: for each list and pair of its blocks the nodes that the estimates leave.
 
     A long list is dealt by size class: sizes of similar sets differ by less than a class,
     so group c holds classes c and c + 1 and answers for pairs with a member of class c.
@@ -110,9 +118,10 @@ def candidates(sketches: DataFrame, percent: int) -> DataFrame:
     total = sketches.sparkSession.read.schema(shared.schema).parquet(shared.settled_at).agg(F.coalesce(F.sum("members"), F.lit(0))).first()[0]
     size_class = F.when(F.col("members") <= LONG, F.lit(0)).otherwise(1 + F.floor(F.log(F.col("n").cast("double")) / F.log(F.lit(100 / percent + 1e-9)))).cast("int")
     listed = attach(postings, F.col("v"), shared.withColumn("weight", F.col("members")), "v", "weight", total, F.col("node"), "inner")
-    listed = settle(listed.withColumn("c", size_class).select("v", "node", "c"), "postings")
-    groups = listed.select("v", "node", "c", F.explode(F.when(F.col("c") > 0, F.array(F.col("c") - 1, F.col("c"))).otherwise(F.array("c"))).alias("g"))
-    long_groups = groups.where("c > 0").groupBy("v", "g").agg(F.count(F.lit(1)).alias("size")).where(f"size > {BLOCK}")
+    listed = settle(listed.withColumn("c", size_class).select("v", "node", "n", "c"), "postings")
+    groups = listed.select("v", "node", "n", "c", F.explode(F.when(F.col("c") > 0, F.array(F.col("c") - 1, F.col("c"))).otherwise(F.array("c"))).alias("g"))
+    heavy = F.sum(F.greatest(F.lit(1.0), F.col("n") / WIDE))
+    long_groups = groups.where("c > 0").groupBy("v", "g").agg(heavy.alias("size")).where(f"size > {BLOCK}")
     # few: each has more than BLOCK members; the join still doesn't rely on that
     blocks = F.coalesce(F.ceil(F.col("size") / BLOCK), F.lit(1)).cast("int")
     sized = groups.join(long_groups, ["v", "g"], "left").withColumn("blocks", blocks).withColumn("own", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
@@ -122,35 +131,24 @@ def candidates(sketches: DataFrame, percent: int) -> DataFrame:
     needed = listed.select("node").distinct()
     bodies = sketches.where("n > 0").select("node", "n", "sketch").join(needed, "node", "left_semi").dropDuplicates(["node"])
     full = dealt.join(bodies, "node").repartition("v", "g", "i", "j").sortWithinPartitions("v", "g", "i", "j", "node")
-    pairs = full.select("v", "g", "i", "j", "own", "upper", "node", "n", "sketch").mapInArrow(lambda batches: in_lists(batches, percent / 100), "a string, b string")
-    return pairs.distinct()
+    full = full.select("v", "g", "i", "j", "own", "upper", "node", "n", "sketch")
+    return full.mapInArrow(lambda batches: by_group(batches, lambda t, lo, hi: in_list(t, lo, hi, percent / 100)), "v long, g int, i int, j int, node string")
 
 
 GROUP = ("v", "g", "i", "j")
 
 
-def in_lists(batches: Iterator[pa.RecordBatch], least: float) -> Iterator[pa.RecordBatch]:
-    """The rows come sorted by list and block pair; a group may go on in the next batch."""
+def by_group(batches: Iterator[pa.RecordBatch], look: Callable[[pa.Table, int, int], pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """look(table, lo, hi) for each group of the rows, which come sorted by list and block pair; a group may go on in the next batch."""
     held: list[pa.RecordBatch] = []
 
-    def emit(parts: list[pa.RecordBatch]) -> pa.RecordBatch:
-        t = pa.Table.from_batches(parts)
+    def emit(parts: list[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        t = pa.Table.from_batches(parts).combine_chunks()
         keys = [t.column(c).to_numpy() for c in GROUP]
-        own, n = t.column("own").to_numpy(), t.column("n").to_numpy()
-        upper = t.column("upper").to_numpy()
-        nodes, bodies = t.column("node").to_pylist(), t.column("sketch").to_pylist()
         cut = np.flatnonzero(np.any([k[1:] != k[:-1] for k in keys], axis=0)) + 1
-        left, right = [], []
-        for lo, hi in zip([0, *cut], [*cut, len(n)]):
-            if hi - lo < 2:
-                continue
-            head = np.uint32(int(keys[0][lo]) % (1 << 64) >> 32)
-            whole = keys[2][lo] == keys[3][lo]
-            for x, y in in_group(head, whole, own[lo:hi], upper[lo:hi], n[lo:hi], [np.frombuffer(b, np.uint32) for b in bodies[lo:hi]], least):
-                a, b = nodes[lo + x], nodes[lo + y]
-                left.append(min(a, b))
-                right.append(max(a, b))
-        return pa.RecordBatch.from_arrays([pa.array(left, pa.string()), pa.array(right, pa.string())], ["a", "b"])
+        out = [look(t, lo, hi) for lo, hi in zip([0, *cut.tolist()], [*cut.tolist(), t.num_rows]) if hi - lo > 1]
+        if out:
+            yield from pa.Table.from_batches(out).combine_chunks().to_batches()
 
     for batch in batches:
         if not batch.num_rows:
@@ -159,102 +157,161 @@ def in_lists(batches: Iterator[pa.RecordBatch], least: float) -> Iterator[pa.Rec
         new = np.flatnonzero(np.any([k != k[-1] for k in keys], axis=0))
         at = int(new[-1]) + 1 if len(new) else 0
         if at:
-            yield emit([*held, batch.slice(0, at)])
+            yield from emit([*held, batch.slice(0, at)])
             held = [batch.slice(at)]
         elif held and any(held[-1].column(c)[0] != batch.column(c)[0] for c in GROUP):
-            yield emit(held)
+            yield from emit(held)
             held = [batch]
         else:
             held.append(batch)
     if held:
-        yield emit(held)
+        yield from emit(held)
+
 
+def in_list(t: pa.Table, lo: int, hi: int, least: float) -> pa.RecordBatch:
+    """The members of one group that are to be looked at exactly."""
+    part = t.slice(lo, hi - lo).combine_chunks()
+    v, i, j = (part.column(c)[0].as_py() for c in ("v", "i", "j"))
+    bodies = [np.frombuffer(b, np.uint32) for b in part.column("sketch").to_pylist()]
+    keep = in_group(np.uint32(v % (1 << 64) >> 32), i == j, part.column("own").to_numpy(), part.column("upper").to_numpy(), part.column("n").to_numpy(), bodies, least)
+    kept = part.select([*GROUP, "node"]).take(pa.array(keep, pa.int64())).combine_chunks()
+    return kept.to_batches()[0] if len(keep) else pa.RecordBatch.from_pylist([], schema=kept.schema)
 
-def in_group(head: np.uint32, whole: bool, own: np.ndarray, upper: np.ndarray, n: np.ndarray, sets: list[np.ndarray], least: float) -> list[tuple[int, int]]:
-    """Pairs of positions to verify: a spanning forest of sure links, and the open pairs that it doesn't join."""
+
+def intersections(sets: list[np.ndarray]) -> np.ndarray:
+    """Sizes of the intersections of all pairs of sets of numbers, exactly."""
     g = len(sets)
-    most = SIGMAS * np.sqrt(least * (1 - least) / RETAINED)
     code = np.concatenate(sets)
-    order = np.argsort(code)
-    ranked = code[order]
-    equal = ranked[1:] == ranked[:-1]
-    often = np.zeros(len(code), bool)
-    often[1:] |= equal
-    often[:-1] |= equal
-    number = np.concatenate(([0], np.cumsum(~equal)))[often]
-    _, number = np.unique(number, return_inverse=True)
-    row = np.repeat(np.arange(g), [len(s) for s in sets])[order[often]]
-    width = int(number.max()) + 1 if len(number) else 0
-    common = np.zeros((g, g), np.float32)
-    for lo in range(0, width, 2048):
-        part = (number >= lo) & (number < lo + 2048)
-        x = np.zeros((g, min(2048, width - lo)), np.float32)
-        x[row[part], number[part] - lo] = 1
+    order = np.argsort(code, kind="stable")
+    row, ranked = np.repeat(np.arange(g), [len(s) for s in sets])[order], code[order]
+    begin = np.flatnonzero(np.append(True, ranked[1:] != ranked[:-1]))
+    held = np.diff(np.append(begin, len(ranked)))
+    each = np.repeat(held, held)
+    few = np.flatnonzero((each > 1) & (each <= RARE))
+    rare, rows = ranked[few], row[few]
+    flat = np.zeros(g * g, np.float32)
+    for step in range(1, RARE):
+        same = np.flatnonzero(rare[step:] == rare[:-step])
+        if not len(same):
+            break
+        flat += np.bincount(rows[same] * g + rows[same + step], minlength=g * g)
+    common = flat.reshape(g, g)
+    common = common + common.T
+    often = held > RARE
+    number, rows = np.repeat(np.cumsum(often) - 1, held)[each > RARE], row[each > RARE]
+    at = np.searchsorted(number, np.arange(0, int(often.sum()) + 2048, 2048))
+    for k in range(len(at) - 1):
+        x = np.zeros((g, 2048), np.float32)
+        x[rows[at[k] : at[k + 1]], number[at[k] : at[k + 1]] - 2048 * k] = 1
         common += x @ x.T
+    return common
+
+
+def forest(linked: np.ndarray) -> list[tuple[int, int]]:
+    """A spanning forest of a symmetric matrix of links, in which a node has few children where the links allow it."""
+    unseen, out = np.ones(len(linked), bool), []
+    for root in np.argsort(-linked.sum(1), kind="stable").tolist():
+        if not unseen[root]:
+            continue
+        unseen[root] = False
+        queue, waiting = collections.deque([root]), []
+        while queue or waiting:
+            at = queue.popleft() if queue else waiting.pop()
+            near = np.flatnonzero(linked[at] & unseen)
+            if len(near) > FAN:
+                waiting.append(at)
+                near = near[:FAN]
+            unseen[near] = False
+            out += [(at, z) for z in near.tolist()]
+            queue.extend(near.tolist())
+    return out
+
+
+def in_group(head: np.uint32, whole: bool, own: np.ndarray, upper: np.ndarray, n: np.ndarray, sets: list[np.ndarray], least: float) -> np.ndarray:
+    """Positions of the members that may have a link here: those with sure links, and of open pairs that these do not join."""
+    g = len(sets)
+    most = SIGMAS * np.sqrt(least * (1 - least) / RETAINED)
+    common = intersections(sets)
+    # a pair that has a smaller common value is looked at in that one's list
+    below = intersections([s[: np.searchsorted(s, head)] for s in sets])
     n = n.astype(np.float64)
     # below this no pair is a link, so all further work is on the pairs that are left
     floor = ((least - most) * np.minimum(least * n, RETAINED)).astype(np.float32)
-    x, y = np.nonzero(np.triu(common >= floor[:, None], 1))
+    close = np.triu(common >= floor[:, None], 1)
+    x, y = np.nonzero(close)
     fair = ~(upper[x] & upper[y])
-    if not whole:
-        fair &= own[x] != own[y]
     small, large = np.minimum(n[x], n[y]), np.maximum(n[x], n[y])
     fair &= small >= least * large - 1e-9
-    x, y, small, large = x[fair], y[fair], small[fair], large[fair]
+    across = own[x] != own[y]
+    x, y, small, large, across = x[fair], y[fair], small[fair], large[fair], across[fair]
     c = common[x, y].astype(np.float64)
+    here = (below[x, y] == 0) & (across | whole)
     exact = large <= RETAINED
     # the union's bottom-k sample is drawn without replacement from at most small / least values
     band = most * np.sqrt(np.clip(1 - RETAINED * least / np.maximum(small, 1), 0, 1))
     # of two sketches with c common values c / (2 * RETAINED - c) estimates the Jaccard at most, less if the sizes differ
     sure = np.where(exact, c >= least * (n[x] + n[y] - c) - 1e-3, c >= np.minimum(least + band, 1) * (2 * RETAINED - c))
-    label, out = np.arange(g), []
-    if sure.any():
-        linked = np.zeros((g, g), bool)
-        linked[x[sure], y[sure]] = linked[y[sure], x[sure]] = True
-        unseen = np.ones(g, bool)
-        for root in np.argsort(-linked.sum(1), kind="stable"):
-            queue = [root] if unseen[root] else []
-            unseen[root] = False
-            while queue:
-                at = queue.pop()
-                near = np.flatnonzero(linked[at] & unseen)
-                unseen[near] = False
-                label[near] = root
-                out += [(int(at), int(z)) for z in near]
-                queue += list(near)
-    left = ~sure & ~exact & (c >= (least - band) * np.minimum(small, RETAINED)) & (label[x] != label[y])
-    for a, b, width in zip(x[left], y[left], band[left]):
-        both = np.intersect1d(sets[a], sets[b], assume_unique=True)
-        # of the lists that hold both, the one with the smallest common value passes the pair on
-        if not len(both) or both[0] != head:
+    needed = np.zeros(g, bool)
+    label = np.arange(g)
+    # parts that sure links join: in a list of one block those of this list, between two blocks those within each block
+    joined = sure & ((below[x, y] == 0) if whole else ~across)
+    linked = np.zeros((g, g), bool)
+    linked[x[joined], y[joined]] = linked[y[joined], x[joined]] = True
+    for a, b in forest(linked):  # parents come before their children
+        label[b] = label[a]
+        if whole:
+            needed[[a, b]] = True
+    if not whole:  # one sure pair of each two parts
+        at = np.flatnonzero(sure & here)
+        a, b = np.minimum(label[x[at]], label[y[at]]), np.maximum(label[x[at]], label[y[at]])
+        _, first = np.unique(a * g + b, return_index=True)
+        needed[x[at[first]]] = needed[y[at[first]]] = True
+        told = set((a * g + b).tolist())
+        la, lb = np.minimum(label[x], label[y]), np.maximum(label[x], label[y])
+        apart = ~np.isin(la * g + lb, list(told)) if told else np.ones(len(x), bool)
+    else:
+        apart = label[x] != label[y]
+    left = here & ~sure & ~exact & apart & (c >= (least - band) * np.minimum(small, RETAINED))
+    for a, b, width in zip(x[left].tolist(), y[left].tolist(), band[left].tolist()):
+        if needed[a] and needed[b]:
             continue
+        both = np.intersect1d(sets[a], sets[b], assume_unique=True)
         union = np.union1d(sets[a], sets[b])[:RETAINED]
         if np.isin(union, both).sum() >= (least - width) * len(union):
-            out.append((int(a), int(b)))
-    return out
+            needed[a] = needed[b] = True
+    return np.flatnonzero(needed)
 
 
-def verified(pairs: DataFrame, sketches: DataFrame, keyed: DataFrame, percent: int, k: int) -> DataFrame:
-    """The pairs whose full shingle sets are similar enough."""
-    pairs = settle(pairs, "pairs")
-    nodes = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()
-    names = sketches.where("n > 0").groupBy("node").agg(F.min(F.struct("t1", "t2")).alias("t")).join(nodes, "node", "left_semi").select("node", "t.t1", "t.t2")
+def verified(members: DataFrame, sketches: DataFrame, keyed: DataFrame, percent: int, k: int) -> DataFrame:
+    """a, b: a spanning forest of the links of each group's members, from the full shingle sets."""
+    members = settle(members, "members")
+    nodes = members.select("node").distinct()
+    # one row has the text of a node: only rows alike in id and text are gathered, and they are one after partial aggregation
+    one = F.min(F.struct(F.col("doc_id").isNull().alias("late"), "doc_id", "t1", "t2")).alias("t")
+    names = sketches.where("n > 0").groupBy("node").agg(one).join(nodes, "node", "left_semi").select("node", "t.doc_id", "t.t1", "t.t2")
     names = settle(names, "names")
     wanted = F.broadcast(names) if rows_of(names) <= BROADCAST_ROWS else names
-    texts = settle(keyed.select("t1", "t2", "text").join(wanted, ["t1", "t2"]).dropDuplicates(["node"]).select("node", "text"), "texts")
-    one = pairs.join(texts.select(F.col("node").alias("a"), F.col("text").alias("text_a")), "a")
-    two = one.join(texts.select(F.col("node").alias("b"), F.col("text").alias("text_b")), "b")
+    mine = keyed.select(F.col("doc_id").alias("d"), "t1", "t2", "text").join(wanted, ["t1", "t2"]).where(F.col("d").eqNullSafe(F.col("doc_id")))
 
-    def exact(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            keep = []
-            sides = [[s for _, d, o in kernel.slices(batch.column(c)) for s in kernel.shingle_sets(d, o, k)] for c in ("text_a", "text_b")]
-            for x, y in zip(*sides):
-                both = len(np.intersect1d(x, y, assume_unique=True))
-                keep.append(100 * both >= percent * (len(x) + len(y) - both))
-            yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
+            sets = [s.tobytes() for _, d, o in kernel.slices(batch.column("text")) for s in kernel.shingle_sets(d, o, k)]
+            yield pa.RecordBatch.from_arrays([batch.column("node"), pa.array(sets, pa.binary())], ["node", "full"])
+
+    full = settle(mine.dropDuplicates(["node"]).select("node", "text").mapInArrow(whole, "node string, full binary"), "full")
+
+    def links(t: pa.Table, lo: int, hi: int) -> pa.RecordBatch:
+        part = t.slice(lo, hi - lo).combine_chunks()
+        sets = [np.frombuffer(b, np.uint64) for b in part.column("full").to_pylist()]
+        n, common = np.array([len(s) for s in sets], np.int64), intersections(sets).astype(np.int64)
+        linked = 100 * common >= percent * (n[:, None] + n[None, :] - common)
+        np.fill_diagonal(linked, False)
+        node = part.column("node").to_pylist()
+        tree = [sorted((node[a], node[b])) for a, b in forest(linked)]
+        return pa.RecordBatch.from_arrays([pa.array([p[s] for p in tree], pa.string()) for s in (0, 1)], ["a", "b"])
 
-    return two.select("a", "b", "text_a", "text_b").mapInArrow(exact, "a string, b string")
+    gathered = members.join(full, "node").repartition(*GROUP).sortWithinPartitions(*GROUP, "node")
+    return gathered.select(*GROUP, "node", "full").mapInArrow(lambda batches: by_group(batches, links), "a string, b string")
 
 
 def components(sketches: DataFrame, edges: DataFrame) -> DataFrame:
@@ -266,12 +323,20 @@ def components(sketches: DataFrame, edges: DataFrame) -> DataFrame:
     # a label is a node: the one with the smallest (id, node) so far, null ids last
     order = F.struct(F.col("id").isNull().alias("late"), F.col("id").alias("id"), F.col("node").alias("node"))
     state = settle(smallest.join(both.select(F.col("x").alias("node")).distinct(), "node", "left_semi").select("node", order.alias("label")), "labels")
+    few = rows_of(state) <= BROADCAST_ROWS
+    side = F.broadcast if few else (lambda df: df)
     while True:
-        near = both.join(state.select(F.col("node").alias("y"), "label"), "y").groupBy(F.col("x").alias("node")).agg(F.min("label").alias("near"))
+        # a node has few links (FAN for each group that it is in), so none is a hot key here
+        near = both.join(side(state.select(F.col("node").alias("y"), "label")), "y").groupBy(F.col("x").alias("node")).agg(F.min("label").alias("near"))
         moved = state.join(near, "node", "left").select("node", F.least("label", F.coalesce("near", "label")).alias("label"), F.col("label").alias("was"))
         moved = settle(moved, "labels")
         hop = moved.select(F.col("node").alias("to"), F.col("label").alias("further"))
-        jumped = moved.withColumn("to", F.col("label.node")).join(hop, "to", "left").select("node", F.least("label", F.coalesce("further", "label")).alias("label"), "was")
+        ahead = moved.withColumn("to", F.col("label.node"))
+        if few:
+            ahead = ahead.join(F.broadcast(hop), "to", "left")
+        else:  # all nodes of a component may look to one
+            ahead = attach(ahead, F.col("to"), settle(ahead.groupBy("to").agg(F.count(F.lit(1)).alias("looking")).join(hop, "to"), "ahead"), "to", "looking", rows_of(moved), F.col("node"))
+        jumped = ahead.select("node", F.least("label", F.coalesce("further", "label")).alias("label"), "was")
         jumped = settle(jumped, "labels")
         changed = jumped.where(~F.col("label").eqNullSafe(F.col("was"))).limit(1).count()
         discard(state, moved)
