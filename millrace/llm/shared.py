@@ -25,9 +25,21 @@ def shared_folder(spark: SparkSession, name: str) -> str:
     return f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
+#: Arrow batches of texts are kept to so many bytes, where the session has Spark's own, far larger, bound.
+BATCH_BYTES = "4m"
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Bound the Arrow batches of the session: what a batch holds, the JVM's buffers and Python's objects hold several times over."""
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if spark.conf.get(name) in ("67108864b", "64MB", "64m", "2147483647b"):
+        spark.conf.set(name, BATCH_BYTES)
+
+
 def settle(df: DataFrame, name: str, *partition_by: str) -> DataFrame:
     """Write df to the shared folder and read it back: lineage ends there, and a lost executor costs nothing before it."""
     spark = df.sparkSession
+    small_batches(spark)
     path = shared_folder(spark, name)
     df.write.partitionBy(*partition_by).parquet(path) if partition_by else df.write.parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
@@ -78,20 +90,31 @@ def text_keys(text: str = "text") -> dict[str, Column]:
     return {"t1": F.xxhash64(F.lit(1), text), "t2": F.xxhash64(F.octet_length(text), F.lit(7), text)}
 
 
+def text_key() -> Column:
+    """t1 and t2 as one key."""
+    return F.concat_ws(":", "t1", "t2")
+
+
 def distinct_texts(keyed: DataFrame, texts: DataFrame) -> DataFrame:
     """t1, t2, id, text of each different text of keyed (doc_id, text, t1, t2).
 
-    texts has t1, t2, copies, first_id, and first_id becomes id. Only texts with copies are shuffled.
+    texts has t1, t2, copies, first_id, and first_id becomes id. Only texts with copies are shuffled, and of those
+    only one row each, the one with the first id (ties: any of the equal texts), goes on with its text.
     """
-    multiple = texts.where("copies > 1").select("t1", "t2", "first_id", F.lit(True).alias("many"))
-    few = multiple.count() <= BROADCAST_ROWS
-    marked = keyed.select("t1", "t2", "doc_id", "text").join(F.broadcast(multiple) if few else multiple, ["t1", "t2"], "left")
+    multiple = texts.where("copies > 1").select(text_key().alias("k"), "first_id", F.lit(True).alias("many"), F.col("copies").alias("weight"))
+    size = multiple.agg(F.count(F.lit(1)), F.coalesce(F.sum("weight"), F.lit(0))).first()
+    rows = keyed.select("t1", "t2", "doc_id", "text")
+    if size[0] <= BROADCAST_ROWS:
+        marked = rows.withColumn("k", text_key()).join(F.broadcast(multiple.drop("weight")), "k", "left").drop("k")
+    else:
+        marked = attach(rows, text_key(), multiple, "k", "weight", size[1], F.struct("doc_id", "t1"))
     once = marked.where(F.col("many").isNull()).select("t1", "t2", F.col("doc_id").alias("id"), "text")
-    return once.unionByName(marked.where("many").select("t1", "t2", F.col("first_id").alias("id"), "text").dropDuplicates(["t1", "t2"]))
+    first = marked.where(F.col("many") & F.col("doc_id").eqNullSafe(F.col("first_id")))
+    return once.unionByName(first.select("t1", "t2", F.col("first_id").alias("id"), "text").dropDuplicates(["t1", "t2"]))
 
 
 def join_texts(rows: DataFrame, table: DataFrame, n: int) -> DataFrame:
-    """rows (text, t1, t2) with the columns of table, for those it names; n is the number of its rows."""
+    """rows (text, t1, t2; one for each text) with the columns of table, for those it names; n is the number of its rows."""
     if n <= BROADCAST_ROWS:
         rows = rows.join(F.broadcast(table.select("t1", "t2")), ["t1", "t2"], "left_semi")
     return rows.join(table, ["t1", "t2"])

@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from millrace.llm import transducer
+from millrace.llm.shared import small_batches
 
 
 def token_counts(docs: DataFrame, vocabulary: str, limit: int = 2048, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -20,6 +21,7 @@ def token_counts(docs: DataFrame, vocabulary: str, limit: int = 2048, id_col: st
     may be null or repeated; other columns are not read; an empty table gives no rows. Rows are
     handled alone, so no row can hold up others and nothing is shuffled.
     """
+    small_batches(docs.sparkSession)
     with open(vocabulary, encoding="utf-8") as f:
         source = docs.sparkSession.sparkContext.broadcast(f.read())
 
