@@ -1,10 +1,10 @@
 """WARC archives as seekable Zstandard bundles.
 
-Each record is an independent frame, so a reader that knows a record's offset decompresses
-that record alone. A bundle ends with a seek table in a skippable frame (the layout of
-the public zstd seekable format, without checksums): plain zstd tools
+Records are grouped into frames of about FRAME_BYTES, which are compressed independently of each other, so a reader
+decompresses one frame to get at a record, and records of a frame share what they have in common. A bundle ends with a seek table
+in a skippable frame (the layout of the public zstd seekable format, without checksums): plain zstd tools
 still read the file, and a reader finds every frame from the footer. An index maps each record
-to its bundle and its frame's offset and length.
+to its bundle, its frame, and its place in the decompressed frame.
 """
 
 from __future__ import annotations
@@ -30,8 +30,8 @@ from millrace.llm.shared import attach, settle, shared_folder
 
 #: Magic numbers of skippable frames and of the seek table's footer.
 SKIPPABLE, SEEKABLE = 0x184D2A5E, 0x8F92EAB1
-#: A bundle is closed once it holds this many bytes or frames.
-BUNDLE_BYTES, BUNDLE_FRAMES = 256 << 20, 1 << 20
+#: A frame is closed once it holds this many bytes before compression, a bundle once it holds this many compressed ones.
+FRAME_BYTES, BUNDLE_BYTES = 256 << 10, 256 << 20
 LEVEL = 3
 DATE = datetime(2024, 1, 1, tzinfo=UTC).strftime("%Y-%m-%dT%H:%M:%SZ")
 
@@ -99,10 +99,11 @@ class Bundle:
         self.out = self.fs.open_output_stream(self.draft)
 
     def add(self, raw: bytes, frame: bytes) -> tuple[int, int]:
+        """Append a frame; its place in the seek table and its size."""
         self.out.write(frame)
         self.frames.append((len(frame), len(raw)))
         self.at += len(frame)
-        return self.at - len(frame), len(frame)
+        return len(self.frames) - 1, len(raw)
 
     def close(self) -> None:
         self.out.write(seek_table(self.frames))
@@ -110,6 +111,9 @@ class Bundle:
         self.fs.move(self.draft, self.to)
 
 
+INDEX = "page_id long, bundle string, frame int, record_offset long, record_length long"
+
+
 def write(records: DataFrame, folder: str) -> DataFrame:
     """Write records (page_id, url, html, first, revisit) to bundles in folder; gives the index, one row per record."""
 
@@ -117,62 +121,90 @@ def write(records: DataFrame, folder: str) -> DataFrame:
         context = TaskContext.get()
         label = f"part-{context.partitionId():06d}-{context.taskAttemptId()}"
         packer, bundle, number = zstandard.ZstdCompressor(level=LEVEL), None, 0
+        held: list[tuple[int | None, bytes]] = []  # the records of the open frame
+        size = 0
+
+        def close_frame() -> pa.RecordBatch:
+            nonlocal bundle, number, held, size
+            if bundle is None:
+                bundle = Bundle(folder, f"{label}-{number:04d}.warc.zst")
+                number += 1
+            raw = b"".join([r for _, r in held])
+            frame, _ = bundle.add(raw, packer.compress(raw))
+            length = np.array([len(r) for _, r in held], np.int64)
+            n = len(held)
+            rows = [pa.array([page for page, _ in held], pa.int64()), pa.array([bundle.name] * n), pa.array(np.full(n, frame, np.int32)), pa.array(np.cumsum(length) - length), pa.array(length)]
+            held, size = [], 0
+            if bundle.at >= BUNDLE_BYTES:
+                bundle.close()
+                bundle = None
+            return pa.RecordBatch.from_arrays(rows, [c.split()[0] for c in INDEX.split(", ")])
+
         for batch in batches:
-            rows = {"bundle": [], "frame_offset": [], "frame_length": []}
-            for page, url, text, first, revisit in zip(*[batch.column(c).to_pylist() for c in ("page_id", "url", "html", "first", "revisit")]):
-                payload = (text or "").encode()
-                digest = digest32(payload)
-                raw = record("revisit" if revisit else "response", "" if page is None else str(page), url, payload, digest, None if first is None else str(first))
-                if bundle is None or bundle.at >= BUNDLE_BYTES or len(bundle.frames) >= BUNDLE_FRAMES:
-                    if bundle:
-                        bundle.close()
-                    bundle = Bundle(folder, f"{label}-{number:04d}.warc.zst")
-                    number += 1
-                at, size = bundle.add(raw, packer.compress(raw))
-                for k, v in zip(rows, (bundle.name, at, size)):
-                    rows[k].append(v)
-            yield pa.RecordBatch.from_arrays([batch.column("page_id"), pa.array(rows["bundle"], pa.string()), pa.array(rows["frame_offset"], pa.int64()), pa.array(rows["frame_length"], pa.int64())], ["page_id", *rows])
+            for page, url, text, first, revisit in zip(*[batch.column(c) for c in ("page_id", "url", "html", "first", "revisit")]):
+                page, url, first = page.as_py(), url.as_py(), first.as_py()
+                payload = (text.as_py() or "").encode()
+                raw = record("revisit" if revisit.as_py() else "response", "" if page is None else str(page), url, payload, digest32(payload), None if first is None else str(first))
+                held.append((page, raw))
+                size += len(raw)
+                if size >= FRAME_BYTES:
+                    yield close_frame()
+        if held:
+            yield close_frame()
         if bundle:
             bundle.close()
 
-    return records.mapInArrow(run, "page_id long, bundle string, frame_offset long, frame_length long")
+    return records.mapInArrow(run, INDEX)
 
 
-def read_back(index: DataFrame, folder: str) -> DataFrame:
-    """Every record of the bundles that index names, read through their seek tables and checked against the index.
+def read(index: DataFrame, folder: str) -> DataFrame:
+    """The records that rows of the index name: page_id, kind, payload (empty for revisits), payload_bytes, payload_digest, refers_to, and their places.
 
-    A response's payload is hashed again; a revisit's digest and length are those that its record states.
+    Any part of the index will do: one row reads one frame. A bundle is opened once for its rows in a partition, a frame
+    found in the seek table and decompressed once, and a record taken from its place there and checked: its length, its id, and a response's digest.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         unpacker = zstandard.ZstdDecompressor()
         fs, path = pyarrow.fs.FileSystem.from_uri(folder if "://" in folder or folder.startswith("file:") else os.path.abspath(folder))
+        name, f, frames, at, raw = None, None, [], None, b""
         for batch in batches:
-            for name, expected in zip(batch.column("bundle").to_pylist(), batch.column("frames").to_pylist()):
-                with fs.open_input_file(f"{path}/{name}") as f:
+            rows, taken = [], 0
+            for page, bundle, frame, start, length in zip(*[batch.column(c).to_pylist() for c in ("page_id", "bundle", "frame", "record_offset", "record_length")]):
+                if bundle != name:
+                    if f:
+                        f.close()
+                    name, f, at = bundle, fs.open_input_file(f"{path}/{bundle}"), None
                     frames = read_seek_table(f)
-                    if len(frames) != expected:
-                        raise ValueError(f"{name}: {len(frames)} frames, {expected} in the index")
-                    for lo in range(0, len(frames), 500):
-                        rows = []
-                        for at, size in frames[lo : lo + 500]:
-                            f.seek(at)
-                            fields, body = parse(unpacker.decompress(f.read(size)))
-                            kind, stated = fields["WARC-Type"], fields["WARC-Payload-Digest"].removeprefix("sha1:")
-                            if kind == "response" and digest32(body) != stated:
-                                raise ValueError(f"{name}: a payload's digest differs")
-                            number = lambda k: int(fields[k]) if fields.get(k) else None  # noqa: B023, E731
-                            rows.append((number("X-Page-Id"), int(fields["X-Payload-Length"]), stated, kind, number("X-Refers-To-Page-Id"), name, at, size))
-                        yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows), TYPES)], NAMES)
-
-    whole = index.groupBy("bundle").agg(F.count(F.lit(1)).alias("frames"))
+                if frame != at:
+                    offset, size = frames[frame]
+                    f.seek(offset)
+                    at, raw = frame, unpacker.decompress(f.read(size))
+                fields, body = parse(raw[start : start + length])
+                kind, stated = fields["WARC-Type"], fields["WARC-Payload-Digest"].removeprefix("sha1:")
+                number = lambda k: int(fields[k]) if fields.get(k) else None  # noqa: B023, E731
+                if number("X-Page-Id") != page or (kind == "response" and digest32(body) != stated):
+                    raise ValueError(f"{name}: the record at {start} of frame {frame} is another or was damaged")
+                rows.append((page, int(fields["X-Payload-Length"]), stated, kind, number("X-Refers-To-Page-Id"), body, name, frame, start, length))
+                taken += len(body)
+                if taken > BATCH:
+                    yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows), TYPES)], NAMES)
+                    rows, taken = [], 0
+            if rows:
+                yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows), TYPES)], NAMES)
+        if f:
+            f.close()
+
     bundles = index.select("bundle").distinct().count()
-    # a row for each bundle is little to Spark and much to read: without a count of partitions all might go to one task
-    return whole.repartition(max(1, bundles), "bundle").mapInArrow(run, "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long, bundle string, frame_offset long, frame_length long")
+    # rows of the index are little to Spark and much to read: without a count of partitions all might go to one task
+    by_bundle = index.repartition(max(1, bundles), "bundle").sortWithinPartitions("bundle", "frame", "record_offset")
+    return by_bundle.mapInArrow(run, "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long, payload binary, bundle string, frame int, record_offset long, record_length long")
 
 
-TYPES = [pa.int64(), pa.int64(), pa.string(), pa.string(), pa.int64(), pa.string(), pa.int64(), pa.int64()]
-NAMES = ["page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "bundle", "frame_offset", "frame_length"]
+#: Bytes of payloads after which a batch of records that were read goes on.
+BATCH = 1 << 20
+TYPES = [pa.int64(), pa.int64(), pa.string(), pa.string(), pa.int64(), pa.binary(), pa.string(), pa.int32(), pa.int64(), pa.int64()]
+NAMES = ["page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "payload", "bundle", "frame", "record_offset", "record_length"]
 
 
 def archive(pages: DataFrame, least_bytes: int = 0, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", folder: str | None = None) -> tuple[DataFrame, DataFrame, str]:
@@ -195,4 +227,4 @@ def archive(pages: DataFrame, least_bytes: int = 0, id_col: str = "page_id", url
     revisit = F.coalesce(F.col("shared") & F.col("first").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("first")), F.lit(False))
     marked = marked.select("page_id", "url", "html", F.when(revisit, F.col("first")).alias("first"), revisit.alias("revisit"))
     index = settle(write(marked, folder), "warc-index")
-    return read_back(index, folder), index, folder
+    return read(index, folder), index, folder

@@ -161,7 +161,7 @@ def test_state_maps_compose():
         assert maps.token_starts(kinds).tolist() == starts
 
 
-def test_warc(spark, tmp_path):
+def test_warc(spark, tmp_path, monkeypatch):
     data = [(3, "http://a/1", "<p>x</p>"), (1, "http://a/2", "<p>x</p>"), (2, None, None), (5, "http://a/3\r\nX: y", ""), (4, "u", "é" * 300), (None, "n", "<p>x</p>"), (7, "big", prose(1, 30000)), (8, "a", "only"), (8, "a", "only")]
     pages = spark.createDataFrame(data, "page_id long, url string, html string")
     records, index, folder = warc.archive(pages, folder=str(tmp_path / "warc"))
@@ -173,12 +173,20 @@ def test_warc(spark, tmp_path):
         revisit = html in first and page != first[html]
         want[(page, len(body), base64.b32encode(hashlib.sha1(body).digest()).decode(), "revisit" if revisit else "response", first[html] if revisit else None)] += 1
     assert collections.Counter(tuple(r)[:5] for r in found) == want
-    # one record by its place in the index
-    at = index.where("page_id = 4").first()
-    with open(f"{folder}/{at.bundle}", "rb") as f:
-        f.seek(at.frame_offset)
-        fields, body = warc.parse(warc.zstandard.ZstdDecompressor().decompress(f.read(at.frame_length)))
-    assert body.decode() == "é" * 300 and fields["X-Page-Id"] == "4"
+    # records by their ids: only their rows of the index are read
+    some = {r.page_id: r for r in warc.read(index.where("page_id in (4, 7)"), folder).collect()}
+    assert some[4].payload.decode() == "é" * 300 and some[7].payload.decode() == prose(1, 30000)
+    # a frame holds many records, and plain zstd reads a bundle from its first byte on
+    monkeypatch.setattr(warc, "BUNDLE_BYTES", 4000)
+    many = spark.createDataFrame([(i, f"http://p/{i}", prose(i, 40)) for i in range(3000)], "page_id long, url string, html string").coalesce(1)
+    records, index, folder = warc.archive(many, folder=str(tmp_path / "many"))
+    frames = index.groupBy("bundle", "frame").count().collect()
+    assert len({r.bundle for r in frames}) > 1 and max(r["count"] for r in frames) > 100
+    assert {r.page_id: r.payload.decode() for r in records.collect()} == {i: prose(i, 40) for i in range(3000)}
+    name = frames[0].bundle
+    with open(f"{folder}/{name}", "rb") as f:
+        whole = warc.zstandard.ZstdDecompressor().stream_reader(f, read_across_frames=True).read()
+    assert whole.count(b"WARC/1.1\r\n") == sum(r["count"] for r in frames if r.bundle == name)
     assert warc.archive(pages, least_bytes=9)[0].where("record_type = 'revisit'").count() == 0
     assert warc.archive(pages.limit(0))[0].count() == 0
 
