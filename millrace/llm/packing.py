@@ -179,11 +179,10 @@ def places(bins: Bins) -> dict[str, np.ndarray]:
 
 def pieces(docs: DataFrame, vocabulary: str, capacity: int, id_col: str, text_col: str, end_id: int) -> DataFrame:
     """Pieces of at most capacity ids; only longer documents are cut."""
-    with open(vocabulary, encoding="utf-8") as f:
-        source = docs.sparkSession.sparkContext.broadcast(f.read())
+    source = docs.sparkSession.sparkContext.broadcast(transducer.read(vocabulary))
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        machine = transducer.compiled(source.value)
+        machine = transducer.compiled(*source.value)
         for batch in batches:
             row, piece, start, length, crc = [], [], [], [], []
             for i, ids in enumerate(machine.ids(batch.column("text"))):
@@ -219,8 +218,9 @@ def pack(docs: DataFrame, vocabulary: str, capacity: int = 2048, id_col: str = "
     dealt = cut.withColumn("part", F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32"), F.lit(groups)).cast("int"))
     before = dealt.groupBy("length", "part").agg(F.count(F.lit(1)).alias("n"))
     before = settle(before.withColumn("base", F.sum("n").over(Window.partitionBy("length").orderBy("part")) - F.col("n")).drop("n"), "ranks")
+    # both sides are dealt by length and part for the windows already; a table of lengths and parts grows with the pieces, so it is not broadcast
     order = Window.partitionBy("length", "part").orderBy("doc_id", "piece", "ids_crc32")
-    ranked = dealt.withColumn("own", F.row_number().over(order) - 1).join(before, ["length", "part"]).withColumn("rank", F.col("base") + F.col("own"))
+    ranked = dealt.withColumn("own", F.row_number().over(order) - 1).join(before.hint("merge"), ["length", "part"]).withColumn("rank", F.col("base") + F.col("own"))
 
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         t = runs.value

@@ -16,17 +16,16 @@ from millrace.llm.shared import small_batches
 def token_counts(docs: DataFrame, vocabulary: str, limit: int = 2048, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per row of docs: doc_id, n_bytes, n_tokens, over_limit (n_tokens > limit).
 
-    vocabulary is the path of a tokenizers .json file, read on the driver and
+    vocabulary is the path of a tokenizers .json file, compiled on the driver and
     broadcast (a few MB, whatever the data). Null and empty texts have 0 bytes and 0 tokens; ids
     may be null or repeated; other columns are not read; an empty table gives no rows. Rows are
     handled alone, so no row can hold up others and nothing is shuffled.
     """
     small_batches(docs.sparkSession)
-    with open(vocabulary, encoding="utf-8") as f:
-        source = docs.sparkSession.sparkContext.broadcast(f.read())
+    source = docs.sparkSession.sparkContext.broadcast(transducer.read(vocabulary))
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        machine = transducer.compiled(source.value)
+        machine = transducer.compiled(*source.value)
         for batch in batches:
             text = batch.column("text")
             tokens = pa.array(machine.counts(text))

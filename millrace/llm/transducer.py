@@ -6,9 +6,10 @@ maps (one for each class, as functions from state to state) are closed under
 composition into a finite table, so a text is cut into chunks, each
 chunk is reduced to one composed map, a prefix scan over the chunks' maps gives
 every chunk's entry state, and the transitions that start a pre-token are
-read off in parallel. The second layer holds the pre-tokens met so far; each
-one's last transition is annotated with the tokens that it emits, which the tokenizer
-library gives once, when the word is first met.
+read off in parallel. The second layer holds pre-tokens; each
+one's last transition is annotated with the tokens that it emits. All words of the vocabulary
+are annotated when the file is compiled, once, on the driver; a word that only its merges make is added,
+with what the tokenizer library gives for it, when a worker first meets it.
 
 Texts with bytes outside the compiled alphabet (anything but ASCII and the
 letters of U+00C0 to U+00FF), with special strings, or tokenizers with another
@@ -36,10 +37,10 @@ ONE_LETTER, TWO_LETTERS = "stmd", ("re", "ve", "ll")
 FRESH, LETTERS, OTHERS, TAIL, TAIL2 = range(5)
 GAP, LETTER, DIGIT, OTHER, MARK1, MARK2, INNER, UNSAFE = range(8)
 CHUNK = 64
-#: Bytes taken at once; the second layer is sorted anew after each.
+#: Bytes taken at once.
 SLICE = 1 << 20
-#: Words kept in the second layer of a worker; it is begun anew when full.
-MOST_WORDS = 1_500_000
+#: Words kept in the second layer of a worker; it is begun anew from the compiled ones when full.
+MOST_WORDS = 500_000
 SLOT_BITS = 20
 
 
@@ -122,10 +123,60 @@ class StateMaps:
         return self.starts.ravel()[state.astype(np.intp) * 14 + kinds]
 
 
+class Growing:
+    """An array with room to grow, so that appending costs what is appended."""
+
+    def __init__(self, start: np.ndarray) -> None:
+        self.room, self.n = start.copy(), len(start)
+
+    def append(self, more: np.ndarray) -> None:
+        if self.n + len(more) > len(self.room):
+            larger = np.zeros(max(2 * len(self.room), self.n + len(more), 1024), self.room.dtype)
+            larger[: self.n] = self.room[: self.n]
+            self.room = larger
+        self.room[self.n : self.n + len(more)] = more
+        self.n += len(more)
+
+    @property
+    def all(self) -> np.ndarray:
+        return self.room[: self.n]
+
+
+class Sorted:
+    """Entries by key: a large sorted part, and a small one that is merged into it when it has grown to a half of it."""
+
+    def __init__(self, keys: np.ndarray) -> None:
+        order = np.argsort(keys, kind="stable")
+        self.parts = [(keys[order], order), (keys[:0], order[:0])]
+
+    def add(self, keys: np.ndarray, entry: np.ndarray) -> None:
+        (main, at), (new, also) = self.parts
+        new, also = np.concatenate((new, keys)), np.concatenate((also, entry))
+        if 2 * len(new) > len(main):
+            main, at, new, also = np.concatenate((main, new)), np.concatenate((at, also)), new[:0], also[:0]
+            order = np.argsort(main, kind="stable")
+            main, at = main[order], at[order]
+        order = np.argsort(new, kind="stable")
+        self.parts = [(main, at), (new[order], also[order])]
+
+    def find(self, keys: np.ndarray) -> np.ndarray:
+        """The entry of each key, or -1."""
+        out = np.full(len(keys), -1, np.int64)
+        for have, entry in self.parts:
+            if len(have):
+                at = np.minimum(np.searchsorted(have, keys), len(have) - 1)
+                same = have[at] == keys
+                out[same] = entry[at[same]]
+        return out
+
+
+Layer = tuple[np.ndarray, np.ndarray, np.ndarray]
+
+
 class Transducer:
-    """Compiled from the text of a tokenizers .json file."""
+    """Compiled from the text of a tokenizers .json file; layer has keys, numbers and ids of words annotated before."""
 
-    def __init__(self, source: str) -> None:
+    def __init__(self, source: str, layer: Layer | None = None) -> None:
         from tokenizers import Tokenizer
 
         self.library = Tokenizer.from_str(source)
@@ -138,44 +189,57 @@ class Transducer:
         special = [t["content"] for t in spec.get("added_tokens", [])]
         self.compiled = pattern == PATTERN and kinds == NORMALIZERS and all(t.startswith("<|") for t in special)
         self.maps, self.classes = StateMaps(), byte_classes()
+        self.given: Layer = layer or (np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.uint32))
         self.clear()
+        if layer is None and self.compiled:
+            end = (spec.get("model") or {}).get("end_of_word_suffix") or ""
+            # words of letters stand for themselves in the vocabulary
+            words = sorted({t.removesuffix(end) for t in spec["model"]["vocab"] if t.endswith(end)})
+            words = [w.encode() for w in words if w.isascii() and w.isalpha() and w == w.lower()]
+            if words:
+                size = np.array([len(w) for w in words], np.int64)
+                data, last = np.frombuffer(b"".join(words), np.uint8), np.cumsum(size)
+                self.learn(words, kernel.spans_hash(data, last - size, last))
+            self.given = (self.keys.all[1:].copy(), self.size.all[1:].copy(), self.flat.all.copy())
 
     def clear(self) -> None:
-        self.keys = np.zeros(1, np.uint64)
-        self.begin, self.size = np.zeros(1, np.int64), np.zeros(1, np.int64)
-        self.flat = np.zeros(0, np.uint32)
-        self.order = np.zeros(1, np.int64)
+        """Only the compiled words; entry 0 stands for no word."""
+        keys, size, flat = self.given
+        self.keys = Growing(np.append(np.zeros(1, np.uint64), keys))
+        self.size = Growing(np.append(np.zeros(1, np.int64), size))
+        self.begin = Growing(np.append(np.zeros(1, np.int64), np.cumsum(size) - size))
+        self.flat = Growing(flat)
+        self.places = Sorted(self.keys.all)
         self.slots = np.zeros(1 << SLOT_BITS, np.int32)
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
         fast = getattr(self.library, "encode_batch_fast", self.library.encode_batch)
         return [np.array(e.ids, np.uint32) for e in fast(texts, add_special_tokens=False)]
 
-    def learn(self, words: list[bytes], keys: np.ndarray) -> None:
-        """Annotate new words with what the library emits for them."""
+    def learn(self, words: list[bytes], keys: np.ndarray) -> np.ndarray:
+        """Annotate new words with what the library emits for them; their entries."""
         ids = self.encode([w.decode() for w in words])
-        size = np.array([len(x) for x in ids], np.int64)
-        self.begin = np.concatenate([self.begin, len(self.flat) + np.cumsum(size) - size])
-        self.size = np.concatenate([self.size, size])
-        self.flat = np.concatenate([self.flat, *ids])
-        self.keys = np.concatenate([self.keys, keys])
-        self.order = np.argsort(self.keys, kind="stable")
+        size, entry = np.array([len(x) for x in ids], np.int64), self.keys.n + np.arange(len(words))
+        self.begin.append(self.flat.n + np.cumsum(size) - size)
+        self.size.append(size)
+        self.flat.append(np.concatenate(ids))
+        self.keys.append(keys)
+        self.places.add(keys, entry)
+        return entry
 
     def entries(self, data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
         """The second layer's entry for each pre-token."""
         key = kernel.spans_hash(data, start, end)
         slot = (key >> np.uint64(64 - SLOT_BITS)).astype(np.intp)
         entry = self.slots[slot].astype(np.int64)
-        missed = np.flatnonzero(self.keys[entry] != key)
+        missed = np.flatnonzero(self.keys.all[entry] != key)
         if len(missed):
             new, first, inverse = np.unique(key[missed], return_index=True, return_inverse=True)
-            for attempt in range(2):
-                at = self.order[np.minimum(np.searchsorted(self.keys, new, sorter=self.order), len(self.keys) - 1)]
-                unknown = self.keys[at] != new
-                if not unknown.any():
-                    break
+            at = self.places.find(new)
+            unknown = np.flatnonzero(at < 0)
+            if len(unknown):
                 where = missed[first[unknown]]
-                self.learn([data[a:b].tobytes() for a, b in zip(start[where], end[where])], new[unknown])
+                at[unknown] = self.learn([data[a:b].tobytes() for a, b in zip(start[where], end[where])], new[unknown])
             self.slots[slot[missed[first]]] = at
             entry[missed] = at[inverse]
         return entry
@@ -220,7 +284,7 @@ class Transducer:
             keep = np.repeat(~by_library, np.diff(first))
             start, end = start[keep], end[keep]
             first = np.concatenate(([0], np.cumsum(np.where(by_library, 0, np.diff(first)))))
-        if len(self.keys) > MOST_WORDS:
+        if self.keys.n > MOST_WORDS + len(self.given[0]):
             self.clear()
         return self.entries(low, start, end), first, by_library
 
@@ -229,7 +293,7 @@ class Transducer:
         out = np.zeros(len(column), np.int64)
         for row, data, offsets in kernel.slices(column, SLICE):
             entry, first, by_library = self.slice(data, offsets)
-            total = np.concatenate(([0], np.cumsum(self.size[entry])))
+            total = np.concatenate(([0], np.cumsum(self.size.all[entry])))
             n = total[first[1:]] - total[first[:-1]]
             where = np.flatnonzero(by_library)
             if len(where):
@@ -241,9 +305,9 @@ class Transducer:
         """Ids of each row, in order."""
         for _, data, offsets in kernel.slices(column, SLICE):
             entry, first, by_library = self.slice(data, offsets)
-            size = self.size[entry]
+            size = self.size.all[entry]
             total = np.concatenate(([0], np.cumsum(size)))
-            flat = self.flat[np.repeat(self.begin[entry] - total[:-1], size) + np.arange(total[-1])]
+            flat = self.flat.all[np.repeat(self.begin.all[entry] - total[:-1], size) + np.arange(total[-1])]
             for i in range(len(offsets) - 1):
                 if by_library[i]:
                     yield self.encode([data[offsets[i] : offsets[i + 1]].tobytes().decode()])[0]
@@ -254,10 +318,17 @@ class Transducer:
 _compiled: dict[int, Transducer] = {}
 
 
-def compiled(source: str) -> Transducer:
-    """One transducer for each tokenizer in a worker; its second layer outlives the task."""
+def compiled(source: str, layer: Layer) -> Transducer:
+    """One transducer for each tokenizer in a worker; the words that it adds outlive the task."""
     key = hash(source)
     if key not in _compiled:
         _compiled.clear()
-        _compiled[key] = Transducer(source)
+        _compiled[key] = Transducer(source, layer)
     return _compiled[key]
+
+
+def read(path: str) -> tuple[str, Layer]:
+    """A tokenizer file and its compiled words, for a broadcast (a few MB, whatever the data)."""
+    with open(path, encoding="utf-8") as f:
+        source = f.read()
+    return source, Transducer(source).given
