@@ -1,9 +1,8 @@
 """Exact top-k search by inner product, in tiles.
 
-Queries and candidates are dealt into blocks; a tile is a block of queries
-against a shard of candidates, one matrix product, after which each query
-keeps its k best of the shard. The lists are then merged as a tree: first
-within groups of shards, then over the groups. Products are of whole numbers, so they are exact.
+Queries come in blocks of bounded size, one broadcast at a time, to candidates that stay where they are; a tile is a part of
+the block against a batch of candidates, one matrix product, after which each query keeps its k best. A task gives one list for each query; the
+lists are merged as a tree: first within groups of tasks, then over the groups. Products are of whole numbers, so they are exact.
 """
 
 from __future__ import annotations
@@ -12,14 +11,17 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from millrace.llm.shared import settle
 
-#: Rows of a candidate shard and of a query block.
-SHARD, BLOCK = 32_768, 2_048
-#: Shards whose lists meet in the first merge.
+#: Queries and candidates of a tile.
+QUERIES, CANDIDATES = 1_024, 2_048
+#: Bytes of a block of queries: what one broadcast holds.
+BLOCK_BYTES = 32 << 20
+#: Tasks whose lists meet in the first merge.
 FAN = 16
 
 
@@ -31,73 +33,62 @@ def top_k(vectors: DataFrame, queries: Column, k: int = 5, scale: float = 256.0,
     their id: a query's candidates are the rows with another id, each as often as it is
     there, and an id that repeats asks once, with its smallest vector. Rows with a null id or vector, or with a null or non-finite component,
     take no part; a query meets only vectors of its own length. A query with fewer than k
-    candidates gets all of them; an empty table gives no rows.
+    candidates gets all of them; an empty table gives no rows; other columns may have any names.
     """
     whole = F.transform(F.col(vector_col), lambda x: F.floor(x.cast("double") * scale))
     usable = F.col(id_col).isNotNull() & F.col(vector_col).isNotNull() & F.forall(vector_col, lambda x: x.isNotNull() & ~F.isnan(x.cast("double")) & (F.abs(x.cast("double")) < float("inf")))
     rows = vectors.where(usable).select(F.col(id_col).cast("long").alias("id"), whole.alias("x"), F.coalesce(queries, F.lit(False)).alias("asks"))
     rows = settle(rows.withColumn("d", F.size("x")), "vectors")
-    counts = rows.agg(F.count(F.lit(1)).alias("n"), F.sum(F.col("asks").cast("int")).alias("q")).first()
-    shards, blocks = max(1, -(-counts.n // SHARD)), max(1, -(-(counts.q or 0) // BLOCK))
-    number = lambda seed, n: F.pmod(F.xxhash64(F.lit(seed), "id", "x"), F.lit(n)).cast("int")
-    # copies: each candidate once for each query block, each query once for each shard, as an exact search must
     once = rows.where("asks").groupBy("id").agg(F.min(F.struct("d", "x")).alias("v")).select("id", "v.d", "v.x")
-    asked = once.select("d", number(1, blocks).alias("block"), F.explode(F.sequence(F.lit(0), F.lit(shards - 1))).alias("shard"), F.lit(True).alias("asks"), "id", "x")
-    given = rows.select("d", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("block"), number(2, shards).alias("shard"), F.lit(False).alias("asks"), "id", "x")
-    tiles = asked.union(given).repartition("d", "block", "shard").sortWithinPartitions("d", "block", "shard", F.desc("asks"))
-    lists = tiles.mapInArrow(lambda batches: multiply(batches, k), "query_id long, vec_id long, score long, part int")
+    once = settle(once, "queries")
+    # what a block holds is what its vectors take, so blocks are of one size whatever the data
+    size = once.agg(F.coalesce(F.sum(8 * F.col("d") + 64), F.lit(0))).first()[0]
+    blocks = max(1, -(-size // BLOCK_BYTES))
+    once = once.withColumn("block", F.pmod(F.xxhash64(F.lit(1), "id"), F.lit(blocks)).cast("int"))
     best = lambda df, *by: df.withColumn("rank", F.row_number().over(Window.partitionBy(*by).orderBy(F.desc("score"), "vec_id"))).where(F.col("rank") <= k)
-    merged = best(lists, "query_id", "part").drop("rank")
+    lists = []
+    for block in range(blocks):
+        asked = rows.sparkSession.sparkContext.broadcast(by_length(once.where(F.col("block") == block).select("d", "id", "x").toArrow()))
+        found = rows.select("d", "id", "x").mapInArrow(lambda batches, asked=asked: multiply(batches, asked.value, k), "query_id long, vec_id long, score long, part int")
+        lists.append(settle(best(found, "query_id", "part").drop("rank"), "lists"))
+        asked.unpersist()
+    merged = lists[0].sparkSession.read.schema(lists[0].schema).parquet(*[df.settled_at for df in lists])
     return best(merged, "query_id").select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
 
 
-def multiply(batches: Iterator[pa.RecordBatch], k: int) -> Iterator[pa.RecordBatch]:
-    """Rows come sorted by tile, queries first; candidates are taken batch by batch."""
-    tile, ids, block, matrix = None, [], [], None
-    best_q: list[np.ndarray] = []
-    best_id: list[np.ndarray] = []
-    best_score: list[np.ndarray] = []
+def by_length(t: pa.Table) -> dict[int, tuple[np.ndarray, np.ndarray]]:
+    """The ids and the vectors of queries of each length."""
+    out, d, t = {}, t.column("d").to_numpy(), t.combine_chunks()
+    for n in np.unique(d).tolist():
+        part = t.filter(pa.array(d == n)).combine_chunks()
+        x = part.column("x").combine_chunks().flatten().to_numpy(zero_copy_only=False)
+        out[n] = (part.column("id").to_numpy(), np.asarray(x, np.int64).reshape(part.num_rows, n))
+    return out
 
-    def flush() -> Iterator[pa.RecordBatch]:
-        nonlocal best_id, best_score
-        if tile is not None and ids and best_id:
-            q, v, s = (np.concatenate(x) for x in (best_q, best_id, best_score))
-            q, v, s = shortest(q, v, s, k)
-            asked = np.array(ids, np.int64)[q]
-            yield pa.RecordBatch.from_arrays([pa.array(asked), pa.array(v), pa.array(s), pa.array(np.full(len(v), tile[2] // FAN, np.int32))], ["query_id", "vec_id", "score", "part"])
 
+def multiply(batches: Iterator[pa.RecordBatch], asked: dict[int, tuple[np.ndarray, np.ndarray]], k: int) -> Iterator[pa.RecordBatch]:
+    """The k best of a task's candidates for each query; candidates are taken batch by batch."""
+    context = TaskContext.get()
+    part = context.partitionId() // FAN if context else 0
+    held: dict[tuple[int, int], list[tuple[np.ndarray, ...]]] = {}
     for batch in batches:
-        keys = np.stack([batch.column(c).to_numpy() for c in ("d", "block", "shard")])
-        asks = batch.column("asks").to_numpy(zero_copy_only=False)
-        cut = np.flatnonzero(np.any(keys[:, 1:] != keys[:, :-1], axis=0) | (asks[1:] != asks[:-1])) + 1
-        for lo, hi in zip([0, *cut], [*cut, batch.num_rows]):
-            if hi <= lo:
+        lengths = batch.column("d").to_numpy()
+        for d in np.unique(lengths).tolist():
+            if d not in asked:
                 continue
-            now = tuple(int(x) for x in keys[:, lo])
-            if now != tile:
-                yield from flush()
-                tile, ids, block, matrix, best_q, best_id, best_score = now, [], [], None, [], [], []
-            part = batch.slice(lo, hi - lo)
-            lists = part.column("x")
-            x = np.asarray(lists.flatten().to_numpy(zero_copy_only=False), np.int64).reshape(hi - lo, now[0])
-            own = part.column("id").to_numpy()
-            if asks[lo]:
-                ids += own.tolist()
-                block.append(x)
-                continue
-            if not ids:
-                continue
-            if matrix is None:
-                matrix = np.concatenate(block)
-            for at in range(0, len(own), 4096):
-                q, v, s = select(np.array(ids, np.int64), matrix, own[at : at + 4096], x[at : at + 4096], k)
-                best_q.append(q)
-                best_id.append(v)
-                best_score.append(s)
-            if len(best_q) > 16:
-                q, v, s = shortest(np.concatenate(best_q), np.concatenate(best_id), np.concatenate(best_score), k)
-                best_q, best_id, best_score = [q], [v], [s]
-    yield from flush()
+            some = batch.filter(pa.array(lengths == d)) if len(lengths) and (lengths != d).any() else batch
+            x = np.asarray(some.column("x").flatten().to_numpy(zero_copy_only=False), np.int64).reshape(some.num_rows, d)
+            own, (ids, matrix) = some.column("id").to_numpy(), asked[d]
+            for lo in range(0, len(ids), QUERIES):
+                lists = held.setdefault((d, lo), [])
+                for at in range(0, len(own), CANDIDATES):
+                    q, v, s = select(ids[lo : lo + QUERIES], matrix[lo : lo + QUERIES], own[at : at + CANDIDATES], x[at : at + CANDIDATES], k)
+                    lists.append((q, v, s))
+                if len(lists) > 8:
+                    held[d, lo] = [shortest(*[np.concatenate(c) for c in zip(*lists)], k)]
+    for (d, lo), lists in held.items():
+        q, v, s = shortest(*[np.concatenate(c) for c in zip(*lists)], k)
+        yield pa.RecordBatch.from_arrays([pa.array(asked[d][0][lo + q]), pa.array(v), pa.array(s), pa.array(np.full(len(v), part, np.int32))], ["query_id", "vec_id", "score", "part"])
 
 
 def product(a: np.ndarray, b: np.ndarray) -> np.ndarray:

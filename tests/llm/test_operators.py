@@ -192,8 +192,9 @@ def test_warc(spark, tmp_path, monkeypatch):
 
 
 def test_top_k(spark, monkeypatch):
-    monkeypatch.setattr(topk, "SHARD", 40)
-    monkeypatch.setattr(topk, "BLOCK", 3)
+    monkeypatch.setattr(topk, "QUERIES", 3)
+    monkeypatch.setattr(topk, "CANDIDATES", 40)
+    monkeypatch.setattr(topk, "BLOCK_BYTES", 400)
     r = np.random.default_rng(4)
     vectors = [(i, [float(x) for x in r.normal(size=5)]) for i in range(300)] + [(i, [0.5] * 5) for i in range(300, 360)]
     vectors += [(400, None), (401, [1.0, None, 0.0, 0.0, 0.0]), (402, [float("nan")] * 5), (403, [float("inf")] * 5), (None, [1.0] * 5), (450, [1.0, 2.0]), (500, [3.0, -1.0]), (550, [])]
