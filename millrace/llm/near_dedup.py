@@ -189,13 +189,13 @@ def intersections(sets: list[np.ndarray]) -> np.ndarray:
     each = np.repeat(held, held)
     few = np.flatnonzero((each > 1) & (each <= RARE))
     rare, rows = ranked[few], row[few]
-    flat = np.zeros(g * g, np.float32)
+    pairs = [np.zeros(0, np.int64)]
     for step in range(1, RARE):
         same = np.flatnonzero(rare[step:] == rare[:-step])
         if not len(same):
             break
-        flat += np.bincount(rows[same] * g + rows[same + step], minlength=g * g)
-    common = flat.reshape(g, g)
+        pairs.append(rows[same] * g + rows[same + step])
+    common = np.bincount(np.concatenate(pairs), minlength=g * g).astype(np.float32).reshape(g, g)
     common = common + common.T
     often = held > RARE
     number, rows = np.repeat(np.cumsum(often) - 1, held)[each > RARE], row[each > RARE]
@@ -231,21 +231,22 @@ def in_group(head: np.uint32, whole: bool, own: np.ndarray, upper: np.ndarray, n
     """Positions of the members that may have a link here: those with sure links, and of open pairs that these do not join."""
     g = len(sets)
     most = SIGMAS * np.sqrt(least * (1 - least) / RETAINED)
-    common = intersections(sets)
     # a pair that has a smaller common value is looked at in that one's list
-    below = intersections([s[: np.searchsorted(s, head)] for s in sets])
+    ours = np.triu(intersections([s[: np.searchsorted(s, head)] for s in sets]) == 0, 1)
+    across = own[:, None] != own[None, :]
+    if not (ours if whole else ours & across).any():
+        return np.zeros(0, np.int64)
+    common = intersections(sets)
     n = n.astype(np.float64)
     # below this no pair is a link, so all further work is on the pairs that are left
     floor = ((least - most) * np.minimum(least * n, RETAINED)).astype(np.float32)
-    close = np.triu(common >= floor[:, None], 1)
-    x, y = np.nonzero(close)
+    x, y = np.nonzero(ours & (common >= floor[:, None]))
     fair = ~(upper[x] & upper[y])
     small, large = np.minimum(n[x], n[y]), np.maximum(n[x], n[y])
     fair &= small >= least * large - 1e-9
-    across = own[x] != own[y]
-    x, y, small, large, across = x[fair], y[fair], small[fair], large[fair], across[fair]
-    c = common[x, y].astype(np.float64)
-    here = (below[x, y] == 0) & (across | whole)
+    x, y, small, large = x[fair], y[fair], small[fair], large[fair]
+    across, c = across[x, y], common[x, y].astype(np.float64)
+    here = across | whole
     exact = large <= RETAINED
     # the union's bottom-k sample is drawn without replacement from at most small / least values
     band = most * np.sqrt(np.clip(1 - RETAINED * least / np.maximum(small, 1), 0, 1))
@@ -254,7 +255,7 @@ def in_group(head: np.uint32, whole: bool, own: np.ndarray, upper: np.ndarray, n
     needed = np.zeros(g, bool)
     label = np.arange(g)
     # parts that sure links join: in a list of one block those of this list, between two blocks those within each block
-    joined = sure & ((below[x, y] == 0) if whole else ~across)
+    joined = sure if whole else sure & ~across
     linked = np.zeros((g, g), bool)
     linked[x[joined], y[joined]] = linked[y[joined], x[joined]] = True
     for a, b in forest(linked):  # parents come before their children
@@ -266,9 +267,9 @@ def in_group(head: np.uint32, whole: bool, own: np.ndarray, upper: np.ndarray, n
         a, b = np.minimum(label[x[at]], label[y[at]]), np.maximum(label[x[at]], label[y[at]])
         _, first = np.unique(a * g + b, return_index=True)
         needed[x[at[first]]] = needed[y[at[first]]] = True
-        told = set((a * g + b).tolist())
-        la, lb = np.minimum(label[x], label[y]), np.maximum(label[x], label[y])
-        apart = ~np.isin(la * g + lb, list(told)) if told else np.ones(len(x), bool)
+        told = np.zeros((g, g), bool)
+        told[a, b] = True
+        apart = ~told[np.minimum(label[x], label[y]), np.maximum(label[x], label[y])]
     else:
         apart = label[x] != label[y]
     left = here & ~sure & ~exact & apart & (c >= (least - band) * np.minimum(small, RETAINED))
