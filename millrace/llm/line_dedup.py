@@ -66,25 +66,47 @@ def leaves(batches: Iterator[pa.RecordBatch], least: int) -> Iterator[pa.RecordB
             yield pa.RecordBatch.from_arrays([batch.column("t1").take(take), batch.column("t2").take(take), pa.array(leaf[new].view(np.int64)), lists], ["t1", "t2", "leaf", "lines"])
 
 
+def chosen(batch: pa.RecordBatch, k: int) -> tuple[np.ndarray, ...]:
+    """Of the given lines of row k: their numbers, tokens and leaves, each token's line (as an index), and its key of leaf, column and token."""
+    data = np.frombuffer(batch.column("text")[k].as_py().encode(), np.uint8)
+    h, first, _, leaf = tokens(data, np.array([0, len(data)]))
+    line = np.sort(batch.column("lines")[k].values.to_numpy())
+    n = np.diff(first)[line]
+    which = np.repeat(np.arange(len(line)), n)
+    pos = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+    token = h[first[line][which] + pos]
+    return line, token, leaf[line], which, kernel.mix(leaf[line][which] + pos.astype(np.uint64) * kernel.PLACE[30] + token * kernel.PLACE[31])
+
+
 def columns(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """One row for each token of the given lines; `one` marks the first of its leaf, column and token in the text."""
+    """One row for each different leaf, column and token of a text; tokens with a digit are never constant and have none."""
+    for batch in batches:
+        row, keys = [np.zeros(0, np.int64)], [np.zeros(0, np.uint64)]
+        for k in range(batch.num_rows):
+            _, token, _, _, key = chosen(batch, k)
+            keys.append(np.unique(key[token != 0]))
+            row.append(np.full(len(keys[-1]), k))
+        take = pa.array(np.concatenate(row))
+        yield pa.RecordBatch.from_arrays([batch.column("t1").take(take), batch.column("t2").take(take), pa.array(np.concatenate(keys).view(np.int64))], ["t1", "t2", "key"])
+
+
+def templates(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[pa.RecordBatch]:
+    """The templates of the given lines that are constant enough; keys has a text's constant tokens."""
     for batch in batches:
+        row, lines, names = [np.zeros(0, np.int64)], [np.zeros(0, np.int32)], [np.zeros(0, np.uint64)]
         for k in range(batch.num_rows):
-            data = np.frombuffer(batch.column("text")[k].as_py().encode(), np.uint8)
-            h, first, _, leaf = tokens(data, np.array([0, len(data)]))
-            line = np.sort(batch.column("lines")[k].values.to_numpy())
-            n = np.diff(first)[line]
-            which = np.repeat(np.arange(len(line)), n)
-            pos = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
-            token = h[first[line][which] + pos]
-            key = kernel.mix(leaf[line][which] + pos.astype(np.uint64) * kernel.PLACE[30] + token * kernel.PLACE[31])
-            one = np.zeros(len(key), np.int32)
-            one[np.unique(key, return_index=True)[1]] = 1
-            text = [pa.array(np.full(len(key), batch.column(c)[k].as_py(), np.int64)) for c in ("t1", "t2")]
-            yield pa.RecordBatch.from_arrays(
-                [*text, pa.array(line[which].astype(np.int32)), pa.array(leaf[line][which].view(np.int64)), pa.array(pos.astype(np.int32)), pa.array(token.view(np.int64)), pa.array(key.view(np.int64)), pa.array(one)],
-                ["t1", "t2", "line", "leaf", "pos", "token", "key", "one"],
-            )
+            line, token, leaf, which, key = chosen(batch, k)
+            constant = (token != 0) & np.isin(key, batch.column("keys")[k].values.to_numpy().view(np.uint64))
+            n, fixed = (np.bincount(which, w, len(line)) for w in (None, constant))
+            # a key names leaf, column and token, so a sum of keys names the constant tokens with their columns
+            total = np.zeros(len(line), np.uint64)
+            np.add.at(total, which[constant], kernel.mix(key[constant] ^ kernel.PLACE[32]))
+            keep = 100 * fixed >= percent * n
+            lines.append(line[keep].astype(np.int32))
+            names.append(kernel.mix(total + leaf * kernel.PLACE[33])[keep])
+            row.append(np.full(int(keep.sum()), k))
+        take = pa.array(np.concatenate(row))
+        yield pa.RecordBatch.from_arrays([batch.column("t1").take(take), batch.column("t2").take(take), pa.array(np.concatenate(lines)), pa.array(np.concatenate(names).view(np.int64))], ["t1", "t2", "line", "template"])
 
 
 def recurring(keyed: DataFrame, texts: DataFrame, least_texts: int, percent: int, least_tokens: int) -> DataFrame:
@@ -94,13 +116,14 @@ def recurring(keyed: DataFrame, texts: DataFrame, least_texts: int, percent: int
     often = settle(held.groupBy("leaf").agg(F.count(F.lit(1)).alias("weight")).where(F.col("weight") >= least_texts).withColumn("again", F.lit(True)), "often")
     picked = attach(held, F.col("leaf"), often, "leaf", "weight", rows_of(held), F.struct("t1", "t2"), "inner")
     picked = settle(picked.groupBy("t1", "t2").agg(F.flatten(F.collect_list("lines")).alias("lines")), "picked")
-    token = settle(join_texts(single, picked, rows_of(picked)).select("t1", "t2", "text", "lines").mapInArrow(columns, "t1 long, t2 long, line int, leaf long, pos int, token long, key long, one int"), "tokens")
-    columns_ = settle(token.groupBy("key").agg(F.sum("one").alias("texts"), F.count(F.lit(1)).alias("weight")).where(F.col("texts") >= least_texts).drop("texts").withColumn("again", F.lit(True)), "columns")
-    marked = attach(token, F.col("key"), columns_, "key", "weight", rows_of(token), F.struct("t1", "t2", "line", "pos"))
-    constant = F.col("again").isNotNull() & (F.col("token") != 0)
-    lines = marked.groupBy("t1", "t2", "line", "leaf").agg(F.array_sort(F.collect_list(F.struct("pos", F.when(constant, F.col("token")).alias("token")))).alias("template"), F.count(F.lit(1)).alias("n"), F.sum(constant.cast("int")).alias("fixed"))
-    fixed = lines.where(100 * F.col("fixed") >= percent * F.col("n")).select("t1", "t2", "line", F.xxhash64("leaf", "template").alias("template"))
-    fixed = settle(fixed, "templates")
+    keys = settle(join_texts(single, picked, rows_of(picked)).select("t1", "t2", "text", "lines").mapInArrow(columns, "t1 long, t2 long, key long"), "keys")
+    # a row of keys is a text's only one for its key, so counting rows counts texts
+    columns_ = settle(keys.groupBy("key").agg(F.count(F.lit(1)).alias("weight")).where(F.col("weight") >= least_texts).withColumn("again", F.lit(True)), "columns")
+    constant = attach(keys, F.col("key"), columns_, "key", "weight", rows_of(keys), F.struct("t1", "t2", "key"), "inner")
+    marks = picked.join(constant.groupBy("t1", "t2").agg(F.collect_list("key").alias("keys")), ["t1", "t2"], "left").withColumn("keys", F.coalesce("keys", F.array().cast("array<bigint>")))
+    marks = settle(marks, "marks")
+    kinds = "t1 long, t2 long, line int, template long"
+    fixed = settle(join_texts(single, marks, rows_of(marks)).select("t1", "t2", "text", "lines", "keys").mapInArrow(lambda b: templates(b, percent), kinds), "templates")
     first = F.struct(F.col("first_id").isNull().alias("late"), "first_id", "t1", "t2")
     by_text = fixed.groupBy("template", "t1", "t2").agg(F.count(F.lit(1)).alias("lines")).join(texts.select("t1", "t2", "first_id"), ["t1", "t2"])
     dropped = by_text.groupBy("template").agg(F.count(F.lit(1)).alias("texts"), F.sum("lines").alias("weight"), F.min(first).alias("first")).where(F.col("texts") >= least_texts)
