@@ -64,8 +64,8 @@ def op9_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = substring_dedup(read(spark, sf_dir, "documents"), 400, keep_first=False, with_text=False)
-    return out.drop("kept")
+    # the remaining text goes along, so that what was removed can be seen from the result itself
+    return substring_dedup(read(spark, sf_dir, "documents"), 400, keep_first=False).withColumnRenamed("kept", "kept_text")
 
 
 QUERIES = {
