@@ -90,13 +90,15 @@ def columns(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([batch.column("t1").take(take), batch.column("t2").take(take), pa.array(np.concatenate(keys).view(np.int64))], ["t1", "t2", "key"])
 
 
-def templates(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[pa.RecordBatch]:
-    """The templates of the given lines that are constant enough; keys has a text's constant tokens."""
+def templates(batches: Iterator[pa.RecordBatch], percent: int, constants: np.ndarray | None = None) -> Iterator[pa.RecordBatch]:
+    """The templates of the given lines that are constant enough; constants has all constant tokens, sorted, or else a row's keys its own."""
     for batch in batches:
         row, lines, names = [np.zeros(0, np.int64)], [np.zeros(0, np.int32)], [np.zeros(0, np.uint64)]
         for k in range(batch.num_rows):
             line, token, leaf, which, key = chosen(batch, k)
-            constant = (token != 0) & np.isin(key, batch.column("keys")[k].values.to_numpy().view(np.uint64))
+            known = constants if constants is not None else np.sort(batch.column("keys")[k].values.to_numpy().view(np.uint64))
+            at = np.minimum(np.searchsorted(known, key), max(len(known) - 1, 0))
+            constant = (token != 0) & (known[at] == key) if len(known) else np.zeros(len(key), bool)
             n, fixed = (np.bincount(which, w, len(line)) for w in (None, constant))
             # a key names leaf, column and token, so a sum of keys names the constant tokens with their columns
             total = np.zeros(len(line), np.uint64)
@@ -116,14 +118,21 @@ def recurring(keyed: DataFrame, texts: DataFrame, least_texts: int, percent: int
     often = settle(held.groupBy("leaf").agg(F.count(F.lit(1)).alias("weight")).where(F.col("weight") >= least_texts).withColumn("again", F.lit(True)), "often")
     picked = attach(held, F.col("leaf"), often, "leaf", "weight", rows_of(held), F.struct("t1", "t2"), "inner")
     picked = settle(picked.groupBy("t1", "t2").agg(F.flatten(F.collect_list("lines")).alias("lines")), "picked")
-    keys = settle(join_texts(single, picked, rows_of(picked)).select("t1", "t2", "text", "lines").mapInArrow(columns, "t1 long, t2 long, key long"), "keys")
+    rows = settle(join_texts(single, picked, rows_of(picked)).select("t1", "t2", "text", "lines"), "picked-texts")
     # a row of keys is a text's only one for its key, so counting rows counts texts
+    keys = rows.mapInArrow(columns, "t1 long, t2 long, key long")
     columns_ = settle(keys.groupBy("key").agg(F.count(F.lit(1)).alias("weight")).where(F.col("weight") >= least_texts).withColumn("again", F.lit(True)), "columns")
-    constant = attach(keys, F.col("key"), columns_, "key", "weight", rows_of(keys), F.struct("t1", "t2", "key"), "inner")
-    marks = picked.join(constant.groupBy("t1", "t2").agg(F.collect_list("key").alias("keys")), ["t1", "t2"], "left").withColumn("keys", F.coalesce("keys", F.array().cast("array<bigint>")))
-    marks = settle(marks, "marks")
     kinds = "t1 long, t2 long, line int, template long"
-    fixed = settle(join_texts(single, marks, rows_of(marks)).select("t1", "t2", "text", "lines", "keys").mapInArrow(lambda b: templates(b, percent), kinds), "templates")
+    if rows_of(columns_) <= BROADCAST_ROWS:  # eight bytes each
+        found = columns_.select("key").toArrow().column("key").to_numpy()
+        known = keyed.sparkSession.sparkContext.broadcast(np.sort(found.astype(np.int64).view(np.uint64)))
+        fixed = rows.mapInArrow(lambda b: templates(b, percent, known.value), kinds)
+    else:
+        total = columns_.agg(F.sum("weight")).first()[0]
+        constant = attach(keys, F.col("key"), columns_, "key", "weight", total, F.struct("t1", "t2", "key"), "inner")
+        marks = rows.join(constant.groupBy("t1", "t2").agg(F.collect_list("key").alias("keys")), ["t1", "t2"], "left").withColumn("keys", F.coalesce("keys", F.array().cast("array<bigint>")))
+        fixed = marks.select("t1", "t2", "text", "lines", "keys").mapInArrow(lambda b: templates(b, percent), kinds)
+    fixed = settle(fixed, "templates")
     first = F.struct(F.col("first_id").isNull().alias("late"), "first_id", "t1", "t2")
     by_text = fixed.groupBy("template", "t1", "t2").agg(F.count(F.lit(1)).alias("lines")).join(texts.select("t1", "t2", "first_id"), ["t1", "t2"])
     dropped = by_text.groupBy("template").agg(F.count(F.lit(1)).alias("texts"), F.sum("lines").alias("weight"), F.min(first).alias("first")).where(F.col("texts") >= least_texts)

@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from millrace.llm import kernel, mixing, near_dedup, packing, quality, shared, topk, transducer, warc
+from millrace.llm import line_dedup as line_dedup_module
 from millrace.llm.line_dedup import line_dedup, line_filter
 from millrace.llm.queries import ORACLES, QUERIES
 from millrace.llm.substring_dedup import substring_dedup
@@ -245,6 +246,15 @@ def test_quality_adapts(spark):
     assert not found[150] and all(v for i, v in found.items() if i != 150)
 
 
+def test_line_dedup_beyond_broadcasts(spark, monkeypatch):
+    """Joins by key give the rows that broadcasts give."""
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    want = sorted(map(str, line_dedup(docs).collect()))
+    for module in (line_dedup_module, shared):
+        monkeypatch.setattr(module, "BROADCAST_ROWS", 0)
+    assert sorted(map(str, line_dedup(docs).collect())) == want
+
+
 def test_line_dedup(spark):
     found = {r.doc_id: r for r in line_dedup(rows(spark)).collect()}
     values = texts()
