@@ -66,49 +66,56 @@ def leaves(batches: Iterator[pa.RecordBatch], least: int) -> Iterator[pa.RecordB
             yield pa.RecordBatch.from_arrays([batch.column("t1").take(take), batch.column("t2").take(take), pa.array(leaf[new].view(np.int64)), lists], ["t1", "t2", "leaf", "lines"])
 
 
-def chosen(batch: pa.RecordBatch, k: int) -> tuple[np.ndarray, ...]:
-    """Of the given lines of row k: their numbers, tokens and leaves, each token's line (as an index), and its key of leaf, column and token."""
-    data = np.frombuffer(batch.column("text")[k].as_py().encode(), np.uint8)
-    h, first, _, leaf = tokens(data, np.array([0, len(data)]))
-    line = np.sort(batch.column("lines")[k].values.to_numpy())
-    n = np.diff(first)[line]
-    which = np.repeat(np.arange(len(line)), n)
-    pos = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
-    token = h[first[line][which] + pos]
-    return line, token, leaf[line], which, kernel.mix(leaf[line][which] + pos.astype(np.uint64) * kernel.PLACE[30] + token * kernel.PLACE[31])
+def chosen(batch: pa.RecordBatch) -> Iterator[tuple[np.ndarray, ...]]:
+    """Of the given lines of the rows, in slices: their rows, numbers and leaves, and each token's line (as an index), token, and key of leaf, column and token."""
+    lists = batch.column("lines")
+    for row, data, offsets in kernel.slices(batch.column("text")):
+        h, first, first_line, leaf = tokens(data, offsets)
+        given = [np.sort(lists[row + k].values.to_numpy()) for k in range(len(offsets) - 1)]
+        own = np.repeat(np.arange(len(given)), [len(x) for x in given])
+        number = np.concatenate(given).astype(np.int64)
+        line = first_line[own] + number
+        n = np.diff(first)[line]
+        which = np.repeat(np.arange(len(line)), n)
+        pos = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+        token = h[first[line][which] + pos]
+        yield own + row, number, leaf[line], which, token, kernel.mix(leaf[line][which] + pos.astype(np.uint64) * kernel.PLACE[30] + token * kernel.PLACE[31])
 
 
 def columns(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """One row for each different leaf, column and token of a text; tokens with a digit are never constant and have none."""
     for batch in batches:
-        row, keys = [np.zeros(0, np.int64)], [np.zeros(0, np.uint64)]
-        for k in range(batch.num_rows):
-            _, token, _, _, key = chosen(batch, k)
-            keys.append(np.unique(key[token != 0]))
-            row.append(np.full(len(keys[-1]), k))
-        take = pa.array(np.concatenate(row))
-        yield pa.RecordBatch.from_arrays([batch.column("t1").take(take), batch.column("t2").take(take), pa.array(np.concatenate(keys).view(np.int64))], ["t1", "t2", "key"])
+        for row, _, _, which, token, key in chosen(batch):
+            own, key = row[which][token != 0], key[token != 0]
+            order = np.lexsort((key, own))
+            own, key = own[order], key[order]
+            new = np.append(True, (own[1:] != own[:-1]) | (key[1:] != key[:-1]))[: len(own)]
+            take = pa.array(own[new])
+            yield pa.RecordBatch.from_arrays([batch.column("t1").take(take), batch.column("t2").take(take), pa.array(key[new].view(np.int64))], ["t1", "t2", "key"])
 
 
 def templates(batches: Iterator[pa.RecordBatch], percent: int, constants: np.ndarray | None = None) -> Iterator[pa.RecordBatch]:
     """The templates of the given lines that are constant enough; constants has all constant tokens, sorted, or else a row's keys its own."""
     for batch in batches:
-        row, lines, names = [np.zeros(0, np.int64)], [np.zeros(0, np.int32)], [np.zeros(0, np.uint64)]
-        for k in range(batch.num_rows):
-            line, token, leaf, which, key = chosen(batch, k)
-            known = constants if constants is not None else np.sort(batch.column("keys")[k].values.to_numpy().view(np.uint64))
-            at = np.minimum(np.searchsorted(known, key), max(len(known) - 1, 0))
-            constant = (token != 0) & (known[at] == key) if len(known) else np.zeros(len(key), bool)
-            n, fixed = (np.bincount(which, w, len(line)) for w in (None, constant))
+        salt = np.zeros(batch.num_rows, np.uint64)
+        known = constants
+        if known is None:  # a key counts in its own row only
+            salt = kernel.mix(np.arange(1, batch.num_rows + 1, dtype=np.uint64) * kernel.PLACE[34])
+            lists = batch.column("keys")
+            sizes = np.array([len(x) for x in lists], np.int64)
+            known = np.sort(lists.flatten().to_numpy().view(np.uint64) ^ np.repeat(salt, sizes))
+        for row, number, leaf, which, token, key in chosen(batch):
+            sought = key ^ salt[row][which]
+            at = np.minimum(np.searchsorted(known, sought), max(len(known) - 1, 0))
+            constant = (token != 0) & (known[at] == sought) if len(known) else np.zeros(len(key), bool)
+            n, fixed = (np.bincount(which, w, len(number)) for w in (None, constant))
             # a key names leaf, column and token, so a sum of keys names the constant tokens with their columns
-            total = np.zeros(len(line), np.uint64)
+            total = np.zeros(len(number), np.uint64)
             np.add.at(total, which[constant], kernel.mix(key[constant] ^ kernel.PLACE[32]))
             keep = 100 * fixed >= percent * n
-            lines.append(line[keep].astype(np.int32))
-            names.append(kernel.mix(total + leaf * kernel.PLACE[33])[keep])
-            row.append(np.full(int(keep.sum()), k))
-        take = pa.array(np.concatenate(row))
-        yield pa.RecordBatch.from_arrays([batch.column("t1").take(take), batch.column("t2").take(take), pa.array(np.concatenate(lines)), pa.array(np.concatenate(names).view(np.int64))], ["t1", "t2", "line", "template"])
+            take = pa.array(row[keep])
+            name = kernel.mix(total + leaf * kernel.PLACE[33])[keep]
+            yield pa.RecordBatch.from_arrays([batch.column("t1").take(take), batch.column("t2").take(take), pa.array(number[keep].astype(np.int32)), pa.array(name.view(np.int64))], ["t1", "t2", "line", "template"])
 
 
 def recurring(keyed: DataFrame, texts: DataFrame, least_texts: int, percent: int, least_tokens: int) -> DataFrame:
