@@ -85,3 +85,29 @@ split AS (SELECT d.doc_id, coalesce(d.text, '') AS text, string_split(coalesce(d
 SELECT doc_id, CAST(len(parts) AS BIGINT) AS n_lines, CAST(len(ks) AS BIGINT) AS n_dropped,
   sha256(array_to_string(list_transform(list_filter(range(1, len(parts) + 1), lambda i: NOT list_contains(ks, i)), lambda i: parts[i]), chr(10))) AS kept_sha256 FROM split
 """
+
+
+def op13(parts: int = 8, entries: int = 16, rounds: int = 6, scale: int = 4096) -> str:
+    """The rounds one after another, each with all distances."""
+    steps = [f"""
+kept AS MATERIALIZED (SELECT row_number() OVER () AS r, vec_id, label, list_transform(embedding, lambda x: CAST(floor({scale} * CAST(x AS DOUBLE)) AS BIGINT)) AS v FROM embeddings
+  WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+parts AS MATERIALIZED (SELECT r, vec_id, part, len(v) // {parts} AS w, v[part * (len(v) // {parts}) + 1:(part + 1) * (len(v) // {parts})] AS x FROM kept CROSS JOIN (SELECT unnest(range({parts})) AS part)),
+first AS (SELECT r, row_number() OVER (ORDER BY vec_id, v) - 1 AS entry FROM kept QUALIFY entry < {entries}),
+book0 AS MATERIALIZED (SELECT part, entry, x AS c FROM parts JOIN first USING (r))"""]
+    for t in range(rounds + 1):
+        steps.append(f"""
+near{t} AS MATERIALIZED (SELECT r, part, any_value(x) AS x, min({entries} * CAST(list_sum(list_transform(range(1, w + 1), lambda i: (x[i] - c[i]) * (x[i] - c[i]))) AS BIGINT) + entry) AS best FROM parts JOIN book{t} USING (part) GROUP BY r, part)""")
+        if t < rounds:
+            steps.append(f"""
+sums{t} AS (SELECT part, entry, i, CAST(sum(y) AS BIGINT) AS s, count(*) AS n FROM (SELECT part, best % {entries} AS entry, unnest(x) AS y, generate_subscripts(x, 1) AS i FROM near{t}) GROUP BY ALL),
+means{t} AS (SELECT part, entry, list((s - ((s % n) + n) % n) // n ORDER BY i) AS c FROM sums{t} GROUP BY part, entry),
+book{t + 1} AS MATERIALIZED (SELECT b.part, b.entry, coalesce(m.c, b.c) AS c FROM book{t} b LEFT JOIN means{t} m ON b.part = m.part AND b.entry = m.entry)""")
+    return f"""WITH {",".join(steps)},
+coded AS (SELECT r, string_agg(format('{{:02x}}', best % {entries}), '' ORDER BY part) AS code, CAST(sum(best // {entries}) AS BIGINT) AS error FROM near{rounds} GROUP BY r),
+digest AS (SELECT sha256(string_agg(CAST(y AS VARCHAR), ',' ORDER BY part, entry, i)) AS codebooks_sha256 FROM (SELECT part, entry, unnest(c) AS y, generate_subscripts(c, 1) AS i FROM book{rounds}))
+SELECT vec_id, code, error, CAST(sum(error) OVER (PARTITION BY label) AS BIGINT) AS label_error, codebooks_sha256 FROM kept JOIN coded USING (r) CROSS JOIN digest
+"""
+
+
+OP13 = op13()

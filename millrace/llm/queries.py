@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import hashlib
+
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -16,6 +18,7 @@ from millrace.llm.quality import quality
 from millrace.llm.substring_dedup import substring_dedup
 from millrace.llm.token_count import token_counts
 from millrace.llm.topk import top_k
+from millrace.llm.vector_codes import compress, with_label_errors
 from millrace.llm.warc import archive
 
 VOCABULARY = public_tokenizers.path("word_bpe_49k.json")
@@ -68,6 +71,13 @@ def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring_dedup(read(spark, sf_dir, "documents"), 400, keep_first=False).withColumnRenamed("kept", "kept_text")
 
 
+def op13_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    codes, books = compress(read(spark, sf_dir, "embeddings"), 8, 16, 6, 4096.0)
+    digest = hashlib.sha256(",".join(str(x) for book in books for entry in book.tolist() for x in entry).encode()).hexdigest()
+    columns = ["id AS vec_id", "lower(hex(code)) AS code", "error", "label_error", f"'{digest}' AS codebooks_sha256"]
+    return with_label_errors(codes).selectExpr(*columns)
+
+
 QUERIES = {
     "op1_near_dedup": op1_near_dedup,
     "op2_chain_dedup": op2_chain_dedup,
@@ -79,6 +89,7 @@ QUERIES = {
     "op8_mixing": op8_mixing,
     "op9_best_fit_packing": op9_best_fit_packing,
     "op10_substring_dedup": op10_substring_dedup,
+    "op13_vector_codes": op13_vector_codes,
 }
 
 #: Token counts, packing, the mixture's hashes and 400-byte windows are tested against brute force instead.
@@ -88,4 +99,5 @@ ORACLES = {
     "op5_exact_topk": oracles.OP5,
     "op6_quality_rules": oracles.OP6,
     "op7_line_dedup": oracles.OP7,
+    "op13_vector_codes": oracles.OP13,
 }
