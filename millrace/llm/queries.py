@@ -11,17 +11,21 @@ from pyspark.sql import functions as F
 from millrace.llm import oracles
 from millrace.llm.chain_dedup import passages
 from millrace.llm.line_dedup import line_dedup
+from millrace.llm.main_text import main_text
 from millrace.llm.mixing import taken
 from millrace.llm.near_dedup import near_duplicates
 from millrace.llm.packing import pack
 from millrace.llm.quality import quality
 from millrace.llm.substring_dedup import substring_dedup
+from millrace.llm.token_alignment import alignment
 from millrace.llm.token_count import token_counts
 from millrace.llm.topk import top_k
 from millrace.llm.vector_codes import compress, with_label_errors
 from millrace.llm.warc import archive
 
 VOCABULARY = public_tokenizers.path("word_bpe_49k.json")
+#: The two tokenizers that are aligned.
+BYTE_LEVEL, PIECES = public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model")
 CONTEXT = 2048
 
 
@@ -71,6 +75,14 @@ def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring_dedup(read(spark, sf_dir, "documents"), 400, keep_first=False).withColumnRenamed("kept", "kept_text")
 
 
+def op11_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return alignment(read(spark, sf_dir, "documents"), BYTE_LEVEL, PIECES)
+
+
+def op12_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return main_text(read(spark, sf_dir, "pages")).select("page_id", "url", "text", "n_chars", "n_blocks", "n_kept")
+
+
 def op13_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
     codes, books = compress(read(spark, sf_dir, "embeddings"), 8, 16, 6, 4096.0)
     digest = hashlib.sha256(",".join(str(x) for book in books for entry in book.tolist() for x in entry).encode()).hexdigest()
@@ -89,10 +101,12 @@ QUERIES = {
     "op8_mixing": op8_mixing,
     "op9_best_fit_packing": op9_best_fit_packing,
     "op10_substring_dedup": op10_substring_dedup,
+    "op11_token_alignment": op11_token_alignment,
+    "op12_main_text": op12_main_text,
     "op13_vector_codes": op13_vector_codes,
 }
 
-#: Token counts, packing, the mixture's hashes and 400-byte windows are tested against brute force instead.
+#: Token counts and alignment, packing, the mixture's hashes, 400-byte windows and pages are tested against brute force instead.
 ORACLES = {
     "op1_near_dedup": oracles.OP1,
     "op4_warc": oracles.OP4,
