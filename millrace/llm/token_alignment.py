@@ -17,7 +17,7 @@ import re
 from array import array
 from collections.abc import Iterator
 from dataclasses import dataclass
-from itertools import chain
+from itertools import chain, repeat
 from pathlib import Path
 
 import numpy as np
@@ -33,6 +33,8 @@ from millrace.llm.shared import attach, discard, rows_of, settle, small_batches
 SLICE = 1 << 18
 #: Units, and their characters, that a worker remembers before it starts anew.
 UNITS, UNIT_CHARS = 300_000, 6_000_000
+#: New units that are tokenized in one line.
+LINE = 1_000
 #: Pairs of ids whose counts are broadcast (17 bytes each); beyond that they are joined by key.
 PAIRS = 2_000_000
 
@@ -72,20 +74,41 @@ class Units:
     def encode(self, units: list[str]) -> list[list[int]]:
         raise NotImplementedError
 
+    def learn(self, units: list[str]) -> None:
+        """Remember the ids of new units. Words after one space are tokenized in lines of many, which are then cut at the units' ends."""
+        words = [u for u in units if self.split and len(u) > 1 and u[0] == " " and u[1] not in WHITE and u[-1] not in WHITE]
+        lines = [words[k : k + LINE] for k in range(0, len(words), LINE)]
+        odd = [u for u in units if not (self.split and len(u) > 1 and u[0] == " " and u[1] not in WHITE and u[-1] not in WHITE)]
+        for line, ids in zip(lines, self.encode(["".join(line) for line in lines])):
+            source = [u.encode() for u in line]
+            if b"".join([self.entries[i] for i in ids]) != b"".join(source):
+                odd += line  # some unit's tokens are not its bytes
+                continue
+            at = np.searchsorted(np.cumsum(self.lengths[ids]), np.cumsum([len(x) for x in source])) + 1
+            self.codes.update(zip(line, range(len(self.codes), len(self.codes) + len(line))))
+            self.chars += sum(map(len, line))
+            self.ends.extend((at + len(self.ids)).tolist())
+            self.ids.extend(ids)
+            self.whole.extend([1] * len(line))
+        for unit, ids in zip(odd, self.encode(odd)):
+            self.codes[unit] = len(self.codes)
+            self.chars += len(unit)
+            self.ids.extend(ids)
+            self.ends.append(len(self.ids))
+            self.whole.append(b"".join([self.entries[i] for i in ids]) == unit.encode())
+
     def tokens(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Ids of all texts one after another, the number of tokens of each, and whether the tokens' bytes are the text's, with a space before it."""
         if len(self.codes) > UNITS or self.chars > UNIT_CHARS:
             self.forget()
         units = [self.split.findall(" " + t) if self.split else [" " + t] for t in texts]
         flat = list(chain.from_iterable(units))
-        new = [u for u in dict.fromkeys(flat) if u not in self.codes]
-        for unit, ids in zip(new, self.encode(new)):
-            self.codes[unit] = len(self.codes)
-            self.chars += len(unit)
-            self.ids.extend(ids)
-            self.ends.append(len(self.ids))
-            self.whole.append(b"".join([self.entries[i] for i in ids]) == unit.encode())
-        code = np.fromiter(map(self.codes.__getitem__, flat), np.int64, len(flat))
+        code = np.fromiter(map(self.codes.get, flat, repeat(-1)), np.int64, len(flat))
+        missing = np.flatnonzero(code < 0)
+        if len(missing):
+            met = [flat[k] for k in missing.tolist()]
+            self.learn(list(dict.fromkeys(met)))
+            code[missing] = np.fromiter(map(self.codes.__getitem__, met), np.int64, len(met))
         ends = np.array(self.ends, np.int64)
         sizes = ends[code + 1] - ends[code]
         at = np.repeat(ends[code] - np.cumsum(sizes) + sizes, sizes) + np.arange(sizes.sum())
