@@ -275,9 +275,9 @@ def second_pass(blocks: list[Block]) -> None:
     """Labels for all blocks: open and near ones have those of their nearest decided neighbours.
 
     Near blocks of one container that are LONG together are text as one long block is. Neighbours in the same container come before
-    others, and for a block in a container of text they are the only ones. An open block is text if both neighbours are, or if they
-    differ and it is a heading before text; a near block is text if one of them is. In a container of text near blocks are text always, open ones unless
-    both neighbours are boilerplate.
+    others. An open block is text if both neighbours are, or if they differ and it is a heading before text; a near block is text
+    if one of them is. In a container of text, where only neighbours in it count, near blocks are text always, open ones unless both
+    neighbours are boilerplate.
     """
     together = Counter()
     for block in blocks:
@@ -287,27 +287,35 @@ def second_pass(blocks: list[Block]) -> None:
             block.label = GOOD
     forward, backward = neighbours(blocks, range(len(blocks))), neighbours(blocks, range(len(blocks) - 1, -1, -1))
     for block, before, after in zip(blocks, forward, backward):
+        found = [n for n in (before, after) if n]
+        labels = {label for label, own in found if own} or {label for label, _ in found}
         if block.label in (GOOD, BAD):
             block.kept = block.label == GOOD
         elif block.label == NEAR:
-            block.kept = block.inside or GOOD in (before, after)
+            block.kept = block.inside or GOOD in labels
         elif block.inside:
-            block.kept = not before == after == BAD
+            block.kept = len(found) < 2 or GOOD in labels
         else:
-            block.kept = before == after == GOOD or None in (before, after) and GOOD in (before, after) or block.heading and after == GOOD
+            block.kept = labels == {GOOD} or block.heading and after is not None and after[0] == GOOD
 
 
-def neighbours(blocks: list[Block], order: range) -> list[str | None]:
-    """For each block the label of the last decided one before it in order: one of its container, or else, outside of containers of text, any that isn't in a noisy one, or else any."""
+def neighbours(blocks: list[Block], order: range) -> list[tuple[str, bool] | None]:
+    """For each block the label of the last decided one before it in order, and whether both stand in the same container.
+
+    That is one of its container, or one of its zone, or else, outside of containers of text, any that isn't in a noisy one, or else any.
+    """
     last: dict[object, str] = {}
-    out: list[str | None] = [None] * len(blocks)
+    out: list[tuple[str, bool] | None] = [None] * len(blocks)
     for k in order:
         block = blocks[k]
-        out[k] = last.get(block.zone) if block.inside else last.get(block.zone, last.get("plain", last.get("any")))
+        for key in (("container", block.parent), ("zone", block.zone), *(() if block.inside else ("plain", "any"))):
+            if key in last:
+                out[k] = last[key], key[0] == "container"
+                break
         # blocks near text inside a container of text stand for it
         label = GOOD if block.label == NEAR and block.inside else block.label
         if label in (GOOD, BAD):
-            last[block.zone] = last["any"] = label
+            last["container", block.parent] = last["zone", block.zone] = last["any"] = label
             if not block.noise:
                 last["plain"] = label
     return out
