@@ -152,4 +152,4 @@ def with_label_errors(codes: DataFrame) -> DataFrame:
     sums = settle(sums, "labels")
     if shared.rows_of(sums) <= shared.BROADCAST_ROWS:
         return codes.join(F.broadcast(sums.drop("n")), key == F.col("of")).drop("of")
-    return attach(codes, key, sums, "of", "n", shared.rows_of(codes), F.struct("id", "code"))
+    return attach(codes, key, sums, "of", "n", codes.count(), F.struct("id", "code"))
