@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -32,10 +34,9 @@ def agg_basic(spark: SparkSession, sf_dir: str) -> DataFrame:
     return grouped.agg(F.count(F.lit(1)).alias("n"), F.min("l_quantity").alias("least"), F.max("l_quantity").alias("most"), F.round(F.avg("l_quantity"), 6).alias("mean")).where("n > 10")
 
 
-@register("agg_distinct", "SELECT l_shipmode_flag, count(DISTINCT l_partkey) AS parts, count(DISTINCT l_suppkey) AS suppliers FROM (SELECT l_returnflag AS l_shipmode_flag, l_partkey, l_suppkey FROM lineitem) GROUP BY ALL")
+@register("agg_distinct", "SELECT l_returnflag, count(DISTINCT l_partkey) AS parts, count(DISTINCT l_suppkey) AS suppliers FROM lineitem GROUP BY ALL")
 def agg_distinct(spark: SparkSession, sf_dir: str) -> DataFrame:
-    lines = table(spark, sf_dir, "lineitem").withColumnRenamed("l_returnflag", "l_shipmode_flag")
-    return lines.groupBy("l_shipmode_flag").agg(F.count_distinct("l_partkey").alias("parts"), F.count_distinct("l_suppkey").alias("suppliers"))
+    return table(spark, sf_dir, "lineitem").groupBy("l_returnflag").agg(F.count_distinct("l_partkey").alias("parts"), F.count_distinct("l_suppkey").alias("suppliers"))
 
 
 @register(
@@ -52,10 +53,23 @@ def agg_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "lineitem").groupBy("l_returnflag").agg(*[F.round(v, 6).alias(k) for k, v in rounded.items()])
 
 
-@register("agg_percentile", "SELECT c_mktsegment, round(quantile_cont(c_acctbal, 0.25), 6) AS q1, round(median(c_acctbal), 6) AS q2, round(quantile_cont(c_acctbal, 0.9), 6) AS q9 FROM customer GROUP BY c_mktsegment")
-def agg_percentile(spark: SparkSession, sf_dir: str) -> DataFrame:
-    q = lambda p: F.round(F.percentile("c_acctbal", F.lit(p)), 6)
-    return table(spark, sf_dir, "customer").groupBy("c_mktsegment").agg(q(0.25).alias("q1"), F.round(F.median("c_acctbal"), 6).alias("q2"), q(0.9).alias("q9"))
+@register(
+    "agg_regression",
+    """SELECT l_returnflag, regr_count(l_extendedprice, l_quantity) AS n, round(regr_slope(l_extendedprice, l_quantity), 4) AS slope, round(regr_intercept(l_extendedprice, l_quantity), 3) AS intercept, round(regr_r2(l_extendedprice, l_quantity), 6) AS r2,
+       round(regr_avgx(l_extendedprice, l_quantity), 6) AS mean_x, round(regr_avgy(l_extendedprice, l_quantity), 4) AS mean_y FROM lineitem GROUP BY l_returnflag""",
+)
+def agg_regression(spark: SparkSession, sf_dir: str) -> DataFrame:
+    digits = {"slope": 4, "intercept": 3, "r2": 6, "mean_x": 6, "mean_y": 4}
+    functions = {"slope": F.regr_slope, "intercept": F.regr_intercept, "r2": F.regr_r2, "mean_x": F.regr_avgx, "mean_y": F.regr_avgy}
+    price = ("l_extendedprice", "l_quantity")
+    return table(spark, sf_dir, "lineitem").groupBy("l_returnflag").agg(F.regr_count(*price).alias("n"), *[F.round(f(*price), digits[k]).alias(k) for k, f in functions.items()])
+
+
+@register("agg_collect_list", "SELECT o_custkey, list(o_orderkey ORDER BY o_orderdate, o_orderkey) AS orders FROM orders GROUP BY o_custkey")
+def agg_collect_list(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A customer's orders in time, sorted after they are collected, as a shuffle leaves no order."""
+    dated = F.array_sort(F.collect_list(F.struct("o_orderdate", "o_orderkey")))
+    return table(spark, sf_dir, "orders").groupBy("o_custkey").agg(F.transform(dated, lambda o: o["o_orderkey"]).alias("orders"))
 
 
 @register("agg_argminmax", "SELECT user_id, arg_max(event_type, ts) AS last_type, arg_min(event_type, ts) AS first_type FROM events GROUP BY user_id")
@@ -68,10 +82,10 @@ def agg_collect(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "part").groupBy("p_brand").agg(F.array_join(F.array_sort(F.collect_set("p_type")), ",").alias("types"))
 
 
-@register("agg_bool_bit", "SELECT o_orderstatus, bool_and(o_totalprice > 0) AS all_paid, bool_or(o_totalprice > 400000) AS any_large, bit_xor(o_custkey) AS keys_xor, bit_or(o_custkey) AS keys_or FROM orders GROUP BY o_orderstatus")
+@register("agg_bool_bit", "SELECT o_orderstatus, bool_and(o_totalprice > 0) AS all_paid, bool_or(o_totalprice > 400000) AS any_large, bit_xor(o_custkey) AS keys_xor, bit_and(o_custkey | 64) AS keys_and, bit_or(o_custkey) AS keys_or FROM orders GROUP BY o_orderstatus")
 def agg_bool_bit(spark: SparkSession, sf_dir: str) -> DataFrame:
     grouped = table(spark, sf_dir, "orders").groupBy("o_orderstatus")
-    return grouped.agg(F.bool_and(F.col("o_totalprice") > 0).alias("all_paid"), F.bool_or(F.col("o_totalprice") > 400000).alias("any_large"), F.bit_xor("o_custkey").alias("keys_xor"), F.bit_or("o_custkey").alias("keys_or"))
+    return grouped.agg(F.bool_and(F.col("o_totalprice") > 0).alias("all_paid"), F.bool_or(F.col("o_totalprice") > 400000).alias("any_large"), F.bit_xor("o_custkey").alias("keys_xor"), F.bit_and(F.col("o_custkey").bitwiseOR(F.lit(64))).alias("keys_and"), F.bit_or("o_custkey").alias("keys_or"))
 
 
 @register("agg_rollup", "SELECT l_returnflag, l_linestatus, CAST(grouping(l_returnflag) AS INTEGER) AS g, count(*) AS n FROM lineitem GROUP BY ROLLUP (l_returnflag, l_linestatus)")
@@ -98,13 +112,15 @@ def agg_approx_distinct(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("l_returnflag", "exact", *[(F.abs(F.col(k) - F.col("exact")) <= 0.05 * F.col("exact")).alias(k) for k in sketches])
 
 
-@register("agg_approx_quantile", "SELECT l_returnflag, round(median(l_extendedprice), 6) AS exact, true AS gk, true AS kll FROM lineitem GROUP BY l_returnflag")
+@register("agg_approx_quantile", "SELECT l_returnflag, count(*) AS n, true AS gk, true AS kll FROM lineitem GROUP BY l_returnflag")
 def agg_approx_quantile(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The exact median, and whether each sketch's median has between 47 and 53 % of the rows below it."""
+    """Whether each sketch's median has between 47 and 53 % of the rows below it, by counting them in a second pass."""
     lines = table(spark, sf_dir, "lineitem").select("l_returnflag", F.col("l_extendedprice").alias("x"))
-    by_flag = lines.groupBy("l_returnflag")
-    found = by_flag.agg(F.median("x").alias("exact"), F.percentile_approx("x", 0.5, 1000).alias("gk"), F.expr("kll_sketch_get_quantile_double(kll_sketch_agg_double(x), 0.5)").alias("kll"), F.percentile("x", F.array(F.lit(0.47), F.lit(0.53))).alias("near"))
-    return found.select("l_returnflag", F.round("exact", 6).alias("exact"), *[F.col(k).between(F.col("near")[0], F.col("near")[1]).alias(k) for k in ("gk", "kll")])
+    sketches = lines.groupBy("l_returnflag").agg(F.percentile_approx("x", 0.5, 1000).alias("gk"), F.expr("kll_sketch_get_quantile_double(kll_sketch_agg_double(x), 0.5)").alias("kll"))
+    below = {k: F.count_if(F.col("x") < F.col(k)) for k in ("gk", "kll")}
+    # one row for each of the model's return flags
+    counted = lines.join(F.broadcast(sketches), "l_returnflag").groupBy("l_returnflag").agg(F.count(F.lit(1)).alias("n"), *[v.alias(k) for k, v in below.items()])
+    return counted.select("l_returnflag", "n", *[F.col(k).between(0.47 * F.col("n"), 0.53 * F.col("n")).alias(k) for k in below])
 
 
 @register(
@@ -125,11 +141,6 @@ def market_share(spark: SparkSession, sf_dir: str) -> DataFrame:
     return by_key.join(t("nation"), F.col("s_nationkey") == F.col("n_nationkey")).groupBy("n_name").agg(F.sum("r").cast("decimal(28,4)").alias("revenue"))
 
 
-@register("agg_median", "SELECT l_returnflag, median(l_quantity) AS mid FROM lineitem GROUP BY l_returnflag")
-def agg_median(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "lineitem").groupBy("l_returnflag").agg(F.median("l_quantity").alias("mid"))
-
-
 @register("agg_mode", "SELECT user_id, event_type FROM (SELECT user_id, event_type, count(*) AS n FROM events GROUP BY ALL) QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY n DESC, event_type) = 1")
 def agg_mode(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Ties go to the smallest value."""
@@ -161,15 +172,34 @@ def agg_topk_sketch(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @register("agg_cms", "SELECT event_type, count(*) AS n, true AS within FROM events GROUP BY event_type")
 def agg_cms(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Estimates read from a count-min sketch of all rows, beside the exact numbers: never below, and above by at most the sketch's error."""
-    rows, error = table(spark, sf_dir, "events"), 0.001
-    total = rows.count()
-    # some kilobytes, whatever the input
-    sketch = rows._jdf.stat().countMinSketch("event_type", error, 0.99, 7)
-    exact = rows.groupBy("event_type").agg(F.count(F.lit(1)).alias("n"))
-    estimates = [(k, sketch.estimateCount(k)) for (k,) in exact.select("event_type").limit(1000).collect()]
-    estimated = spark.createDataFrame(estimates, "event_type string, estimate long")
-    return exact.join(estimated, "event_type").select("event_type", "n", F.col("estimate").between(F.col("n"), F.col("n") + error * total).alias("within"))
+    return cms_within(table(spark, sf_dir, "events"), "event_type").drop("not_below")
+
+
+@register("agg_cms_users", "SELECT user_id, count(*) AS n, true AS not_below FROM events GROUP BY user_id")
+def agg_cms_users(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A key for each user, however many: no estimate is below the number. That it isn't far above holds for most keys only, as a test checks."""
+    return cms_within(table(spark, sf_dir, "events"), "user_id").drop("within")
+
+
+#: Multipliers of the rows of the count-min sketch.
+CMS_SEEDS = (11, 13, 17, 19, 23, 29, 31)
+
+
+def cms_within(rows: DataFrame, key: str, width: int = 4096) -> DataFrame:
+    """Each key's number n, whether its estimate from a count-min sketch is not below it (it never is), and whether it is within e / width of all rows above it.
+
+    The latter fails for a key with probability e ** -len(CMS_SEEDS).
+
+    The sketch is a table of len(CMS_SEEDS) x width counters at most, added up per task before it is shuffled; every key reads its
+    counters from it by a join with that table, whose size the parameters fix. Null keys are a key.
+    """
+    cells = F.array(*[F.struct(F.lit(s).alias("seed"), F.pmod(F.xxhash64(F.lit(s), F.col(key).cast("string")), F.lit(width)).cast("int").alias("cell")) for s in CMS_SEEDS])
+    each = lambda df, *columns: df.select(*columns, F.explode(cells).alias("at")).select(*columns, "at.*")
+    exact = rows.groupBy(key).agg(F.count(F.lit(1)).alias("n"))
+    sketch = each(rows, F.lit(1).alias("one")).groupBy("seed", "cell").agg(F.count(F.lit(1)).alias("held"))
+    estimates = each(exact, key, "n").join(F.broadcast(sketch), ["seed", "cell"]).groupBy(key, "n").agg(F.min("held").alias("estimate"))
+    total = F.broadcast(rows.agg(F.count(F.lit(1)).alias("total")))  # one row
+    return estimates.crossJoin(total).select(key, "n", (F.col("estimate") >= F.col("n")).alias("not_below"), F.col("estimate").between(F.col("n"), F.col("n") + F.lit(math.e / width) * F.col("total")).alias("within"))
 
 
 @register("agg_histogram", "SELECT l_returnflag, count(*) AS n, true AS rising FROM lineitem GROUP BY l_returnflag")

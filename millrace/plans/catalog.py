@@ -21,7 +21,7 @@ def register(name: str, sql: str | None = None) -> Callable:
     return add
 
 
-MODULES = [f"operators.{m}" for m in ("aggregates", "projections", "joins", "windows", "sorting", "sets")]
-MODULES += ["functions.scalars", "functions.udfs", "sources.formats", "streaming.streams"]
+MODULES = [f"operators.{m}" for m in ("aggregates", "quantiles", "ordered", "projections", "joins", "intervals", "recursion", "windows", "sorting", "sets")]
+MODULES += ["functions.scalars", "functions.sketches", "functions.udfs", "sources.formats", "sources.merge", "sources.jdbc", "sources.connector", "streaming.streams", "streaming.stateful"]
 for module in MODULES:
     importlib.import_module(f"millrace.{module}")

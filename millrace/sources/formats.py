@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
 from millrace.plans.catalog import register
 from millrace.sources.scratch import scratch
@@ -32,11 +31,14 @@ def scan_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.text(path)
 
 
-@register("scan_binary", "SELECT 1 AS files")
+@register("scan_binary", "SELECT c_nationkey, CAST(sum(strlen(c_name) + 1) AS BIGINT) AS size FROM customer GROUP BY c_nationkey")
 def scan_binary(spark: SparkSession, sf_dir: str) -> DataFrame:
-    path = scratch(spark, "region-binary")
-    table(spark, sf_dir, "region").select("r_name").coalesce(1).write.text(path)
-    return spark.read.format("binaryFile").option("pathGlobFilter", "part-*").load(path).agg(F.count("content").cast("int").alias("files"))
+    """Files as bytes: a folder of names for each nation, and what its files hold."""
+    path = scratch(spark, "customer-binary")
+    table(spark, sf_dir, "customer").select("c_name", "c_nationkey").repartition("c_nationkey").write.partitionBy("c_nationkey").text(path)
+    files = spark.read.format("binaryFile").option("pathGlobFilter", "part-*").option("recursiveFileLookup", "true").load(path)
+    nation = F.regexp_extract("path", "c_nationkey=([0-9]+)", 1).cast("int")
+    return files.groupBy(nation.alias("c_nationkey")).agg(F.sum(F.octet_length("content")).alias("size"))
 
 
 @register("sink_partitioned", "SELECT o_orderstatus, count(*) AS n FROM orders WHERE o_orderstatus = 'F' GROUP BY o_orderstatus")
@@ -64,35 +66,3 @@ def sink_table(spark: SparkSession, sf_dir: str) -> DataFrame:
     customers = table(spark, sf_dir, "customer").select("c_custkey", "c_nationkey")
     customers.write.bucketBy(8, "c_nationkey").sortBy("c_nationkey").option("path", path).saveAsTable(name)
     return spark.table(name).groupBy("c_nationkey").agg(F.count(F.lit(1)).alias("n"))
-
-
-class Numbers(DataSource):
-    """A source in Python: the whole numbers below `rows`, a partition for each `step` of them."""
-
-    @classmethod
-    def name(cls) -> str:
-        return "millrace_numbers"
-
-    def schema(self) -> str:
-        return "i long"
-
-    def reader(self, schema):
-        return NumbersReader(int(self.options["rows"]), int(self.options.get("step", "1000")))
-
-
-class NumbersReader(DataSourceReader):
-    def __init__(self, rows: int, step: int) -> None:
-        self.rows, self.step = rows, step
-
-    def partitions(self) -> list[InputPartition]:
-        return [InputPartition(i) for i in range(0, self.rows, self.step)]
-
-    def read(self, partition):
-        for i in range(partition.value, min(partition.value + self.step, self.rows)):
-            yield (i,)
-
-
-@register("scan_custom", "SELECT i, i % 7 AS r FROM range(2500) t(i)")
-def scan_custom(spark: SparkSession, sf_dir: str) -> DataFrame:
-    spark.dataSource.register(Numbers)
-    return spark.read.format("millrace_numbers").option("rows", "2500").load().select("i", (F.col("i") % 7).alias("r"))

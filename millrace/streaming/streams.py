@@ -7,6 +7,7 @@ from collections.abc import Iterator
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from millrace.plans.catalog import register
@@ -21,12 +22,13 @@ def events(spark: SparkSession, sf_dir: str) -> DataFrame:
     return stream.withColumn("ts", F.col("ts").cast("timestamp"))
 
 
-def finished(stream: DataFrame, mode: str, name: str, keys: list[str] | None = None) -> DataFrame:
+def finished(stream: DataFrame, mode: str, name: str, keys: list[str] | None = None, idle: bool = False) -> DataFrame:
     """Run to the end of the input and give what the sink then holds.
 
     Each batch is written under its number, so that a repeated batch replaces itself. In update mode
     a key's row of the last batch that has it counts; in complete mode the last batch does. Input
-    without rows gives no rows.
+    without rows gives no rows. With idle the query is stopped after batches without input: operators that live in
+    processing time always ask for another batch, so they never end by themselves.
     """
     spark, path = stream.sparkSession, scratch(stream.sparkSession, name)
     spark.createDataFrame([], stream.schema).write.parquet(f"{path}/batch=-1")
@@ -34,8 +36,11 @@ def finished(stream: DataFrame, mode: str, name: str, keys: list[str] | None = N
     def sink(batch: DataFrame, number: int) -> None:
         batch.write.mode("overwrite").parquet(f"{path}/batch={0 if mode == 'complete' else number}")
 
-    query = stream.writeStream.outputMode(mode).option("checkpointLocation", f"{path}-checkpoint").trigger(availableNow=True).foreachBatch(sink).start()
-    query.awaitTermination()
+    writer = stream.writeStream.outputMode(mode).option("checkpointLocation", f"{path}-checkpoint").foreachBatch(sink)
+    if idle:
+        stop_when_idle(writer.trigger(processingTime="0 seconds").start())
+    else:
+        writer.trigger(availableNow=True).start().awaitTermination()
     rows = spark.read.schema(f"{', '.join(f'`{f.name}` {f.dataType.simpleString()}' for f in stream.schema)}, batch long").parquet(path)
     if mode != "update":
         return rows.drop("batch")
@@ -44,6 +49,18 @@ def finished(stream: DataFrame, mode: str, name: str, keys: list[str] | None = N
     return last.select(*[F.col(c) if c in keys else F.col(f"last.{c}").alias(c) for c in stream.columns])
 
 
+def stop_when_idle(query: StreamingQuery, wait: float = 0.2) -> None:
+    """Stop a query once two batches in a row have found no new input, and pass on what ended it before.
+
+    The first batch after a restart may be an old one that wasn't finished, so one is not enough.
+    """
+    while not query.awaitTermination(wait):
+        last = query.recentProgress[-2:]
+        if len(last) == 2 and last[0]["batchId"] != last[1]["batchId"] and not any(p["numInputRows"] for p in last):
+            query.stop()
+            return
+
+
 @register("stream_agg", "SELECT time_bucket(INTERVAL 1 HOUR, ts) AS start, event_type, count(*) AS n FROM events GROUP BY ALL")
 def stream_agg(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Update mode: the watermark lets the state of past windows go, and their last counts stand in the sink."""
@@ -85,19 +102,6 @@ def stream_static_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return finished(joined, "append", "stream-static")
 
 
-@register("stream_stateful", "SELECT user_id, count(*) AS n FROM events GROUP BY user_id")
-def stream_stateful(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A count for each user in state of its own."""
-
-    def count(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        n = (state.get[0] if state.exists else 0) + sum(len(f) for f in frames)
-        state.update((n,))
-        yield pd.DataFrame({"user_id": [key[0]], "n": [n]})
-
-    counts = events(spark, sf_dir).groupBy("user_id").applyInPandasWithState(count, "user_id long, n long", "n long", "update", GroupStateTimeout.NoTimeout)
-    return finished(counts, "update", "stream-stateful", ["user_id"])
-
-
 #: A visit ends after so many seconds without an event; events may come this late.
 IDLE, LATE = 86_400, 3_600
 
@@ -158,28 +162,73 @@ def stream_watermark(spark: SparkSession, sf_dir: str) -> DataFrame:
     return finished(counts, "append", "stream-watermark").select(F.col("w.start").cast("timestamp_ntz").alias("start"), "n")
 
 
-@register("stream_rate", "SELECT 100 AS n, 99 AS last")
+@register("stream_rate", "SELECT n_name, count(*) AS n FROM range(100) t(value) JOIN nation ON value % 25 = n_nationkey GROUP BY n_name")
 def stream_rate(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Rows made by the batch at a fixed rate; the first 100 of them are looked at."""
+    """Rows made by the batch at a fixed rate and joined with the nations; the first 100 of them are looked at."""
     path = scratch(spark, "stream-rate")
+    nations = spark.read.schema(SCHEMAS["nation"]).parquet(f"{sf_dir}/nation.parquet")
     rates = spark.readStream.format("rate-micro-batch").option("rowsPerBatch", "50").option("numPartitions", "2").load().select("value")
-    query = rates.writeStream.format("parquet").option("path", path).option("checkpointLocation", f"{path}-checkpoint").start()
+    named = rates.join(F.broadcast(nations), F.col("value") % 25 == F.col("n_nationkey")).select("value", "n_name")
+    query = named.writeStream.format("parquet").option("path", path).option("checkpointLocation", f"{path}-checkpoint").start()
     while query.lastProgress is None or query.lastProgress["batchId"] < 2:
         query.awaitTermination(0.2)
     query.stop()
-    return spark.read.schema(rates.schema).parquet(path).where("value < 100").agg(F.count(F.lit(1)).cast("int").alias("n"), F.max("value").cast("int").alias("last"))
+    return spark.read.schema(named.schema).parquet(path).where("value < 100").groupBy("n_name").agg(F.count(F.lit(1)).alias("n"))
+
 
+#: Quarters of a month in the order in which their files come, and the days that events may be late.
+REPLAY, LATE_DAYS = (0, 2, 3, 1), 9
 
-@register("stream_late", "SELECT 'late' AS kind, 0 AS n UNION ALL SELECT 'in time', 2")
+
+@register(
+    "stream_late",
+    f"""WITH e AS (SELECT ts, time_bucket(INTERVAL 1 DAY, ts) AS start, least((day(ts) - 1) // 8, 3) AS quarter FROM events),
+         turns AS (SELECT *, list_position({list(REPLAY)}, quarter) AS turn FROM e),
+         marks AS (SELECT turn, max(max(ts)) OVER (ORDER BY turn ROWS BETWEEN UNBOUNDED PRECEDING AND 2 PRECEDING) AS before FROM turns GROUP BY turn)
+       SELECT start, count(*) FILTER (fine) AS n, count(*) FILTER (NOT fine) AS late FROM
+         (SELECT start, before IS NULL OR start + INTERVAL 1 DAY > date_trunc('milliseconds', before) - INTERVAL {LATE_DAYS} DAY AS fine FROM turns JOIN marks USING (turn)) GROUP BY start""",
+)
 def stream_late(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A row that comes after the watermark has passed its window is dropped: the second file's old row is."""
+    """Events whose files come out of order, one to a batch: rows of windows that the watermark has passed are dropped, and counted as late.
+
+    A batch drops by the watermark that the batch before it began with, so the files that count are those up to two turns ago.
+    """
     path = scratch(spark, "stream-late-in")
-    stream = spark.readStream.schema("ts timestamp, kind string").option("maxFilesPerTrigger", 1).parquet(path + "/*")
-    out = scratch(spark, "stream-late")
-    for k, rows in enumerate(("('2024-01-01 10:00:00', 'in time'), ('2024-01-02 00:00:00', 'in time')", "('2024-01-01 10:30:00', 'late')", "('2024-01-03 12:00:00', 'in time')")):
-        spark.sql(f"SELECT cast(ts AS timestamp) AS ts, kind FROM VALUES {rows} AS t(ts, kind)").coalesce(1).write.parquet(f"{path}/{k}")
-        counts = stream.withWatermark("ts", "1 hour").groupBy(F.window("ts", "1 hour").alias("w"), "kind").agg(F.count(F.lit(1)).alias("n"))
-        counts.writeStream.format("parquet").option("path", out).option("checkpointLocation", f"{out}-checkpoint").trigger(availableNow=True).start().awaitTermination()
-    seen = spark.read.schema(counts.schema).parquet(out).groupBy("kind").agg(F.sum("n").cast("int").alias("n"))
-    kinds = spark.sql("SELECT * FROM VALUES ('late'), ('in time') AS t(kind)")
-    return kinds.join(seen, "kind", "left").select("kind", F.coalesce("n", F.lit(0)).alias("n"))
+    rows = spark.read.schema(SCHEMAS["events"]).parquet(f"{sf_dir}/events.parquet").withColumn("ts", F.col("ts").cast("timestamp"))
+    quarter = F.least(F.floor((F.dayofmonth("ts") - 1) / 8), F.lit(3))
+    for turn in REPLAY:  # a stream reads files by their age
+        rows.where(quarter == turn).coalesce(1).write.mode("append").parquet(f"{path}/in")
+    spark.createDataFrame([], rows.schema).write.mode("append").parquet(f"{path}/in")
+    stream = spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(f"{path}/in")
+    window = F.window("ts", "1 day").alias("w")
+    counts = stream.withWatermark("ts", f"{LATE_DAYS} days").groupBy(window).agg(F.count(F.lit(1)).alias("n"))
+    seen = finished(counts, "update", "stream-late", ["w"]).select(F.col("w.start").alias("s"), "n")
+    every = rows.groupBy(window).agg(F.count(F.lit(1)).alias("all")).select(F.col("w.start").alias("start"), "all")
+    n = F.coalesce("n", F.lit(0).cast("long"))
+    return every.join(seen, F.col("start") == F.col("s"), "left").select(F.col("start").cast("timestamp_ntz").alias("start"), n.alias("n"), (F.col("all") - n).alias("late"))
+
+
+@register(
+    "stream_sessions",
+    """WITH gaps AS (SELECT user_id, ts, coalesce(ts - lag(ts) OVER w >= INTERVAL 4 HOUR, true) AS new FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts)),
+         sessions AS (SELECT user_id, ts, count(*) FILTER (new) OVER (PARTITION BY user_id ORDER BY ts ROWS UNBOUNDED PRECEDING) AS s FROM gaps)
+       SELECT user_id, min(ts) AS start, count(*) AS n FROM sessions GROUP BY user_id, s HAVING max(ts) + INTERVAL 4 HOUR <= date_trunc('milliseconds', (SELECT max(ts) FROM events)) - INTERVAL 1 HOUR""",
+)
+def stream_sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Session windows, whose state merges as events join them; each is given once, when the watermark has passed its end."""
+    sessions = events(spark, sf_dir).withWatermark("ts", "1 hour").groupBy("user_id", F.session_window("ts", "4 hours").alias("w")).agg(F.count(F.lit(1)).alias("n"))
+    return finished(sessions, "append", "stream-sessions").select("user_id", F.col("w.start").cast("timestamp_ntz").alias("start"), "n")
+
+
+@register(
+    "stream_outer_join",
+    """WITH e AS (SELECT * FROM events WHERE event_type = 'error'), s AS (SELECT * FROM events WHERE event_type = 'signup')
+       SELECT e.event_id AS error_id, s.event_id AS signup_id FROM e LEFT JOIN s ON e.user_id = s.user_id AND s.ts <= e.ts AND e.ts < s.ts + INTERVAL 1 DAY
+       WHERE s.event_id IS NOT NULL OR e.ts < date_trunc('milliseconds', least((SELECT max(ts) FROM e), (SELECT max(ts) FROM s))) - INTERVAL 2 HOUR""",
+)
+def stream_outer_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Stream-stream left outer: an error without a signup in the day before it is given with a null once the watermark of both streams has passed it."""
+    errors = events(spark, sf_dir).where("event_type = 'error'").select(F.col("user_id").alias("u"), F.col("ts").alias("at"), F.col("event_id").alias("error_id")).withWatermark("at", "2 hours")
+    signups = events(spark, sf_dir).where("event_type = 'signup'").select("user_id", "ts", F.col("event_id").alias("signup_id")).withWatermark("ts", "2 hours")
+    near = F.expr("u = user_id AND ts <= at AND at < ts + INTERVAL 1 DAY")
+    return finished(errors.join(signups, near, "left_outer").select("error_id", "signup_id"), "append", "stream-outer-join")
