@@ -12,7 +12,7 @@ deviations below the threshold. Texts with equal shingle sets are one node, so
 copies are never paired. A pair is looked at in one list only, that of its smallest common value. No pairs leave a
 list for verification: its members that may have a link go on, each once, with their full shingle sets, all
 intersections among them are counted exactly, and a spanning forest of the links is what a list gives.
-Long lists are cut into blocks, by rows and by shingles, and each pair of blocks is a group of its own; between two blocks one
+Lists are cut into blocks where they have many rows or many shingles, and each pair of blocks is a group of its own; between two blocks one
 pair of each two parts that are surely linked within their blocks goes on.
 """
 
@@ -42,6 +42,8 @@ WIDE = 8192
 FAN = 8
 #: Values that so many members share at most are counted pair by pair, others as matrix products.
 RARE = 16
+#: Values of all sets that are counted together.
+RANGE = 1 << 20
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = 75, k: int = 5) -> DataFrame:
@@ -121,7 +123,9 @@ def candidates(sketches: DataFrame, percent: int) -> DataFrame:
     listed = settle(listed.withColumn("c", size_class).select("v", "node", "n", "c"), "postings")
     groups = listed.select("v", "node", "n", "c", F.explode(F.when(F.col("c") > 0, F.array(F.col("c") - 1, F.col("c"))).otherwise(F.array("c"))).alias("g"))
     heavy = F.sum(F.greatest(F.lit(1.0), F.col("n") / WIDE))
-    long_groups = groups.where("c > 0").groupBy("v", "g").agg(heavy.alias("size")).where(f"size > {BLOCK}")
+    # short lists are cut for the bytes of their sets alone, so only large sets count there
+    weighed = groups.where((F.col("c") > 0) | (F.col("n") > WIDE))
+    long_groups = weighed.groupBy("v", "g").agg(heavy.alias("size")).where(f"size > {BLOCK} - {LONG}")
     # few: each has more than BLOCK members; the join still doesn't rely on that
     blocks = F.coalesce(F.ceil(F.col("size") / BLOCK), F.lit(1)).cast("int")
     sized = groups.join(long_groups, ["v", "g"], "left").withColumn("blocks", blocks).withColumn("own", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
@@ -143,7 +147,7 @@ def by_group(batches: Iterator[pa.RecordBatch], look: Callable[[pa.Table, int, i
     held: list[pa.RecordBatch] = []
 
     def emit(parts: list[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        t = pa.Table.from_batches(parts).combine_chunks()
+        t = pa.Table.from_batches(parts)  # not copied, as a group's sets may be large
         keys = [t.column(c).to_numpy() for c in GROUP]
         cut = np.flatnonzero(np.any([k[1:] != k[:-1] for k in keys], axis=0)) + 1
         out = [look(t, lo, hi) for lo, hi in zip([0, *cut.tolist()], [*cut.tolist(), t.num_rows]) if hi - lo > 1]
@@ -179,23 +183,41 @@ def in_list(t: pa.Table, lo: int, hi: int, least: float) -> pa.RecordBatch:
 
 
 def intersections(sets: list[np.ndarray]) -> np.ndarray:
-    """Sizes of the intersections of all pairs of sets of numbers, exactly."""
+    """Sizes of the intersections of all pairs of sorted sets of numbers, exactly; looked at in ranges of values, so that beside the sets only one range is held."""
+    g = len(sets)
+    common = np.zeros((g, g), np.float32)
+    total = sum(map(len, sets))
+    parts = -(-total // RANGE)
+    if parts < 2:
+        return common + in_range(sets)
+    # every part-th value of the largest sets cuts all sets alike
+    largest = max(sets, key=len)
+    cuts = largest[np.linspace(0, len(largest), parts, endpoint=False, dtype=np.int64)[1:]]
+    bounds = [np.concatenate(([0], np.searchsorted(s, cuts), [len(s)])) for s in sets]
+    for k in range(len(cuts) + 1):
+        pieces = [s[b[k] : b[k + 1]] for s, b in zip(sets, bounds)]
+        common += intersections(pieces) if 1 < sum(map(len, pieces)) // RANGE < parts - 1 else in_range(pieces)
+    return common
+
+
+def in_range(sets: list[np.ndarray]) -> np.ndarray:
+    """intersections of sets that are held together."""
     g = len(sets)
     code = np.concatenate(sets)
     order = np.argsort(code, kind="stable")
-    row, ranked = np.repeat(np.arange(g), [len(s) for s in sets])[order], code[order]
-    begin = np.flatnonzero(np.append(True, ranked[1:] != ranked[:-1]))
+    row, ranked = np.repeat(np.arange(g, dtype=np.int32), [len(s) for s in sets])[order], code[order]
+    begin = np.flatnonzero(np.append(True, ranked[1:] != ranked[:-1])) if len(ranked) else np.zeros(0, np.int64)
     held = np.diff(np.append(begin, len(ranked)))
     each = np.repeat(held, held)
     few = np.flatnonzero((each > 1) & (each <= RARE))
     rare, rows = ranked[few], row[few]
-    pairs = [np.zeros(0, np.int64)]
+    counts = np.zeros(g * g, np.int64)
     for step in range(1, RARE):
         same = np.flatnonzero(rare[step:] == rare[:-step])
         if not len(same):
             break
-        pairs.append(rows[same] * g + rows[same + step])
-    common = np.bincount(np.concatenate(pairs), minlength=g * g).astype(np.float32).reshape(g, g)
+        counts += np.bincount(rows[same].astype(np.int64) * g + rows[same + step], minlength=g * g)
+    common = counts.astype(np.float32).reshape(g, g)
     common = common + common.T
     often = held > RARE
     number, rows = np.repeat(np.cumsum(often) - 1, held)[each > RARE], row[each > RARE]
@@ -302,8 +324,8 @@ def verified(members: DataFrame, sketches: DataFrame, keyed: DataFrame, percent:
     full = settle(mine.dropDuplicates(["node"]).select("node", "text").mapInArrow(whole, "node string, full binary"), "full")
 
     def links(t: pa.Table, lo: int, hi: int) -> pa.RecordBatch:
-        part = t.slice(lo, hi - lo).combine_chunks()
-        sets = [np.frombuffer(b, np.uint64) for b in part.column("full").to_pylist()]
+        part = t.slice(lo, hi - lo)
+        sets = [np.frombuffer(b.as_buffer(), np.uint64) for b in part.column("full")]
         n, common = np.array([len(s) for s in sets], np.int64), intersections(sets).astype(np.int64)
         linked = 100 * common >= percent * (n[:, None] + n[None, :] - common)
         np.fill_diagonal(linked, False)

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import itertools
 import time
+import tracemalloc
 
 import numpy as np
 
@@ -55,3 +56,35 @@ def test_a_list_without_links_is_cheap():
     common = near_dedup.intersections(whole)
     assert len(members) <= 1000 and time.time() - began < 20
     assert not (100 * common >= 75 * (2000 - common))[~np.eye(1000, dtype=bool)].any()
+
+
+def test_intersections_of_long_texts_are_held_in_ranges(monkeypatch):
+    """Twenty near copies of a million shingles each: beside the sets, what is held stays small; the numbers are exact."""
+    r = np.random.default_rng(9)
+    base = np.unique(r.integers(0, 1 << 62, 1_000_000))
+    sets = [np.sort(np.concatenate((base[k::40] + 1, base[r.permutation(len(base))[: 970_000]]))).astype(np.uint64) for k in range(20)]
+    sets = [np.unique(s) for s in sets]
+    tracemalloc.start()
+    found = near_dedup.intersections(sets)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 200 << 20
+    for i, j in ((0, 1), (3, 17), (18, 19)):
+        assert found[i, j] == found[j, i] == len(np.intersect1d(sets[i], sets[j], assume_unique=True))
+    # the same numbers in ranges of any size, also where one value or one set has most of a range
+    few = [np.unique(r.integers(0, 300, 200)).astype(np.uint64) for _ in range(20)] + [np.zeros(0, np.uint64), np.array([5], np.uint64)]
+    want = near_dedup.in_range(few)
+    for size in (1, 7, 100, 1000):
+        monkeypatch.setattr(near_dedup, "RANGE", size)
+        assert (near_dedup.intersections(few) == want).all()
+
+
+def test_short_lists_are_cut_by_shingles(spark, monkeypatch):
+    """Near copies of long texts in a list that is short by rows: dealt to blocks, with the same components."""
+    from tests.llm.test_operators import components, edited, prose, rows
+
+    values = [edited(prose(b, 700), i, 3) for b in (1, 2) for i in range(9)] + [prose(3, 50)]
+    monkeypatch.setattr(near_dedup, "WIDE", 100)
+    monkeypatch.setattr(near_dedup, "BLOCK", 60)
+    members = near_dedup.near_duplicates(rows(spark, values)).collect()
+    assert {r.doc_id: r.component_id for r in members} == components(list(enumerate(values)))
