@@ -29,7 +29,7 @@ def test_folder(spark, folder, name):
     same(catalog.QUERIES[name](spark, folder), catalog.ORACLES[name], folder)
 
 
-@pytest.mark.parametrize("name", ["stream_agg", "stream_complete", "stream_stateful", "stream_file", "stream_dedup"])
+@pytest.mark.parametrize("name", ["stream_agg", "stream_complete", "stream_stateful", "stream_file", "stream_dedup", "stream_sessions", "stream_outer_join", "stream_event_timers", "stream_ttl"])
 def test_batches(spark, folder, name, monkeypatch):
     """One file to a batch gives the same rows."""
     read = type(spark).readStream.fget
