@@ -26,7 +26,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from millrace.llm.shared import attach, settle, shared_folder
+from millrace.llm.shared import attach, discard, settle, shared_folder
 
 #: Magic numbers of skippable frames and of the seek table's footer.
 SKIPPABLE, SEEKABLE = 0x184D2A5E, 0x8F92EAB1
@@ -40,12 +40,12 @@ def digest32(payload: bytes) -> str:
     return base64.b32encode(hashlib.sha1(payload).digest()).decode()
 
 
-def record(kind: str, number: str, url: str | None, payload: bytes, digest: str, refers: str | None) -> bytes:
-    """One WARC/1.1 record; a revisit carries no payload but the digest and length of it."""
+def record(kind: str, number: str, url: str | None, payload: bytes, digest: str, refers: str | None, name: str) -> bytes:
+    """One WARC/1.1 record; a revisit carries no payload but the digest and length of it. The record's own id is made of name, as page ids may repeat or be null."""
     body = payload if kind == "response" else b""
     head = [
         ("WARC-Type", kind),
-        ("WARC-Record-ID", f"<urn:uuid:{uuid.uuid5(uuid.NAMESPACE_URL, number)}>"),
+        ("WARC-Record-ID", f"<urn:uuid:{uuid.uuid5(uuid.NAMESPACE_URL, name)}>"),
         ("WARC-Date", DATE),
         ("WARC-Target-URI", (url or "").replace("\r", "%0D").replace("\n", "%0A")),
         ("WARC-Payload-Digest", f"sha1:{digest}"),
@@ -88,15 +88,23 @@ def read_seek_table(f) -> list[tuple[int, int]]:
     return list(zip((np.cumsum(sizes) - sizes).tolist(), sizes.tolist()))
 
 
+#: Where bundles stand until the index that names them is whole.
+DRAFTS = "_drafts"
+
+
+def place(folder: str) -> tuple[pyarrow.fs.FileSystem, str]:
+    """The file system of a folder, and its path there."""
+    return pyarrow.fs.FileSystem.from_uri(folder if "://" in folder or folder.startswith("file:") else os.path.abspath(folder))
+
+
 class Bundle:
-    """A file being written; it appears under its name only when whole, so a repeated task leaves no torn file."""
+    """A file being written, among the drafts. Each attempt of a task has its own; which of them count, the index tells."""
 
     def __init__(self, folder: str, name: str) -> None:
-        self.fs, path = pyarrow.fs.FileSystem.from_uri(folder if "://" in folder or folder.startswith("file:") else os.path.abspath(folder))
-        self.fs.create_dir(path, recursive=True)
+        self.fs, path = place(folder)
+        self.fs.create_dir(f"{path}/{DRAFTS}", recursive=True)
         self.name, self.at, self.frames = name, 0, []
-        self.to, self.draft = f"{path}/{name}", f"{path}/.{name}.{uuid.uuid4().hex}"
-        self.out = self.fs.open_output_stream(self.draft)
+        self.out = self.fs.open_output_stream(f"{path}/{DRAFTS}/{name}", compression=None)  # frames are compressed already
 
     def add(self, raw: bytes, frame: bytes) -> tuple[int, int]:
         """Append a frame; its place in the seek table and its size."""
@@ -108,21 +116,47 @@ class Bundle:
     def close(self) -> None:
         self.out.write(seek_table(self.frames))
         self.out.close()
-        self.fs.move(self.draft, self.to)
+
+
+def publish(index: DataFrame, folder: str) -> int:
+    """Move the bundles that a settled index names out of the drafts, and delete the rest, which repeated or lost tasks have left; gives their number.
+
+    Each bundle is moved on its own and a move that was done is passed over, so the job can be repeated. Readers of the folder see each record once.
+    """
+
+    def move(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        fs, path = place(folder)
+        for batch in batches:
+            for name in batch.column("bundle").to_pylist():
+                draft, final = fs.get_file_info([f"{path}/{DRAFTS}/{name}", f"{path}/{name}"])
+                if draft.type == pyarrow.fs.FileType.File:
+                    fs.move(draft.path, final.path)
+                elif final.type != pyarrow.fs.FileType.File:
+                    raise FileNotFoundError(f"the index names {name}, which was not written")
+            yield batch
+
+    moved = index.select("bundle").distinct().mapInArrow(move, "bundle string").count()
+    fs, path = place(folder)
+    if fs.get_file_info(f"{path}/{DRAFTS}").type == pyarrow.fs.FileType.Directory:
+        fs.delete_dir(f"{path}/{DRAFTS}")
+    return moved
 
 
 INDEX = "page_id long, bundle string, frame int, record_offset long, record_length long"
 
 
 def write(records: DataFrame, folder: str) -> DataFrame:
-    """Write records (page_id, url, html, first, revisit) to bundles in folder; gives the index, one row per record."""
+    """Write records (page_id, url, html, first, revisit) to bundles among the drafts of folder; gives the index, one row per record.
+
+    A task that is repeated writes bundles of other names, and only the rows of one attempt are in the index once it is settled; publish shows those bundles.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         context = TaskContext.get()
         label = f"part-{context.partitionId():06d}-{context.taskAttemptId()}"
         packer, bundle, number = zstandard.ZstdCompressor(level=LEVEL), None, 0
         held: list[tuple[int | None, bytes]] = []  # the records of the open frame
-        size = 0
+        size, written = 0, 0
 
         def close_frame() -> pa.RecordBatch:
             nonlocal bundle, number, held, size
@@ -144,7 +178,8 @@ def write(records: DataFrame, folder: str) -> DataFrame:
             for page, url, text, first, revisit in zip(*[batch.column(c) for c in ("page_id", "url", "html", "first", "revisit")]):
                 page, url, first = page.as_py(), url.as_py(), first.as_py()
                 payload = (text.as_py() or "").encode()
-                raw = record("revisit" if revisit.as_py() else "response", "" if page is None else str(page), url, payload, digest32(payload), None if first is None else str(first))
+                raw = record("revisit" if revisit.as_py() else "response", "" if page is None else str(page), url, payload, digest32(payload), None if first is None else str(first), f"{folder}/{label}/{written}")
+                written += 1
                 held.append((page, raw))
                 size += len(raw)
                 if size >= FRAME_BYTES:
@@ -166,7 +201,7 @@ def read(index: DataFrame, folder: str) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         unpacker = zstandard.ZstdDecompressor()
-        fs, path = pyarrow.fs.FileSystem.from_uri(folder if "://" in folder or folder.startswith("file:") else os.path.abspath(folder))
+        fs, path = place(folder)
         name, f, frames, at, raw = None, None, [], None, b""
         for batch in batches:
             rows, taken = [], 0
@@ -227,4 +262,6 @@ def archive(pages: DataFrame, least_bytes: int = 0, id_col: str = "page_id", url
     revisit = F.coalesce(F.col("shared") & F.col("first").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("first")), F.lit(False))
     marked = marked.select("page_id", "url", "html", F.when(revisit, F.col("first")).alias("first"), revisit.alias("revisit"))
     index = settle(write(marked, folder), "warc-index")
+    publish(index, folder)
+    discard(alike)
     return read(index, folder), index, folder

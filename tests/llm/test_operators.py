@@ -192,6 +192,24 @@ def test_warc(spark, tmp_path, monkeypatch):
     assert warc.archive(pages.limit(0))[0].count() == 0
 
 
+def test_warc_of_repeated_tasks(spark, tmp_path):
+    """Bundles of attempts that the index doesn't name are gone once it is published; records have ids of their own, also those of equal or null pages."""
+    folder = str(tmp_path / "warc")
+    data = [(k // 2 if k % 5 else None, f"u{k}", f"page {k}", None, False) for k in range(40)]
+    pages = spark.createDataFrame(data, "page_id long, url string, html string, first long, revisit boolean").repartition(3)
+    lost = shared.settle(warc.write(pages, folder), "lost")
+    index = shared.settle(warc.write(pages, folder), "index")
+    assert warc.publish(index, folder) == 3
+    names = {p.name for p in (tmp_path / "warc").iterdir()}
+    assert names == {r.bundle for r in index.collect()} and not names & {r.bundle for r in lost.collect()}
+    whole = b"".join(warc.zstandard.ZstdDecompressor().stream_reader(open(f"{folder}/{n}", "rb"), read_across_frames=True).read() for n in names)
+    ids = re.findall(rb"WARC-Record-ID: (\S+)", whole)
+    assert len(ids) == len(set(ids)) == 40
+    assert warc.publish(index, folder) == 3 and warc.read(index, folder).count() == 40
+    with pytest.raises(Exception, match="was not written"):
+        warc.publish(lost, folder)
+
+
 def test_top_k(spark, monkeypatch):
     monkeypatch.setattr(topk, "QUERIES", 3)
     monkeypatch.setattr(topk, "CANDIDATES", 40)
