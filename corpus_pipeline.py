@@ -15,7 +15,7 @@ from millrace.llm.mixing import mix
 from millrace.llm.near_dedup import near_dedup
 from millrace.llm.packing import pack
 from millrace.llm.quality import quality_filter
-from millrace.llm.shared import settle
+from millrace.llm.shared import discard, settle
 
 CONTEXT = 2048
 
@@ -58,8 +58,10 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages, applied to the documents of the folder."""
+    """All stages, applied to the documents of the folder. A stage's table is deleted when the next one's is written; the last one's input stays."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for name, stage in STAGES[:-1]:
-        docs = settle(stage(spark, docs, sf_dir), "stage-" + name.replace(" ", "-"))
+    for k, (name, stage) in enumerate(STAGES[:-1]):
+        before, docs = docs, settle(stage(spark, docs, sf_dir), "stage-" + name.replace(" ", "-"))
+        if k:
+            discard(before)
     return STAGES[-1][1](spark, docs, sf_dir)
