@@ -7,6 +7,7 @@ import math
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from millrace.operators.quantiles import exact_quantiles
 from millrace.plans.catalog import register
 from millrace.sources.tables import table
 
@@ -119,15 +120,17 @@ def agg_approx_distinct(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("l_returnflag", "exact", *[(F.abs(F.col(k) - F.col("exact")) <= 0.05 * F.col("exact")).alias(k) for k in sketches])
 
 
-@register("agg_approx_quantile", "SELECT l_returnflag, count(*) AS n, true AS gk, true AS kll FROM lineitem GROUP BY l_returnflag")
+@register("agg_approx_quantile", "SELECT l_returnflag, count(*) AS n, round(median(l_extendedprice), 6) AS exact, true AS gk, true AS kll FROM lineitem GROUP BY l_returnflag")
 def agg_approx_quantile(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Whether each sketch's median has between 47 and 53 % of the rows below it, by counting them in a second pass."""
+    """The exact median, and whether each sketch's median has between 47 and 53 % of the rows below it, by counting them in a second pass."""
     lines = table(spark, sf_dir, "lineitem").select("l_returnflag", F.col("l_extendedprice").alias("x"))
-    sketches = lines.groupBy("l_returnflag").agg(F.percentile_approx("x", 0.5, 1000).alias("gk"), F.expr("kll_sketch_get_quantile_double(kll_sketch_agg_double(x), 0.5)").alias("kll"))
+    sketches = lines.groupBy(F.col("l_returnflag").alias("flag")).agg(F.percentile_approx("x", 0.5, 1000).alias("gk"), F.expr("kll_sketch_get_quantile_double(kll_sketch_agg_double(x), 0.5)").alias("kll"))
+    medians = exact_quantiles(lines, ["l_returnflag"], "x", [0.5]).select(F.col("l_returnflag").alias("flag"), F.round(F.get("q", F.lit(0)), 6).alias("exact"))
     below = {k: F.count_if(F.col("x") < F.col(k)) for k in ("gk", "kll")}
+    of_flag = F.col("l_returnflag").eqNullSafe(F.col("flag"))
     # one row for each of the model's return flags
-    counted = lines.join(F.broadcast(sketches), "l_returnflag").groupBy("l_returnflag").agg(F.count(F.lit(1)).alias("n"), *[v.alias(k) for k, v in below.items()])
-    return counted.select("l_returnflag", "n", *[F.col(k).between(0.47 * F.col("n"), 0.53 * F.col("n")).alias(k) for k in below])
+    counted = lines.join(F.broadcast(sketches), of_flag).groupBy("l_returnflag").agg(F.count(F.lit(1)).alias("n"), *[v.alias(k) for k, v in below.items()])
+    return counted.join(F.broadcast(medians), of_flag).select("l_returnflag", "n", "exact", *[F.col(k).between(0.47 * F.col("n"), 0.53 * F.col("n")).alias(k) for k in below])
 
 
 @register(

@@ -12,3 +12,12 @@ def test_sketches_are_not_kept_by_part(spark):
     groupings = [line for line in plan.splitlines() if "Aggregate(keys=[" in line]
     by_part = [line for line in groupings if "l_partkey" in line.split("functions=")[0]]
     assert by_part and not any("sketch" in line or "approx" in line for line in by_part)
+
+
+def test_approximate_quantiles_stand_beside_the_exact_median(spark, tmp_path):
+    """Also for line items without a return flag."""
+    lines = spark.read.parquet(f"{SF}/lineitem.parquet")
+    lines.replace("R", None, "l_returnflag").write.parquet(f"{tmp_path}/lineitem.parquet")
+    got = catalog.QUERIES["agg_approx_quantile"](spark, str(tmp_path))
+    assert "exact" in got.columns
+    same(got, catalog.ORACLES["agg_approx_quantile"], str(tmp_path))
