@@ -114,26 +114,36 @@ IDLE, LATE = 86_400, 3_600
        HAVING epoch_ms(max(ts)) + {IDLE}000 < (SELECT epoch_ms(max(ts)) FROM events) - {LATE}000 ORDER BY ALL""",
 )
 def stream_timers(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Visits of users, given out by a timer in event time when they have been idle long enough; visits that may go on are not."""
+    """Visits of users, given out by a timer in event time when they have been idle long enough; visits that may go on are not.
+
+    A later event ends a visit, but doesn't give it out: the watermark has to pass the end of its idle time. The user's own newest event less
+    LATE is a bound that the watermark reaches, so that the state holds the visits of about a day.
+    """
+    idle, late = IDLE * 1_000, LATE * 1_000
 
     def visits(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        held = [tuple(state.get)] if state.exists else []  # last event of the open visit, and its events
-        out = []
-        if state.hasTimedOut:
-            out, held = held, []
-            state.remove()
-        for at in sorted(int(t) for f in frames for t in f["at"]):
-            if held and at - held[0][0] <= IDLE * 1_000_000:
-                held = [(at, held[0][1] + 1)]
+        held = list(zip(*state.get)) if state.exists else []  # first and last event of each visit, and its events
+        held = sorted(held + [(int(t), int(t), 1) for f in frames for t in f["at"]])
+        open_visits: list[tuple[int, int, int]] = []
+        for first, last, n in held:
+            if open_visits and first - open_visits[-1][1] <= IDLE * 1_000_000:  # events that come late can join two visits
+                a, b, m = open_visits[-1]
+                open_visits[-1] = (a, max(b, last), m + n)
             else:
-                out, held = out + held, [(at, 1)]
-        if held:
-            state.update(held[0])
-            state.setTimeoutTimestamp(max(held[0][0] // 1000 + IDLE * 1000, state.getCurrentWatermarkMs() + 1))
-        yield pd.DataFrame({"user_id": [key[0]] * len(out), "last_us": [a for a, _ in out], "n": [n for _, n in out]}).astype("int64")
+                open_visits.append((first, last, n))
+        passed = max(state.getCurrentWatermarkMs(), open_visits[-1][1] // 1000 - late)
+        ended = lambda v: v[1] // 1000 + idle < passed
+        out, kept = [v for v in open_visits if ended(v)], [v for v in open_visits if not ended(v)]
+        if kept:
+            state.update(tuple([int(x) for x in column] for column in zip(*kept)))
+            state.setTimeoutTimestamp(max(kept[0][1] // 1000 + idle, state.getCurrentWatermarkMs()))
+        elif state.exists:
+            state.remove()
+        yield pd.DataFrame({"user_id": [key[0]] * len(out), "last_us": [v[1] for v in out], "n": [v[2] for v in out]}).astype("int64")
 
     rows = events(spark, sf_dir).withWatermark("ts", f"{LATE} seconds").withColumn("at", F.unix_micros("ts"))
-    closed = rows.groupBy("user_id").applyInPandasWithState(visits, "user_id long, last_us long, n long", "last_us long, n long", "append", GroupStateTimeout.EventTimeTimeout)
+    held = "firsts array<long>, lasts array<long>, ns array<long>"
+    closed = rows.groupBy("user_id").applyInPandasWithState(visits, "user_id long, last_us long, n long", held, "append", GroupStateTimeout.EventTimeTimeout)
     return finished(closed, "append", "stream-timers")
 
 

@@ -1,6 +1,12 @@
 """Queries whose work grew faster than their input, or whose results were not whole."""
 
+import datetime
+import time
+
+import pytest
+
 from millrace.plans import catalog
+from millrace.sources.tables import SCHEMAS
 from tests.compare import same
 
 SF = "/root/testdata/sf0.001"
@@ -21,3 +27,20 @@ def test_approximate_quantiles_stand_beside_the_exact_median(spark, tmp_path):
     got = catalog.QUERIES["agg_approx_quantile"](spark, str(tmp_path))
     assert "exact" in got.columns
     same(got, catalog.ORACLES["agg_approx_quantile"], str(tmp_path))
+
+
+@pytest.mark.parametrize("files", [1, 4])
+def test_visits_wait_for_the_watermark(spark, tmp_path, files, monkeypatch):
+    """A visit that the user's next event ended within the last day and hour isn't given out; in one batch and in four."""
+    at = lambda hours: datetime.datetime(2024, 1, 1) + datetime.timedelta(hours=hours)
+    hours = {1: [0, 10, 60, 85], 2: [0, 50, 75.5, 99.9], 3: [71, 95.5], 4: [100], 5: [1, 26, 74], 6: [2, 75.2, 99.95]}
+    rows = sorted((at(h), user) for user, found in hours.items() for h in found)
+    step = -(-len(rows) // files)
+    for k in range(files):  # one after the other, as a stream reads files by their age
+        part = [(i, *rows[i], "view", 1.0, "") for i in range(k * step, min((k + 1) * step, len(rows)))]
+        spark.createDataFrame(part, SCHEMAS["events"]).coalesce(1).write.mode("append").parquet(f"{tmp_path}/events.parquet")
+        time.sleep(0.01)
+    if files > 1:
+        read = type(spark).readStream.fget
+        monkeypatch.setattr(type(spark), "readStream", property(lambda s: read(s).option("maxFilesPerTrigger", 1)))
+    same(catalog.QUERIES["stream_timers"](spark, str(tmp_path)), catalog.ORACLES["stream_timers"], str(tmp_path))
