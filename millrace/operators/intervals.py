@@ -1,10 +1,13 @@
-"""Joins of intervals with intervals, of any lengths, as equi-joins on bins."""
+"""Joins of intervals with intervals, of any lengths, as equi-joins on bins; and their totals without the pairs."""
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from decimal import Decimal
+
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from millrace.operators.ordered import carried, in_ranges
 from millrace.plans.catalog import register
 from millrace.sources.scratch import stored
 from millrace.sources.tables import table
@@ -61,6 +64,36 @@ def bins(span: tuple[str, str], level: Column) -> Column:
     return F.when(first == last, F.array(first)).otherwise(F.array(first, last))
 
 
+def overlap_totals(left: DataFrame, right: DataFrame, spans: tuple[tuple[str, str], tuple[str, str]], key: str, ranges: int | None = None) -> DataFrame:
+    """key, n and shared: for each key of left the pairs of its closed intervals with those of right that share a point, and the sum of what they share; keys without a pair have no row.
+
+    The pairs, which grow with the square of the rows, are not made. The bounds of both sides stand in one order: an interval of left pairs with the
+    intervals of right that start by its end, without those that end before its start; and up to a point x the intervals of right have spent, of all time, x for each one that
+    is open, less the open ones' starts, plus the ended ones' lengths. Three running sums give both. Rows with a null bound, or with an end before the start, have no pairs.
+    """
+    wide = lambda c: F.col(c).cast("decimal(20,0)")
+    # at one time: starts of left, starts of right, ends of left, ends of right
+    bound = lambda side, own, step: lambda c: F.struct(wide(c).alias("at"), F.lit(step).alias("step"), F.col(own).cast(left.schema[key].dataType).alias("own"), F.lit(side).alias("side"))
+    parts = []
+    for df, (start, end), own, side in ((left, spans[0], key, 0), (right, spans[1], spans[1][0], 1)):
+        both = F.array(bound(side, own, side)(start), bound(side, own, side + 2)(end))
+        parts.append(df.where(F.col(end) >= F.col(start)).select(F.explode(both).alias("b")).select("b.at", "b.step", F.col("b.own").alias("own"), "b.side"))
+    order = [F.col("at"), F.col("step"), F.col("own")]
+    ranged = in_ranges(parts[0].unionByName(parts[1]), order, "bounds", ranges)
+    sign = F.when(F.col("side") == 0, 0).when(F.col("step") == 1, 1).otherwise(-1)
+    values = {"starts": (sign == 1).cast("long"), "ends": (sign == -1).cast("long"), "moment": (sign * F.col("at")).cast("decimal(20,0)")}
+    types = {"starts": "long", "ends": "long", "moment": "decimal(38,0)"}
+    facts = [F.coalesce(F.sum(v).cast(types[k]), F.lit(0).cast(types[k])).alias(k) for k, v in values.items()]
+    before = carried(ranged, facts, (0, 0, Decimal(0)), lambda held, row: tuple(h + row[k] for h, k in zip(held, values)), ", ".join(f"{k}_before {t}" for k, t in types.items()))
+    upto = Window.partitionBy("range").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+    summed = ranged.join(F.broadcast(before), "range").withColumns({k: F.col(f"{k}_before") + F.sum(v).over(upto).cast(types[k]) for k, v in values.items()})
+    spent = F.col("at") * (F.col("starts") - F.col("ends")) - F.col("moment")
+    ended = F.col("step") == 2
+    each = summed.where("side = 0").groupBy(F.col("own").alias(key))
+    found = each.agg(F.sum(F.when(ended, F.col("starts")).otherwise(-F.col("ends"))).alias("n"), F.sum(F.when(ended, spent).otherwise(-spent)).cast("long").alias("shared"))
+    return found.where("n > 0")
+
+
 #: A user's session of one kind of event ends after so many hours without one.
 IDLE_HOURS = 60
 SESSIONS = f"""
@@ -89,6 +122,5 @@ def join_intervals(spark: SparkSession, sf_dir: str) -> DataFrame:
 @register("join_intervals_all", SESSIONS + "SELECT c.session AS click_session, count(*) AS n, CAST(sum(least(c.t, e.t) - greatest(c.f, e.f)) AS BIGINT) AS shared FROM c JOIN e ON c.f <= e.t AND e.f <= c.t GROUP BY c.session")
 def join_intervals_all(spark: SparkSession, sf_dir: str) -> DataFrame:
     """For each session of clicks the sessions of errors, of any user, that it overlaps with: their number and the time in common."""
-    pairs = overlapping(sessions(spark, sf_dir, "click", "c"), sessions(spark, sf_dir, "error", "e"), (("c_f", "c_t"), ("e_f", "e_t")))
-    shared = F.least("c_t", "e_t") - F.greatest("c_f", "e_f")
-    return pairs.groupBy(F.col("c_session").alias("click_session")).agg(F.count(F.lit(1)).alias("n"), F.sum(shared).alias("shared"))
+    found = overlap_totals(sessions(spark, sf_dir, "click", "c"), sessions(spark, sf_dir, "error", "e"), (("c_f", "c_t"), ("e_f", "e_t")), "c_session")
+    return found.withColumnRenamed("c_session", "click_session")

@@ -1,10 +1,12 @@
 """Queries whose work grew faster than their input, or whose results were not whole."""
 
 import datetime
+import random
 import time
 
 import pytest
 
+from millrace.operators import intervals
 from millrace.plans import catalog
 from millrace.sources.tables import SCHEMAS
 from tests.compare import same
@@ -44,3 +46,30 @@ def test_visits_wait_for_the_watermark(spark, tmp_path, files, monkeypatch):
         read = type(spark).readStream.fget
         monkeypatch.setattr(type(spark), "readStream", property(lambda s: read(s).option("maxFilesPerTrigger", 1)))
     same(catalog.QUERIES["stream_timers"](spark, str(tmp_path)), catalog.ORACLES["stream_timers"], str(tmp_path))
+
+
+@pytest.mark.parametrize("ranges", [1, 7])
+def test_overlap_totals(spark, ranges):
+    """Points, equal bounds, below zero too, nulls and turned bounds: as the pairs say."""
+    r = random.Random(ranges)
+
+    def made(n):
+        starts = [r.choice([None, *range(-40, 40)]) for _ in range(n)]
+        return [(f"k{k}", f, r.choice([None, *[(f or 0) + d for d in (-1, 0, 0, 1, 3, 20, 90)]])) for k, f in enumerate(starts)]
+
+    left, right = made(150), made(100)
+    a, b = spark.createDataFrame(left, "i string, f long, t long"), spark.createDataFrame(right, "j string, g long, u long")
+    got = {row[0]: tuple(row)[1:] for row in intervals.overlap_totals(a, b, (("f", "t"), ("g", "u")), "i", ranges).collect()}
+    fine = lambda rows: [x for x in rows if None not in x and x[2] >= x[1]]
+    want = {}
+    for i, f, t in fine(left):
+        shared = [min(t, u) - max(f, g) for _, g, u in fine(right) if f <= u and g <= t]
+        if shared:
+            want[i] = (len(shared), sum(shared))
+    assert got == want
+
+
+def test_overlaps_of_all_users_are_counted_without_pairs(spark):
+    """No join has more rows than the sessions: the one join is with a row for each range."""
+    plan = catalog.QUERIES["join_intervals_all"](spark, SF)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Join") == plan.count("BroadcastHashJoin") == 1
