@@ -183,3 +183,9 @@ def test_table_function_asks_for_columns(spark):
     spark.udtf.register("streaks_here", F.udtf(Streaks))
     with pytest.raises(PySparkException):
         spark.sql("SELECT * FROM streaks_here(key => 'id', field => 'nothing', rows => TABLE(three_rows))").collect()
+
+
+def test_range_join_keeps_few_rows_at_hand(spark):
+    """The merge join's right side, of which it holds the rows of a key, is the one whose rows stand in one bin each."""
+    plan = catalog.QUERIES["join_range"](spark, SF)._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin [bin" in plan and plan.index("Generate explode") < plan.index("EqualTo(event_type,error)")
