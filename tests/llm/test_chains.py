@@ -330,3 +330,25 @@ def test_recurring_rows(spark, monkeypatch, least):
     # a hot key is said to have many
     assert {x[:4] for x in found} == {x[:4] for x in expected}
     assert all(x in found or (*x[:4], True) in found for x in expected)
+
+
+def test_words_and_lines_repeated_over_and_over(spark):
+    """Runs of one word, of two or of a line, with others' runs too short to count before them: found against earlier texts as far as these go, and otherwise against the run's own first half."""
+    values, expected = [], []
+    for k, line in enumerate(["onin ", "ea ha ", "le. von le. reha zum ", prose(7, 12) + " ", prose(8, 33) + " "]):
+        n = len(line.split())
+        run = lambda words: " ".join((line * -(-words // n)).split()[:words])  # noqa: B023, E731
+        for i, words in enumerate((30, 38, 150, 90, 150, 38, 230, 42)):
+            at = len(values)
+            values.append(prose(1000 + at, 50) + " " + run(words) + " " + prose(2000 + at, 50))
+            # the first long run has what is beyond its first 40 words from itself, by whole lines; later ones have all from it, but for what only they have
+            expected.append([0, 0, 110 if n < 12 else 50, 90, 150, 0, 230 if n < 12 else 150, 42][i])
+    found = chain_dedup.passages(rows(spark, values)).collect()
+    for i, least in enumerate(expected):
+        covered = {w for x in found if x.doc_id == i for w in range(x.start, x.end)}
+        assert len(covered) > least - chain_dedup.K, (i, len(covered))
+    for r in found:
+        a, b = values[r.doc_id].split()[r.start : r.end], values[r.other_id].split()[r.other_start : r.other_end]
+        assert min(len(a), len(b)) >= chain_dedup.LEAST_WORDS
+        assert r.equal_words <= lcs(a, b) and 100 * r.equal_words >= chain_dedup.LEAST_PERCENT * max(len(a), len(b))
+        assert r.doc_id != r.other_id or r.other_end <= r.start
